@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, repetition
+from . import mixing, neardup, packing, repetition
 
 
 def queries() -> dict:
     return {
         "op1_poisson_mix": mixing.op1_poisson_mix,
         "op3_repetition_rules": repetition.op3_repetition_rules,
+        "op4_minhash_dedup": neardup.op4_minhash_dedup,
         "op9_best_two_fit": packing.op9_best_two_fit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_poisson_mix": mixing.SQL, "op3_repetition_rules": repetition.SQL}
+    return {"op1_poisson_mix": mixing.SQL, "op3_repetition_rules": repetition.SQL, "op4_minhash_dedup": neardup.SQL}
