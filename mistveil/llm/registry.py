@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, repetition
+from . import ann, mixing, neardup, packing, repetition
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_repetition_rules": repetition.op3_repetition_rules,
         "op4_minhash_dedup": neardup.op4_minhash_dedup,
         "op9_best_two_fit": packing.op9_best_two_fit,
+        "op10_multi_index": ann.op10_multi_index,
     }
 
 
