@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,13 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step looks at; arrays over them are 8 to 30 times as large.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Limits of an Arrow batch between the JVM and Python, set on the session where they are looser.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Python workers small however long the texts are."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = re.match(r"\d+$", str(spark.conf.get(key, "")))
+        if not now or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share.
 
@@ -32,6 +44,7 @@ class Scratch:
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="mistveil-")
             spark.conf.set("spark.checkpoint.dir", base)
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._fs(self.root)[0].deleteOnExit(self._fs(self.root)[1])
