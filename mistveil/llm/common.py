@@ -26,7 +26,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Keep Python workers small however long the texts are."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = re.match(r"\d+$", str(spark.conf.get(key, "")))
+        now = re.match(r"\d+", str(spark.conf.get(key)))
         if not now or not 0 < int(now[0]) <= most:
             spark.conf.set(key, str(most))
 
