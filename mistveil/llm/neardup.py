@@ -2,13 +2,14 @@
 
 1. Every document becomes its set of word shingles (64-bit hashes). Documents with the same set are one
    node, named by their smallest doc_id; only nodes go on.
-2. A node's signature is its minimum under 128 universal hashes, in 32 bands of 4: a pair of similarity 0.8
-   shares no band with probability 5e-8. A bucket is a band value that several nodes have.
+2. A node's signature is its minimum under 240 universal hashes, in 40 bands of 6: a pair of similarity 0.8
+   shares no band with probability 5e-6, one of 0.35 with 0.93. A bucket is a band value that several nodes have.
 3. Each member of a bucket is proposed with the bucket's smallest node, in large buckets through a tree of
-   fan-out 64, so that a bucket of n nodes makes about n pairs. Each node's smallest proposal that survives
-   the comparison of signatures is confirmed on the full sets, and the confirmed links make components.
+   fan-out 64, so that a bucket of n nodes makes about n pairs. Each node's most frequent proposal is compared by
+   signature, then confirmed on the full sets, and the confirmed links make components.
 4. What that may have missed are links between components. All pairs in a bucket that are still in different
-   components are compared too, first by signature, then on full sets; most buckets have none left.
+   components, and near enough in size, are compared too, first by signature, then on full sets; most buckets have
+   none left.
 5. Components come from alternating large-star and small-star steps on the links.
 
 Nothing is collected to the driver but counts. Joins on a bucket or a node read written tables on both sides, so
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, emit, mix, prefix_hash, span_hash, steps, table, utf8, word_spans
 
-HASHES, ROWS = 128, 4
+HASHES, ROWS = 240, 6
 FAN_OUT = 64
 #: Standard errors of the signature's estimate that a pair may be below the threshold and still be confirmed on sets.
-MARGIN = 6
+MARGIN = 4.5
 SHINGLE, PERCENT = 5, 80
 
 _A = np.random.default_rng(5).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,7 +100,7 @@ def _features(k: int):
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int64())])
     bands = HASHES // ROWS
     for batch in batches:
         if batch.num_rows:
@@ -109,7 +110,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, (len(ids), bands))
                 for i in range(ROWS):
                     h = mix(h ^ sig[:, :, i])
-            yield emit(schema, [h.ravel().view(np.int64), np.repeat(ids, bands)])
+            yield emit(schema, [h.ravel().view(np.int64), np.repeat(ids, bands), np.repeat(batch.column(2).to_numpy(zero_copy_only=False), bands)])
 
 
 def _alike(least: float):
@@ -186,7 +187,7 @@ def _stars(rows: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
         most = -(-most // FAN_OUT)
         edges = edges.unionByName(level.where(F.col("n") <= FAN_OUT).select(F.col("least").alias("a"), F.col("id").alias("b")))
         level = level.where(F.col("n") > FAN_OUT)
-    return edges.where("a < b").distinct()
+    return edges.where("a < b")
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
@@ -237,23 +238,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
     scratch = Scratch(spark, "neardup")
     features = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "features")
     # With one class for each set; sig is that of any member, since all are the same.
-    classes = scratch.save(features.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "classes")
-    nodes = classes.select("id", "sig")
-    bands = scratch.save(nodes.mapInArrow(_bands, "key long, id long"), "bands")
+    classes = scratch.save(features.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min("sig").alias("sig")), "classes")
+    nodes = classes.select("id", "sig", "size")
+    bands = scratch.save(nodes.mapInArrow(_bands, "key long, id long, size long"), "bands")
     buckets = scratch.save(bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = scratch.save(bands.join(buckets.select("key"), "key"), "shared")
     scratch.drop("bands")
 
-    proposed = _similar(_stars(shared, buckets, scratch), nodes, percent)
-    proposed = scratch.save(proposed.groupBy("b").agg(F.min("a").alias("a")), "proposed")
+    votes = _stars(shared.select("key", "id"), buckets, scratch).groupBy("b", "a").count()
+    proposed = votes.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
+    proposed = scratch.save(_similar(proposed, nodes, percent), "proposed")
     links = scratch.save(_linked(proposed, docs, k, percent), "links")
     member = scratch.save(components(links, scratch), "member")
 
-    placed = scratch.save(shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c")), "placed")
+    placed = scratch.save(shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c")), "placed")
     mixed = scratch.save(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
     open_ = scratch.save(placed.join(mixed, "key"), "open")
-    left, right = (open_.select("key", F.col("id").alias(i), F.col("c").alias(f"c{i}")) for i in "ab")
-    pairs = left.join(right, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = (open_.select("key", F.col("id").alias(i), F.col("size").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in "ab")
+    near = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = left.join(right, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.save(_similar(pairs, nodes, percent), "more")
     if not more.isEmpty():
         links = links.unionByName(scratch.save(_linked(more, docs, k, percent), "more-links"))
