@@ -2,7 +2,7 @@
 
 1. Every document becomes its set of word shingles (64-bit hashes). Documents with the same set are one
    node, named by their smallest doc_id; only nodes go on.
-2. A node's signature is its minimum under 240 universal hashes, in 40 bands of 6: a pair of similarity 0.8
+2. A node's signature is its minimum (the lowest byte of it) under 240 universal hashes, in 40 bands of 6: a pair of similarity 0.8
    shares no band with probability 5e-6, one of 0.35 with 0.93. A bucket is a band value that several nodes have.
 3. Each member of a bucket is proposed with the bucket's smallest node, in large buckets through a tree of
    fan-out 64, so that a bucket of n nodes makes about n pairs. Each node's most frequent proposal is compared by
@@ -37,7 +37,7 @@ _A = np.random.default_rng(5).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np
 _ODD = np.uint64(0x9E3779B185EBCA87)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,15 +67,15 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Upper halves of the minima under each hash, a row for each set that isn't empty."""
+    """The minima under each hash, a row for each set that isn't empty."""
     starts = ends[:-1][np.diff(ends) > 0]
-    out = np.zeros((len(starts), HASHES), np.uint32)
+    out = np.zeros((len(starts), HASHES), np.uint64)
     if len(starts):
         h = np.empty_like(values)
         with np.errstate(over="ignore"):
             for i, a in enumerate(_A):
                 np.multiply(values, a, out=h)
-                out[:, i] = np.minimum.reduceat(h, starts) >> np.uint64(32)
+                out[:, i] = np.minimum.reduceat(h, starts)
     return out
 
 
@@ -87,30 +87,28 @@ def _features(k: int):
                 values, ends = shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)
                 size = np.diff(ends)
                 full = size > 0
-                sig, keys = np.empty(hi - lo, object), np.zeros((2, hi - lo), np.int64)
+                sig, bands, keys = np.empty(hi - lo, object), np.empty(hi - lo, object), np.zeros((2, hi - lo), np.int64)
                 if full.any():
                     starts = ends[:-1][full]
-                    sig[full] = [x.tobytes() for x in signatures(values, ends)]
+                    minima = signatures(values, ends)
+                    for i, low, key in zip(np.flatnonzero(full), (minima & np.uint64(255)).astype(np.uint8), band_keys(minima)):
+                        sig[i], bands[i] = low.tobytes(), key
                     with np.errstate(over="ignore"):
                         keys[0, full] = np.add.reduceat(mix(values ^ _ODD), starts).view(np.int64)
                         keys[1, full] = np.bitwise_xor.reduceat(mix(values + _ODD), starts).view(np.int64)
-                yield emit(_FEATURES, [batch.column(0).slice(lo, hi - lo), size, *(pa.array(x, pa.int64(), mask=~full) for x in keys), pa.array(sig, pa.binary())])
+                yield emit(_FEATURES, [batch.column(0).slice(lo, hi - lo), size, *(pa.array(x, pa.int64(), mask=~full) for x in keys), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))])
 
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int64())])
-    bands = HASHES // ROWS
-    for batch in batches:
-        if batch.num_rows:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), bands, ROWS).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, (len(ids), bands))
-                for i in range(ROWS):
-                    h = mix(h ^ sig[:, :, i])
-            yield emit(schema, [h.ravel().view(np.int64), np.repeat(ids, bands), np.repeat(batch.column(2).to_numpy(zero_copy_only=False), bands)])
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band, which also depends on the band."""
+    parts = minima.reshape(len(minima), HASHES // ROWS, ROWS)
+    with np.errstate(over="ignore"):
+        h = np.broadcast_to(np.arange(1, HASHES // ROWS + 1, dtype=np.uint64) * _ODD, parts.shape[:2])
+        for i in range(ROWS):
+            h = mix(h ^ parts[:, :, i])
+    return h.view(np.int64)
 
 
 def _alike(least: float):
@@ -119,7 +117,7 @@ def _alike(least: float):
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (2, 3))
                 own = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(own), part.column(1).filter(own)], schema=schema)
 
@@ -155,6 +153,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b): those whose signatures are as alike as the sets may be."""
     share = percent / 100
     least = share - MARGIN * (share * (1 - share) / HASHES) ** 0.5
+    least += (1 - least) / 256  # the lowest bytes of different minima are equal that often
     sig_a, sig_b = (nodes.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     joined = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b")
     return joined.mapInArrow(_alike(least), "a long, b long")
@@ -236,11 +235,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
     kept. Other columns are not looked at. No rows, no result.
     """
     scratch = Scratch(spark, "neardup")
-    features = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"), "features")
-    # With one class for each set; sig is that of any member, since all are the same.
-    classes = scratch.save(features.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("size"), F.min("sig").alias("sig")), "classes")
-    nodes = classes.select("id", "sig", "size")
-    bands = scratch.save(nodes.mapInArrow(_bands, "key long, id long, size long"), "bands")
+    features = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
+    classes = features.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
+    classes = scratch.save(classes, "classes")
+    nodes = features.join(classes, ["k1", "k2"]).where(F.col("doc_id") == F.col("id")).select("id", F.col("n_shingles").alias("size"), "sig", "bands")
+    nodes = scratch.save(nodes, "nodes")
+    if nodes.count() > classes.count():  # rows repeated with their doc_id
+        nodes = scratch.save(nodes.dropDuplicates(["id"]), "nodes1")
+    bands = scratch.save(nodes.select(F.explode("bands").alias("key"), "id", "size"), "bands")
     buckets = scratch.save(bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = scratch.save(bands.join(buckets.select("key"), "key"), "shared")
     scratch.drop("bands")
