@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, neardup, packing, repetition, suffixes
+from . import ann, mixing, neardup, packing, quality, repetition, suffixes
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_poisson_mix": mixing.op1_poisson_mix,
         "op3_repetition_rules": repetition.op3_repetition_rules,
         "op4_minhash_dedup": neardup.op4_minhash_dedup,
+        "op5_pairwise_quality": quality.op5_pairwise_quality,
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_best_two_fit": packing.op9_best_two_fit,
         "op10_multi_index": ann.op10_multi_index,

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import emit, mix, prefix_hash, span_hash, steps, table, utf8, word_spans
 
 #: n-gram length in words -> largest share of the characters in words that later copies may cover.
-NGRAM_LIMITS = {5: 0.15, 7: 0.13, 10: 0.10}
+NGRAM_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
 #: The same for lines that repeat an earlier one, as a share of characters in words.
 LINE_LIMIT = 0.20
 #: Largest number of symbols a word.
