@@ -30,7 +30,7 @@ MAX_CENTROIDS = 1024
 #: (independent normal components in 64 dimensions) need as much for a recall of 0.9; clustered ones need less.
 SHARE, PROBE = 0.42, 6_000
 STRIP = 8
-BLOCK_V, BLOCK_Q = 8192, 1024
+BLOCK_V, BLOCK_Q = 4096, 1024
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
