@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, neardup, packing, quality, repetition, suffixes
+from . import ann, mixing, neardup, packing, pii, quality, repetition, suffixes
 
 
 def queries() -> dict:
     return {
         "op1_poisson_mix": mixing.op1_poisson_mix,
+        "op2_semi_crf_pii": pii.op2_semi_crf_pii,
         "op3_repetition_rules": repetition.op3_repetition_rules,
         "op4_minhash_dedup": neardup.op4_minhash_dedup,
         "op5_pairwise_quality": quality.op5_pairwise_quality,
