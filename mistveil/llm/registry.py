@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, neardup, packing, pii, quality, repetition, suffixes
+from . import ann, chat, mixing, neardup, packing, pii, quality, repetition, suffixes
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -12,9 +18,11 @@ def queries() -> dict:
         "op3_repetition_rules": repetition.op3_repetition_rules,
         "op4_minhash_dedup": neardup.op4_minhash_dedup,
         "op5_pairwise_quality": quality.op5_pairwise_quality,
+        "op7_role_repair": chat.op7_role_repair,
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_best_two_fit": packing.op9_best_two_fit,
         "op10_multi_index": ann.op10_multi_index,
+        "pipeline": _pipeline,
     }
 
 
