@@ -4,12 +4,12 @@
    node, named by their smallest doc_id; only nodes go on.
 2. A node's signature is its minimum (the lowest byte of it) under 240 universal hashes, in 40 bands of 6: a pair of similarity 0.8
    shares no band with probability 5e-6, one of 0.35 with 0.93. A bucket is a band value that several nodes have.
-3. Each member of a bucket is proposed with the bucket's smallest node, in large buckets through a tree of
-   fan-out 64, so that a bucket of n nodes makes about n pairs. Each node's most frequent proposal is compared by
-   signature, then confirmed on the full sets, and the confirmed links make components.
-4. What that may have missed are links between components. All pairs in a bucket that are still in different
-   components, and near enough in size, are compared too, first by signature, then on full sets; most buckets have
-   none left.
+3. Each node is proposed with the hub of one of its buckets, the member whose buckets are the largest, so that a
+   bucket of n nodes makes n pairs. Proposals are compared by signature, then confirmed on the full sets, and the
+   confirmed links make components, which join most of any tight group.
+4. What is left are links between components. In each bucket that still holds several, all pairs of different
+   components are compared by signature, in blocks of at most 2 * BLOCK nodes, and those alike enough are
+   confirmed on full sets. A pair is looked at in the first bucket that it shares.
 5. Components come from alternating large-star and small-star steps on the links.
 
 Nothing is collected to the driver but counts. Joins on a bucket or a node read written tables on both sides, so
@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, emit, mix, prefix_hash, span_hash, steps, table, utf8, word_spans
 
 HASHES, ROWS = 240, 6
-FAN_OUT = 64
+BLOCK = 512
+#: Most links of one node that are confirmed in one place.
+PLACE = 256
 #: Standard errors of the signature's estimate that a pair may be below the threshold and still be confirmed on sets.
-MARGIN = 4.5
+MARGIN = 4.2
 SHINGLE, PERCENT = 5, 80
 
 _A = np.random.default_rng(5).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,46 +151,77 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b): those whose signatures are as alike as the sets may be."""
+def _least(percent: int) -> float:
+    """The share of equal signature bytes from which a pair may be near enough."""
     share = percent / 100
     least = share - MARGIN * (share * (1 - share) / HASHES) ** 0.5
-    least += (1 - least) / 256  # the lowest bytes of different minima are equal that often
+    return least + (1 - least) / 256  # the lowest bytes of different minima are equal that often
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b): those whose signatures are as alike as the sets may be."""
     sig_a, sig_b = (nodes.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     joined = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b")
-    return joined.mapInArrow(_alike(least), "a long, b long")
+    return joined.mapInArrow(_alike(_least(percent)), "a long, b long")
+
+
+def _across(percent: int):
+    """Rows (key, i, j, g, band, id, size, c, sig), sorted by (key, i, j): pairs of different components.
+
+    A group holds block i of a bucket and block j; g is a row's own. Pairs are of blocks i and j, or of i alone.
+    """
+    least = _least(percent)
+
+    def solve(i: int, j: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        g, band, ids, size, c = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, HASHES)
+        own = np.flatnonzero(g == i)
+        out = []
+        for x in own:
+            others = np.flatnonzero((g == j) & (c != c[x]) & ((ids > ids[x]) | (i != j)) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
+            if len(others):
+                same = sig[others] == sig[x]
+                near = same.mean(axis=1) >= least
+                others, same = others[near], same[near]
+                first = same.reshape(len(others), HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
+                out += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for y in others[first == band[x]]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        key, rows, found = None, [], []
+        for batch in batches:
+            for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != (k, i, j):
+                    if len(rows) > 1:
+                        found += solve(key[1], key[2], rows)
+                    key, rows = (k, i, j), []
+                rows.append(row)
+            if len(found) > 10_000:
+                yield emit(schema, list(zip(*found)))
+                found = []
+        if len(rows) > 1:
+            found += solve(key[1], key[2], rows)
+        yield emit(schema, list(zip(*found)) if found else [[], []])
+
+    return run
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those confirmed on full sets. b's texts go to a's, in up to 8 places if a has many."""
-    pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(8)))
+    """Of distinct pairs (a, b), read from a written table, those confirmed on full sets.
+
+    b's texts go to a's, in as many places as a has PLACEs of them. The join is by sorting at any size: the list
+    of pairs has no bound that would let it be broadcast.
+    """
+    most = pairs.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+    pairs = pairs.withColumn("salt", F.pmod(F.hash("b"), F.lit(max(1, -(-most // PLACE)))))
+    hubs = pairs.select(F.col("a").alias("id"), "a", "salt").distinct().withColumn("b", F.lit(None).cast("long"))
+    wanted = hubs.unionByName(pairs.select(F.col("b").alias("id"), "a", "salt", "b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    hubs = pairs.select("a", "salt").distinct().join(texts, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    rest = pairs.join(texts, F.col("b") == F.col("id")).select("a", "salt", "b", "text")
-    placed = hubs.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    placed = wanted.join(texts.hint("merge"), "id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return placed.select("a", "b", "text").mapInArrow(_confirm(k, percent), "a long, b long")
 
 
-def _stars(rows: DataFrame, buckets: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b), a < b, that join the members of each bucket to its smallest one."""
-    member = rows.join(buckets, "key").select("key", "id", "least", "n")
-    most = buckets.agg(F.max("n").alias("n")).first()["n"] or 0
-    edges = member.where(F.col("n") <= FAN_OUT).select(F.col("least").alias("a"), F.col("id").alias("b"))
-    level = member.where(F.col("n") > FAN_OUT)
-    step = 0
-    while most > FAN_OUT:
-        step += 1
-        slot = F.pmod(F.xxhash64("id", F.lit(step)), F.ceil(F.col("n") / FAN_OUT))
-        level = scratch.save(level.withColumn("slot", slot), f"level{step}")
-        least = scratch.save(level.groupBy("key", "slot").agg(F.min("id").alias("top"), F.first("least").alias("least"), F.first("n").alias("n")), f"top{step}")
-        edges = edges.unionByName(level.select("key", "slot", "id").join(least.select("key", "slot", "top"), ["key", "slot"]).select(F.col("top").alias("a"), F.col("id").alias("b")))
-        level = least.select("key", F.col("top").alias("id"), "least", F.ceil(F.col("n") / FAN_OUT).alias("n"))
-        most = -(-most // FAN_OUT)
-        edges = edges.unionByName(level.where(F.col("n") <= FAN_OUT).select(F.col("least").alias("a"), F.col("id").alias("b")))
-        level = level.where(F.col("n") > FAN_OUT)
-    return edges.where("a < b")
-
-
 def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node that it reaches.
 
@@ -242,30 +275,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
     nodes = scratch.save(nodes, "nodes")
     if nodes.count() > classes.count():  # rows repeated with their doc_id
         nodes = scratch.save(nodes.dropDuplicates(["id"]), "nodes1")
-    bands = scratch.save(nodes.select(F.explode("bands").alias("key"), "id", "size"), "bands")
-    buckets = scratch.save(bands.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    shared = scratch.save(bands.join(buckets.select("key"), "key"), "shared")
-    scratch.drop("bands")
-
-    votes = _stars(shared.select("key", "id"), buckets, scratch).groupBy("b", "a").count()
-    proposed = votes.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
-    proposed = scratch.save(_similar(proposed, nodes, percent), "proposed")
+    bands = scratch.save(nodes.select(F.posexplode("bands").alias("band", "key"), "id"), "bands")
+    buckets = scratch.save(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = scratch.save(bands.join(buckets, "key"), "shared")
+    weight = scratch.save(shared.groupBy("id").agg(F.sum("n").alias("w")), "weight")
+    weighed = scratch.save(shared.join(weight, "id").select("key", "id", "w"), "weighed")
+    hubs = scratch.save(weighed.groupBy("key").agg(F.max(F.struct("w", -F.col("id"))).alias("top")).select("key", (-F.col("top.col2")).alias("a"), F.col("top.w").alias("w")), "hubs")
+    scratch.drop("bands", "buckets", "weight")
+
+    best = weighed.select("key", F.col("id").alias("b")).join(hubs, "key").where("a <> b").groupBy("b").agg(F.max(F.struct("w", -F.col("a"))).alias("top"))
+    proposed = scratch.save(_similar(best.select("b", (-F.col("top.col2")).alias("a")), nodes, percent), "proposed")
     links = scratch.save(_linked(proposed, docs, k, percent), "links")
     member = scratch.save(components(links, scratch), "member")
 
-    placed = scratch.save(shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c")), "placed")
-    mixed = scratch.save(placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key"), "mixed")
+    placed = scratch.save(shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = scratch.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
     open_ = scratch.save(placed.join(mixed, "key"), "open")
-    left, right = (open_.select("key", F.col("id").alias(i), F.col("size").alias(f"n{i}"), F.col("c").alias(f"c{i}")) for i in "ab")
-    near = (F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = left.join(right, "key").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.save(_similar(pairs, nodes, percent), "more")
+    sized = scratch.save(open_.join(nodes.select("id", "size", "sig"), "id"), "sized")
+    scratch.drop("placed", "weighed", "hubs", "shared", "open", "mixed", "proposed")
+    block = sized.withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "band", "id", "size", "c", "sig")
+    more = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent), "a long, b long")
+    more = scratch.save(more, "more")
+    scratch.drop("sized")
     if not more.isEmpty():
         links = links.unionByName(scratch.save(_linked(more, docs, k, percent), "more-links"))
         member = scratch.save(components(links, scratch, "again"), "member2")
 
     named = scratch.save(classes.select("k1", "k2", "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id")), "named")
-    scratch.drop("placed", "open", "mixed", "shared", "buckets", "proposed")
+    scratch.drop("nodes", "more", "links", "more-links")
     found = features.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
