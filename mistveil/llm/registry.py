@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, mixing, neardup, packing, pii, quality, repetition, suffixes
+from . import ann, chat, lm, mixing, neardup, packing, pii, quality, repetition, suffixes
 
 
 def _pipeline(spark, sf_dir):
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op3_repetition_rules": repetition.op3_repetition_rules,
         "op4_minhash_dedup": neardup.op4_minhash_dedup,
         "op5_pairwise_quality": quality.op5_pairwise_quality,
+        "op6_maxent_lm": lm.op6_maxent_lm,
         "op7_role_repair": chat.op7_role_repair,
         "op8_suffix_dedup": suffixes.op8_suffix_dedup,
         "op9_best_two_fit": packing.op9_best_two_fit,
