@@ -9,7 +9,8 @@
    confirmed links make components, which join most of any tight group.
 4. What is left are links between components. In each bucket that still holds several, all pairs of different
    components are compared by signature, in blocks of at most 2 * BLOCK nodes, and those alike enough are
-   confirmed on full sets. A pair is looked at in the first bucket that it shares.
+   confirmed on full sets. A pair is looked at in the first bucket that it shares. This runs twice: first each
+   node keeps its best partner of a block, which joins most of what can be joined, then all pairs are kept.
 5. Components come from alternating large-star and small-star steps on the links.
 
 Nothing is collected to the driver but counts. Joins on a bucket or a node read written tables on both sides, so
@@ -165,7 +166,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(_alike(_least(percent)), "a long, b long")
 
 
-def _across(percent: int):
+def _across(percent: int, best: bool):
     """Rows (key, i, j, g, band, id, size, c, sig), sorted by (key, i, j): pairs of different components.
 
     A group holds block i of a bucket and block j; g is a row's own. Pairs are of blocks i and j, or of i alone.
@@ -183,6 +184,9 @@ def _across(percent: int):
                 same = sig[others] == sig[x]
                 near = same.mean(axis=1) >= least
                 others, same = others[near], same[near]
+                if best and len(others):
+                    top = same.sum(axis=1).argmax()
+                    others, same = others[top : top + 1], same[top : top + 1]
                 first = same.reshape(len(others), HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
                 out += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for y in others[first == band[x]]]
         return out
@@ -259,6 +263,21 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _open_pairs(shared: DataFrame, nodes: DataFrame, member: DataFrame, scratch: Scratch, percent: int, best: bool, label: str) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a bucket and whose signatures are alike enough."""
+    placed = shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
+    placed = scratch.save(placed, f"placed{label}")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
+    mixed = scratch.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"mixed{label}")
+    open_ = scratch.save(placed.join(mixed, "key"), f"open{label}")
+    sized = scratch.save(open_.join(nodes.select("id", "size", "sig"), "id"), f"sized{label}")
+    scratch.drop(f"placed{label}", f"mixed{label}", f"open{label}")
+    block = sized.withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "band", "id", "size", "c", "sig")
+    pairs = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent, best), "a long, b long")
+    return pairs.distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``.
 
@@ -288,23 +307,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
     links = scratch.save(_linked(proposed, docs, k, percent), "links")
     member = scratch.save(components(links, scratch), "member")
 
-    placed = scratch.save(shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
-    mixed = scratch.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    open_ = scratch.save(placed.join(mixed, "key"), "open")
-    sized = scratch.save(open_.join(nodes.select("id", "size", "sig"), "id"), "sized")
-    scratch.drop("placed", "weighed", "hubs", "shared", "open", "mixed", "proposed")
-    block = sized.withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "band", "id", "size", "c", "sig")
-    more = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent), "a long, b long")
-    more = scratch.save(more, "more")
-    scratch.drop("sized")
-    if not more.isEmpty():
-        links = links.unionByName(scratch.save(_linked(more, docs, k, percent), "more-links"))
-        member = scratch.save(components(links, scratch, "again"), "member2")
+    scratch.drop("weighed", "hubs", "proposed")
+
+    for step, best in enumerate((True, False)):
+        more = scratch.save(_open_pairs(shared, nodes, member, scratch, percent, best, f"{step}"), f"more{step}")
+        if not more.isEmpty():
+            links = links.unionByName(scratch.save(_linked(more, docs, k, percent), f"more-links{step}"))
+            member = scratch.save(components(links, scratch, f"again{step}"), f"member{step}")
 
     named = scratch.save(classes.select("k1", "k2", "id").join(member.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component_id")), "named")
-    scratch.drop("nodes", "more", "links", "more-links")
+    scratch.drop("nodes", "shared", "more0", "more1", "links", "more-links0", "more-links1")
     found = features.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
