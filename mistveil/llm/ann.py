@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import lean, Scratch, table
 
 TOP = 20
 SAMPLE = 20_000
@@ -112,7 +112,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and vec (float32 bytes) of the rows that take part."""
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where(F.col("vec_id").isNotNull() & whole & F.exists("embedding", lambda x: x != 0))
-    return rows.mapInArrow(_pack_vectors, "vec_id long, vec binary")
+    return rows.mapInArrow(lean(_pack_vectors), "vec_id long, vec binary")
 
 
 def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top: int = TOP, share: float = SHARE) -> DataFrame:
@@ -142,7 +142,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
             x = _matrix(batch.column(1), dim).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(nearest(x[:, :cut], c1), pa.int32()), pa.array(nearest(x[:, cut:], c2), pa.int32()), *batch.columns], names=["i", "j", "vec_id", "vec"])
 
-    index = scratch.save(first_ones.mapInArrow(assign, "i int, j int, vec_id long, vec binary"), "index")
+    index = scratch.save(first_ones.mapInArrow(lean(assign), "i int, j int, vec_id long, vec binary"), "index")
     counts = np.zeros((len(c1), len(c2)), np.int64)
     for r in index.groupBy("i", "j").count().toLocalIterator():  # at most one row a cell
         counts[r["i"], r["j"]] = r["count"]
@@ -217,8 +217,8 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
         return tuple(np.concatenate(o) for o in out)
 
     schema = "block int, turn int, kind byte, i int, j int, id long, vec binary, ends double"
-    both = index.mapInArrow(place, schema).unionByName(queries.select("q", "vec").mapInArrow(route, schema))
-    found = both.repartition("block", "turn").sortWithinPartitions("block", "turn", "kind").mapInArrow(score, "q long, vec_id long, score double")
+    both = index.mapInArrow(lean(place), schema).unionByName(queries.select("q", "vec").mapInArrow(lean(route), schema))
+    found = both.repartition("block", "turn").sortWithinPartitions("block", "turn", "kind").mapInArrow(lean(score), "q long, vec_id long, score double")
     nearest_first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = scratch.save(found.withColumn("k", F.row_number().over(nearest_first)).where(F.col("k") <= top + 1), "best")
     ids = scratch.save(asked.select(F.col("vec_id").alias("query_id"), "vec").join(queries, "vec").select("query_id", "q"), "ids")

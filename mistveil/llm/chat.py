@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import lean, Scratch, table
 
 RELABEL, MERGE, INSERT = 2.0, 0.6, 0.9
 ROLES = ("system", "user", "assistant")
@@ -216,10 +216,10 @@ def repair(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "chat")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(_number, _ROWS)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(lean(_number), _ROWS)
     dealt = scratch.save(dealt, "dealt")
     placed = dealt.repartition("part").sortWithinPartitions("part", "at")
-    ends = placed.select("part", "at", "conv_id", "role").mapInArrow(_ends, "part int, at long, conv_id long, n long, matrix binary")
+    ends = placed.select("part", "at", "conv_id", "role").mapInArrow(lean(_ends), "part int, at long, conv_id long, n long, matrix binary")
     path = _path(ends.collect())  # two rows a partition
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def repair(spark: SparkSession, conversations: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _OUT)], schema=_OUT)
 
-    return placed.select("part", "at", "conv_id", "turn", "role", "text").mapInArrow(run, _OUT_DDL)
+    return placed.select("part", "at", "conv_id", "turn", "role", "text").mapInArrow(lean(run), _OUT_DDL)
 
 
 def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, emit, prefix_hash, span_hash, steps, table, utf8, word_spans
+from .common import emit, lean, prefix_hash, Scratch, span_hash, steps, table, utf8, word_spans
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, CLASSES, OWN = 4096, 32, 63
@@ -301,7 +301,7 @@ def train(counts: DataFrame, vocabulary: Vocabulary, rare_n: np.ndarray, rounds:
     w["word"][: len(cls)] = np.log(vocabulary.n + 1)
     for _ in range(rounds):
         total = {k: np.zeros((2, *x.shape)) for k, x in w.items()}
-        for row in counts.mapInArrow(_gradients(w, cls), "name string, part binary").toLocalIterator():
+        for row in counts.mapInArrow(lean(_gradients(w, cls)), "name string, part binary").toLocalIterator():
             total[row["name"]] += np.frombuffer(bytes(row["part"]), np.float32).reshape(total[row["name"]].shape)
         for k, (g, h) in total.items():
             shrink = 0 if k in ("bias", "word") else 0.1 * w[k]
@@ -366,7 +366,7 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held_out).alias("held_out")
     docs = docs.select("doc_id", out, "text")
-    found = docs.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count, "h long, ending short, n long")
+    found = docs.select((~F.col("held_out")).alias("train"), "text").mapInArrow(lean(_count), "h long, ending short, n long")
     counts = scratch.save(found.groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")), "counts")
     end = int(END.view(np.int64))
     top = [tuple(r) for r in counts.orderBy(F.desc("n"), "h").limit(HEAD).select("h", "ending", "n").collect()]
@@ -387,9 +387,9 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     chunks = max(1, -(-size // CHUNK))
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
     dealt = docs.select(chunk, "doc_id", "held_out", "text").repartition("chunk").sortWithinPartitions("chunk")
-    x = scratch.save(dealt.mapInArrow(_chunks(vocabulary), _X_DDL), "x")
+    x = scratch.save(dealt.mapInArrow(lean(_chunks(vocabulary)), _X_DDL), "x")
     parts = x.where(F.col("kind") >= _CLASS_COUNTS).select("kind", F.col("chunk").alias("block"), F.col("codes").alias("counts"))
-    sums_ = scratch.save(parts.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(_summed, "kind byte, block long, counts binary"), "sums")
+    sums_ = scratch.save(parts.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(lean(_summed), "kind byte, block long, counts binary"), "sums")
     w = train(sums_, vocabulary, rare_n)
 
     words = x.where(F.col("kind") == _WORDS).select(F.col("chunk").alias("of"), F.posexplode("words").alias("i", "h"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, emit, mix, prefix_hash, span_hash, steps, table, utf8, word_spans
+from .common import emit, lean, mix, prefix_hash, Scratch, span_hash, steps, table, utf8, word_spans
 
 HASHES, ROWS = 240, 6
 BLOCK = 512
@@ -163,7 +163,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of distinct pairs (a, b): those whose signatures are as alike as the sets may be."""
     sig_a, sig_b = (nodes.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
     joined = pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b")
-    return joined.mapInArrow(_alike(_least(percent)), "a long, b long")
+    return joined.mapInArrow(lean(_alike(_least(percent))), "a long, b long")
 
 
 def _across(percent: int, best: bool):
@@ -223,7 +223,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     wanted = hubs.unionByName(pairs.select(F.col("b").alias("id"), "a", "salt", "b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
     placed = wanted.join(texts.hint("merge"), "id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return placed.select("a", "b", "text").mapInArrow(_confirm(k, percent), "a long, b long")
+    return placed.select("a", "b", "text").mapInArrow(lean(_confirm(k, percent)), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
@@ -274,7 +274,7 @@ def _open_pairs(shared: DataFrame, nodes: DataFrame, member: DataFrame, scratch:
     scratch.drop(f"placed{label}", f"mixed{label}", f"open{label}")
     block = sized.withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "band", "id", "size", "c", "sig")
-    pairs = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(percent, best), "a long, b long")
+    pairs = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(percent, best)), "a long, b long")
     return pairs.distinct()
 
 
@@ -287,7 +287,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
     kept. Other columns are not looked at. No rows, no result.
     """
     scratch = Scratch(spark, "neardup")
-    features = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_features(k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
+    features = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_features(k)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")
     classes = features.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     classes = scratch.save(classes, "classes")
     nodes = features.join(classes, ["k1", "k2"]).where(F.col("doc_id") == F.col("id")).select("id", F.col("n_shingles").alias("size"), "sig", "bands")

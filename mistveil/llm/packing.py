@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, emit, table
+from .common import emit, lean, Scratch, table
 
 LIMIT = 1024
 END_ID = 2
@@ -49,11 +49,12 @@ def encoder(tokenizer: str, ranks: str):
         with open(ranks, "rb") as f:
             table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
-        plain = Tokenizer.from_file(tokenizer)
+        plain = []  # loaded when it is needed
 
         def encode(text: str) -> np.ndarray:
             if _SPECIAL in text:
-                return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+                plain.extend([] if plain else [Tokenizer.from_file(tokenizer)])
+                return np.array(plain[0].encode(text, add_special_tokens=False).ids, np.uint32)
             return np.array(fast.encode_ordinary(text), np.uint32)
 
         _encoders[tokenizer, ranks] = encode
@@ -180,7 +181,7 @@ def pack(spark: SparkSession, docs: DataFrame, limit: int = LIMIT, end_id: int =
     """
     scratch = Scratch(spark, "packing")
     files = tokenizer or default_tokenizer()
-    pieces = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_tokenize(files, limit, end_id), _PIECES_DDL), "pieces")
+    pieces = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_tokenize(files, limit, end_id)), _PIECES_DDL), "pieces")
     by_part = scratch.save(pieces.groupBy("part", "length").count(), "by_part")
     counts = np.zeros(limit + 1, np.int64)
     for row in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most ``limit`` rows
@@ -189,7 +190,7 @@ def pack(spark: SparkSession, docs: DataFrame, limit: int = LIMIT, end_id: int =
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     ranked = pieces.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))
-    return ranked.mapInArrow(_place(where), _PLACED_DDL)
+    return ranked.mapInArrow(lean(_place(where)), _PLACED_DDL)
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import repetition
-from .common import emit, prefix_hash, span_hash, steps, table, utf8, word_spans
+from .common import emit, lean, prefix_hash, span_hash, steps, table, utf8, word_spans
 
 #: Most labelled documents that are learned from: those with the smallest hashes of doc_id.
 SAMPLE = 20_000
@@ -105,7 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     chosen = labels.where(fold("doc_id", folds) != 0).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(_features, "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").limit(2 * sample).collect()
+    rows = texts.mapInArrow(lean(_features), "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float64).reshape(-1, N_FEATURES)
     return fit(x, np.array([r["y"] for r in rows], np.int64))
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model: dict, folds: int = FOLDS) -> DataFrame:
                 yield emit(_SCORED, [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), s, (s >= CUT).astype(np.int32)])
 
     rows = docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id").cast("long").cast("string"), folds) == 0).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op5_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

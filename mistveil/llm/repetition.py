@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import emit, mix, prefix_hash, span_hash, steps, table, utf8, word_spans
+from .common import emit, lean, mix, prefix_hash, span_hash, steps, table, utf8, word_spans
 
 #: n-gram length in words -> largest share of the characters in words that later copies may cover.
 NGRAM_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
@@ -125,7 +125,7 @@ def rules(docs: DataFrame) -> DataFrame:
     A null or empty text has no words: all measures are 0, and it is rejected. A null doc_id stays null,
     repeated rows are each measured, and other columns are not looked at.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rules, _DDL)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_rules), _DDL)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def keep(docs: DataFrame) -> DataFrame:
             kept = [verdict(measure(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]))[1] for lo, hi in steps(at)]
             yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, emit, mix, powers, prefix_hash, span_hash, steps, table, utf8
+from .common import emit, lean, mix, powers, prefix_hash, Scratch, span_hash, steps, table, utf8
 
 LENGTH = 200
 GRAM = 32
@@ -310,7 +310,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     scratch = Scratch(spark, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("th"))
-    runs = scratch.save(keyed.where(F.octet_length("text") >= length).select("id", "text", "th").mapInArrow(_runs(length, gram), _RUNS_DDL), "runs")
+    runs = scratch.save(keyed.where(F.octet_length("text") >= length).select("id", "text", "th").mapInArrow(lean(_runs(length, gram)), _RUNS_DDL), "runs")
     groups = runs.groupBy("m").agg(F.count("*").alias("k"), F.max("twice").alias("twice"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("k + twice > 1")
     groups = scratch.save(groups.select("m", ((F.col("c0") != F.col("c1")) | (F.col("k") == 1)).alias("open")), "groups")
     shared = scratch.save(runs.join(groups, "m"), "shared")
@@ -326,12 +326,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     dealt = scratch.save(dealt, "dealt")
     wanted = dealt.groupBy("id", "th").agg(F.collect_list(F.struct("m", "c", "sub", "start", "n")).alias("want"))
     pieces = wanted.join(keyed.select("id", "th", "text"), ["id", "th"]).select("want", "text")
-    pieces = scratch.save(pieces.mapInArrow(_cut(length), "m long, c long, sub int, bytes binary"), "pieces")
+    pieces = scratch.save(pieces.mapInArrow(lean(_cut(length)), "m long, c long, sub int, bytes binary"), "pieces")
     placed = pieces.join(large, "m", "left").withColumn("subs", F.coalesce("subs", F.lit(1)))
     sorted_ = placed.repartition("m", "sub").sortWithinPartitions("m", "sub", "c").select("m", "c", "sub", "bytes", "subs")
-    found = scratch.save(sorted_.mapInArrow(_shards(length, shard), _FOUND_DDL), "found")
+    found = scratch.save(sorted_.mapInArrow(lean(_shards(length, shard)), _FOUND_DDL), "found")
     lists = found.where("bucket >= 0").select("m", "bucket", "lists").repartition("m", "bucket").sortWithinPartitions("m", "bucket")
-    across = lists.mapInArrow(_merge, "m long, c long, lo int, hi int")
+    across = lists.mapInArrow(lean(_merge), "m long, c long, lo int, hi int")
     ranges = found.where("bucket < 0").select("m", "c", "lo", "hi").unionByName(across).groupBy("m", "c").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     copied = F.when(F.col("copied"), F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))).otherwise(F.col("ranges"))
     known = scratch.save(contents.select("m", "c", "n", "copied").join(ranges, ["m", "c"], "left").select("m", "c", copied.alias("ranges")).where("ranges is not null"), "known")
@@ -341,7 +341,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     scratch.drop("shared", "pieces", "dealt", "found", "known", "contents")
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_bytes
     joined = keyed.join(by_doc, ["id", "th"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_remove(with_bytes), ddl)
+    return joined.mapInArrow(lean(_remove(with_bytes)), ddl)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
