@@ -151,6 +151,17 @@ _X_DDL = "kind byte, chunk long, doc_id long, held_out boolean, codes binary, ra
 _DOC, _WORDS, _CLASS_COUNTS, _WORD_COUNTS = range(4)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """A bag of ids as sorted differences, in two bytes each if they fit; the order of rare words in a text does not matter."""
+    d = np.diff(np.sort(ids), prepend=0)
+    narrow = not len(d) or d.max() < 1 << 16
+    return (b"\0" if narrow else b"\1") + d.astype("<u2" if narrow else "<u4").tobytes()
+
+
+def unpack_ids(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<u4" if raw[0] else "<u2", offset=1), dtype=np.int64)
+
+
 def _chunks(vocabulary: Vocabulary):
     """Rows (chunk, doc_id, held_out, text), sorted by chunk -> documents, rare words of chunks, and counts of the task."""
 
@@ -165,10 +176,10 @@ def _chunks(vocabulary: Vocabulary):
             words = np.unique(np.concatenate([x[3] for x in held]))
             docs = []
             for ids, out, codes, rare, at, rare_at in held:
-                local = np.searchsorted(words, rare).astype(np.int32)
+                local = np.searchsorted(words, rare)
                 codes = codes.astype(np.uint16)
                 for i in range(len(at) - 1):
-                    docs.append((_DOC, now, ids[i], out[i], codes[at[i] : at[i + 1]].tobytes(), local[rare_at[i] : rare_at[i + 1]].tobytes(), None))
+                    docs.append((_DOC, now, ids[i], out[i], codes[at[i] : at[i + 1]].tobytes(), pack_ids(local[rare_at[i] : rare_at[i + 1]]), None))
             yield emit(_X, list(zip(*docs)))
             yield emit(_X, [[_WORDS], [now], [None], [None], [None], [None], pa.array([words.view(np.int64)], pa.list_(pa.int64()))])
 
@@ -341,12 +352,12 @@ def _score(key: str, w: dict, vocabulary: Vocabulary, n: int, v: int, rare_n: np
         total = np.log10(float(n + v + 1))
         rows = []
         for doc, out, raw, rare_raw in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held_out", "codes", "rare"))):
-            codes, local = np.frombuffer(raw, np.uint16).astype(np.int64), np.frombuffer(rare_raw, np.int32)
+            codes, local = np.frombuffer(raw, np.uint16).astype(np.int64), unpack_ids(rare_raw)
             rare = codes >= HEAD
             one, two = contexts(bucket[codes], np.array([0, len(codes)]))
             score = classes[one, two, cls[codes]].sum(dtype=np.float64)
             score += head[one[~rare], codes[~rare]].sum(dtype=np.float64)
-            score += (base_rare[local] - room[cls[codes[rare]] - CLASSES]).sum()
+            score += base_rare[local].sum() - room[cls[codes[rare]] - CLASSES].sum()
             base = base_head[codes[~rare]].sum() + base_rare[local].sum() - len(codes) * total
             known = int((~rare).sum() + (count[local] > 0).sum())
             rows.append((doc, out, len(codes), known, n, float(base), float(score)))

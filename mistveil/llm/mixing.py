@@ -56,9 +56,9 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = SEED) -> DataFra
     but for any named copy, rate or shuffle_key, which are replaced. An empty table stays empty.
     """
     docs = docs.drop("copy", "rate", "shuffle_key")
-    listed = rates(docs, weights).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), "cdf")
+    listed = rates(docs, weights).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), F.col("cdf").alias("__cdf"))
     u = _hash48("count", str(seed), F.col("doc_id")) / F.lit(float(1 << _BITS))
-    drawn = F.when(F.col("cdf").isNull(), F.lit(1)).otherwise(F.size(F.filter("cdf", lambda p: p <= u)))
+    drawn = F.when(F.col("__cdf").isNull(), F.lit(1)).otherwise(F.size(F.filter("__cdf", lambda p: p <= u)))
     joined = docs.join(F.broadcast(listed), docs["source"] == F.col("__source"), "left")
     counted = joined.withColumn("__n", drawn).where("__n > 0")
     copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"), F.coalesce("__rate", F.lit(1.0)).alias("rate"))

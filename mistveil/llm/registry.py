@@ -28,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_poisson_mix": mixing.SQL, "op3_repetition_rules": repetition.SQL, "op4_minhash_dedup": neardup.SQL}
+    return {"op1_poisson_mix": mixing.SQL, "op3_repetition_rules": repetition.SQL, "op4_minhash_dedup": neardup.SQL, "op8_suffix_dedup": suffixes.SQL}

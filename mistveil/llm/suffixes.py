@@ -346,3 +346,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, i, md5(b[i:i + {LENGTH - 1}]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - {LENGTH - 2})) AS i FROM n)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS k FROM w) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CAST(i - lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH} AS INT) AS new FROM m)),
+s AS (SELECT doc_id, min(i) AS s, max(i) + {LENGTH - 1} AS e FROM g GROUP BY doc_id, g),
+edges AS (SELECT doc_id, e + 1 AS a, lead(s) OVER (PARTITION BY doc_id ORDER BY s) - 1 AS z FROM (SELECT doc_id, s, e FROM s UNION ALL SELECT doc_id, 0, 0 FROM n)),
+kept AS (SELECT doc_id, string_agg(hex(b[a:coalesce(z, n)]), '' ORDER BY a) AS x, CAST(sum(greatest(coalesce(z, n) - a + 1, 0)) AS BIGINT) AS c FROM edges JOIN n USING (doc_id) WHERE a <= coalesce(z, n) GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_bytes, n.n - coalesce(k.c, 0) AS n_removed, (SELECT count(*) FROM s WHERE s.doc_id = n.doc_id) AS n_spans, sha256(unhex(coalesce(k.x, ''))) AS kept_sha256
+FROM n LEFT JOIN kept k USING (doc_id)
+"""

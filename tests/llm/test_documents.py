@@ -1,0 +1,307 @@
+"""The operators on documents, against brute-force versions, on odd rows and on empty tables."""
+
+import hashlib
+import json
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mistveil.llm import lm, mixing, neardup, packing, pii, quality, registry, repetition, suffixes
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def docs_of(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+def pairs_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracles(spark, sf, name):
+    got = registry.queries()[name](spark, sf)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    order = [want.columns.index(c) for c in got.columns]
+    near = lambda v: round(v, 9) if isinstance(v, float) else v
+    assert sorted(map(repr, ([near(v) for v in r] for r in got.collect()))) == sorted(map(repr, ([near(r[i]) for i in order] for r in want.fetchall())))
+
+
+# op1
+
+
+def test_mix_odd(odd, none):
+    out = mixing.mix(odd, {"src0": 0.5, "src1": 0.5})
+    assert set(odd.columns) <= set(out.columns)
+    unlisted = odd.where("source is null or source = 'src2'").count()
+    assert out.where("source is null or source = 'src2'").count() == unlisted
+    assert mixing.mix(none, {"src0": 1.0}).count() == 0
+    assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(odd, {"src0": 0.5, "src1": 0.5}).collect()))
+
+
+def test_mix_reaches_weights(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("abcd").alias("text"), F.when(F.col("id") < 5000, "a").otherwise("b").alias("source"))
+    n = {r["source"]: r["count"] for r in mixing.mix(docs, {"a": 0.5, "b": 0.5}).groupBy("source").count().collect()}
+    assert abs(n["a"] - 3000) < 250 and abs(n["b"] - 3000) < 250
+
+
+# op2
+
+
+def test_base_spans():
+    text = "a.b@c.de, x@y 1.2.3.4 300.1.1.1, 4111 1111 1111 1111, 4111-1111-1111-1112, +1 (555) 555-0100 +12 34 1.2.3.4@x.org"
+    got = [(pii.TYPES[k], text[s:e]) for s, e, k in pii.base_spans(text)]
+    assert got == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 555-0100"), ("email", "1.2.3.4@x.org"), ("ip", "1.2.3.4")]
+
+
+def naive_base(text):
+    out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[ -]", "", m[0])
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), m.end(), 2))
+    out += [(m.start(), m.end(), 3) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out, key=lambda x: (x[0], x[2]))
+
+
+def test_base_spans_equal_the_patterns(spark, sf):
+    rng = np.random.default_rng(1)
+    made = ["".join(rng.choice(list("ab1234567890.@+- ()"), 60)) for _ in range(400)]
+    for text in made + [t for _, t in pairs_of(docs_of(spark, sf))]:
+        assert pii.base_spans(text) == naive_base(text)
+
+
+def test_field_is_the_best_segmentation():
+    weights = pii.train()
+    text = 'call +1 (555) 555-0100 4111111111111111 or token = "0123456789abcdef0123456789abcdef" now'
+    assert [(t, text[a:b]) for a, b, t in pii.decode(weights, *pii.candidates(text, 0, len(text)))] == [("phone", "+1 (555) 555-0100"), ("card", "4111111111111111"), ("secret", "0123456789abcdef0123456789abcdef")]
+    bounds, found = pii.candidates("x 1.2.3.4 12-34-5678 a1b2c3d4e5f6", 0, 34)
+
+    def brute(j):
+        best = [brute(j - 1)] if j else [0.0]
+        for i, f in found.get(j, ()):
+            best += [brute(i) + sum(weights.get((t, x), 0.0) for x in f) for t in pii.TYPES]
+        return max(best)
+
+    place = {b: i for i, b in enumerate(bounds)}
+    chosen = pii.decode(weights, bounds, found)
+    score = sum(sum(weights.get((t, x), 0.0) for x in next(f for i, f in found[place[b]] if i == place[a])) for a, b, t in chosen)
+    assert abs(score - brute(len(bounds) - 1)) < 1e-9
+
+
+def test_pii_odd(odd, none):
+    got = pii.find(odd).collect()
+    assert len(got) == odd.count() and pii.find(none).count() == 0
+    assert {r["base_sha256"] for r in got if r["doc_id"] in (1, 2)} == {hashlib.sha256(b"").hexdigest()}
+    assert pii.redact(odd).where("text is null").count() == 2
+    assert pii.redact_text("mail a@b.cd now", pii.train()) == "mail [EMAIL] now"
+
+
+# op3
+
+
+def test_rules_odd(odd, none):
+    got = repetition.rules(odd).collect()
+    assert len(got) == odd.count() and repetition.rules(none).count() == 0
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["n_words"] == by[2]["n_words"] == by[3]["n_words"] == 0 and not by[1]["kept"]
+    assert by[9]["base_failed"] and by[11]["n_dup_lines"] == 1 and by[6]["kept"] and by[13]["kept"]
+    kept = [r["doc_id"] for r in repetition.keep(odd).collect()]
+    assert sorted(kept, key=str) == sorted((r["doc_id"] for r in got if r["kept"]), key=str)
+
+
+# op4
+
+
+def naive_components(rows, k, percent):
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_near_duplicates_against_brute_force(spark, odd, none):
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(80):  # a spectrum of edits of one text, so that links chain
+        words = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            words[int(rng.integers(len(words)))] = f"v{rng.integers(10_000)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100, "A b"), (101, "a B"), (102, None), (103, ""), (104, "a b c")]
+    got = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == naive_components(rows, 4, 80)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    odd_got = neardup.near_duplicates(spark, odd, 4, 80).collect()
+    assert len(odd_got) == odd.count() and neardup.near_duplicates(spark, none).count() == 0
+    by = {r["doc_id"]: r["component_id"] for r in odd_got if r["doc_id"] is not None}
+    assert by[5] == 4 and by[7] == 6 and by[8] == 6 and by[1] == 1
+
+
+def test_components_of_chains_and_stars(spark):
+    from mistveil.llm.common import Scratch
+
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 150)]
+    got = dict(tuple(r) for r in neardup.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect())
+    assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160)) and got[200] == 100
+
+
+# op5
+
+
+def test_quality(spark, sf, odd, none):
+    docs, labels = docs_of(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.learn(docs, labels)
+    held = quality.score(docs, model).where("held_out").join(labels, "doc_id").collect()
+    assert len(held) > 50 and np.mean([r["predicted"] == r["quality"] for r in held]) > 0.9
+    got = quality.score(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got) and quality.score(none, model).count() == 0
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    one = quality.fit(np.ones((3, quality.N_FEATURES)), np.ones(3))
+    assert set(quality.predict(one, np.ones((2, quality.N_FEATURES)))) == {0.5}
+
+
+# op6
+
+
+def test_lm(spark, sf, odd, none):
+    docs = docs_of(spark, sf)
+    rows = pairs_of(docs)
+    tokens = lambda t: WORD.findall((t or "").translate(LOWER)) + [None]
+    c = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    got = {r["doc_id"]: r for r in lm.score(spark, docs).collect()}
+    for i, t in rows:
+        w = tokens(t)
+        r = got[i]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+    held = [r for r in got.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert len(lm.score(spark, odd).collect()) == odd.count() and lm.score(spark, none).count() == 0
+
+
+def test_lm_is_normalised():
+    """All classes, and all words in each class, have probabilities that sum up to 1."""
+    rng = np.random.default_rng(0)
+    w = {k: rng.normal(size=x.shape) for k, x in lm.new_weights().items()}
+    cls = np.arange(500) % lm.CLASSES
+    assert np.allclose(np.exp(lm.class_logs(w, 5)).sum(axis=1), 1)
+    assert np.allclose(np.bincount(cls, np.exp(lm.word_logs(w, 5, cls)), lm.CLASSES), 1)
+
+
+# op8
+
+
+def naive_removal(rows, length):
+    seen = Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard": 3000, "split": 900}])
+def test_suffixes_against_brute_force(spark, odd, none, sizes):
+    rows = [(i, t if t is None or len(t) < 5000 else t[:2500]) for i, t in pairs_of(odd)]
+    part = "a passage that occurs in many of them, with words around it that differ "
+    rows += [(100 + i, f"start {i} " + part * 2 + f"end {i * 7919}") for i in range(30)]
+    got = suffixes.remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), 40, 16, **sizes)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == naive_removal(rows, 40)
+    assert suffixes.remove_repeats(spark, none).count() == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 50, 300):
+        s = rng.integers(0, 3, n)
+        sa = suffixes.suffix_array(s)
+        assert list(sa) == sorted(range(n), key=lambda i: tuple(s[i:]))
+        lcp = suffixes.common_prefixes(s, sa) if n else []
+        for k in range(1, n):
+            a, b = s[sa[k - 1] :], s[sa[k] :]
+            m = min(len(a), len(b))
+            assert lcp[k] == next((i for i in range(m) if a[i] != b[i]), m)
+
+
+# op9
+
+
+def test_packing(spark, sf, odd, none):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(packing.default_tokenizer()[0])
+    for docs in (docs_of(spark, sf), odd.union(odd.limit(1).withColumn("text", F.lit("a <|endoftext|> b")).withColumn("doc_id", F.lit(99)))):
+        got = packing.pack(spark, docs).collect()
+        ids = defaultdict(list)
+        for i, t in pairs_of(docs):
+            ids[i].append(own.encode(t or "", add_special_tokens=False).ids + [2])
+        by, bins = defaultdict(list), defaultdict(list)
+        for r in got:
+            by[r["doc_id"]].append(r)
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        for i, texts in ids.items():
+            assert sorted((r["start"], r["length"], r["ids_crc32"]) for r in by[i]) == sorted((a, b - a, zlib.crc32(np.array(t[a:b], "<u4").tobytes())) for t in texts for a, b in packing.cut(len(t), 1024))
+        for pieces in bins.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        least = -(-sum(r["length"] for r in got) // 1024)
+        assert len(bins) <= least * 1.05 + 2
+    assert packing.pack(spark, none).count() == 0
+
+
+def test_best_two_fit_replaces():
+    counts = np.zeros(11, np.int64)
+    counts[[7, 2]] = 1
+    counts[1] = 0
+    counts[[3]] = 0
+    assert packing.plan_bins(counts, 10) == [((7, 2), 1)]
+    assert packing._best_pair(np.array([0, 2, 1, 0]), 2, 3) == (1, 2)
+    assert packing._best_pair(np.array([0, 1, 0, 0]), 1, 2) is None
+
+
+def test_fast_tokenizer_gives_the_same_ids():
+    from tokenizers import Tokenizer
+
+    own, fast = Tokenizer.from_file(packing.default_tokenizer()[0]), packing.encoder(*packing.default_tokenizer())
+    for text in ["", " a  b\n\n c", "naïve café 𠮷", "\x00\x1c\x85", "１２３ ½", "it's 'S 'LL", "<|endoftext|> x", json.dumps({"a": [1, 2]})]:
+        assert list(fast(text)) == own.encode(text, add_special_tokens=False).ids
