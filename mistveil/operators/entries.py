@@ -184,3 +184,30 @@ def coalesce_ranges(ranges: DataFrame, key: str = "doc_id") -> DataFrame:
     marked = ranges.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
     grouped = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return grouped.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+
+def merge_summary(found: DataFrame, entries: DataFrame) -> DataFrame:
+    """Per document: distinct candidate strings (doc_id, text) that are new, and that an entry has already."""
+    known = entries.select("doc_id", F.col("normalized_text").alias("text"), F.lit(1).alias("known")).distinct()
+    each = found.select("doc_id", "text").distinct().join(known, ["doc_id", "text"], "left")
+    return each.groupBy("doc_id").agg(F.count_if(F.col("known").isNull()).alias("added"), F.count_if(F.col("known").isNotNull()).alias("merged"))
+
+
+def next_group_number(entries: DataFrame) -> DataFrame:
+    """(doc_id, number) that a new group gets."""
+    return group_numbers(entries).groupBy("doc_id").agg((F.max("number") + 1).alias("number"))
+
+
+def reapply(docs: DataFrame, mapping: dict) -> DataFrame:
+    """A saved mapping (validated: at most 10,000 entries) on documents, as their ``entries``, counted anew."""
+    from ..sources.mappings import reapply as on_text
+    from ..sources.mappings import validate
+    from .pipeline import ENTRY_DDL
+
+    validate(mapping)
+
+    @F.pandas_udf(ENTRY_DDL)
+    def run(texts):
+        return texts.map(lambda t: on_text(mapping, t or ""))
+
+    return docs.withColumn("entries", run("text"))

@@ -26,3 +26,27 @@ def score(expected: DataFrame, predicted: DataFrame, mode: str = "occurrence") -
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     n = n.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     return n.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def evaluate(corpus: DataFrame, candidates: DataFrame, mode: str = "occurrence") -> DataFrame:
+    """Scores of ``candidates`` (doc_id, category, text, start, end, of any category) against a corpus with entities."""
+    expected = corpus.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+    known = ("PERSON", "ORGANIZATION", "ADDRESS")
+    return score(expected, candidates.where(F.col("category").isin(*known)), mode)
+
+
+def placed(texts: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Outputs (doc_id, category, text, start, end) with a place for those that have none: the only occurrence in the text, or the first."""
+    joined = outputs.join(texts.select("doc_id", F.col("text").alias("__source")), "doc_id")
+    at = F.instr("__source", F.col("text")) - 1
+    start = F.coalesce("start", F.when(at >= 0, at))
+    return joined.withColumn("start", start).withColumn("end", F.coalesce("end", F.col("start") + F.length("text"))).where("start is not null").drop("__source")
+
+
+def write_result(scores: DataFrame, corpus: DataFrame, path: str, **about) -> None:
+    """One JSON document a category, with the hash of the corpus and what else is to be told."""
+    digest = corpus.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("doc_id"), F.sha2("text", 256).alias("h"))))), 256).alias("corpus_sha256"))
+    out = scores.join(digest, F.lit(True))
+    for k, v in about.items():
+        out = out.withColumn(k, F.lit(v))
+    out.coalesce(1).write.mode("errorifexists").json(path)

@@ -161,6 +161,13 @@ def replacement_counts(spark, sf_dir):
     return E.active(_status(_entries(spark, sf_dir))).groupBy("category").agg(F.sum("occurrence_count").alias("replacements"), F.count("*").alias("entries"))
 
 
+def merge_summary(spark, sf_dir):
+    """What the structured detectors find, against entries for all but IP addresses."""
+    found = _first_found(spark, sf_dir)
+    known = found.where("category <> 'OTHER'").select("doc_id", F.col("text").alias("normalized_text"))
+    return E.merge_summary(found, known)
+
+
 # Scoring -----------------------------------------------------------------------------------
 
 
@@ -262,7 +269,7 @@ def _by(name: str, detector):
 def queries() -> dict:
     own = [
         detect_emails, detect_ipv4, detect_postal_codes, detect_urls, candidate_union_distinct, postal_not_in_phone, ip_not_in_url, token_assignment, masked_documents, restore_roundtrip, token_inspection, session_counts,
-        visible_entries, replacement_counts, score_target, nfc_text, fullwidth_fold, excess_whitespace, range_coalesce, rule_summary, group_labels, all_candidates, document_entries, contextual_mask, highlight_segments,
+        visible_entries, replacement_counts, merge_summary, score_target, nfc_text, fullwidth_fold, excess_whitespace, range_coalesce, rule_summary, group_labels, all_candidates, document_entries, contextual_mask, highlight_segments,
         document_normalization, chunk_text,
     ]
     out = {f.__name__: f for f in own}
@@ -321,6 +328,7 @@ def oracle_sql() -> dict:
         "token_inspection": f"WITH {_FIRST} SELECT doc_id, CAST(n_entries - m AS INT) AS known_present, m AS absent, CAST(1 AS INT) AS unknown, CAST(0 AS INT) AS natural FROM (SELECT doc_id, n_entries, CAST(contains(masked, '[メール_1]') AS INT) AS m FROM masked)",
         "session_counts": f"WITH {_FIRST} SELECT doc_id, count(*) FILTER (WHERE h NOT IN (0, 1)) AS active, CAST(coalesce(sum(occurrence_count) FILTER (WHERE h NOT IN (0, 1)), 0) AS BIGINT) AS replacements, count(*) AS total, count(*) FILTER (WHERE h = 0) AS disabled, count(*) FILTER (WHERE occurrence_count = 0) AS zero_occurrence FROM states GROUP BY 1",
         "replacement_counts": f"WITH {_FIRST} SELECT category, CAST(sum(occurrence_count) AS BIGINT) AS replacements, count(*) AS entries FROM states WHERE h NOT IN (0, 1) GROUP BY 1",
+        "merge_summary": f"WITH {_FIRST} SELECT doc_id, count(*) FILTER (WHERE category = 'OTHER') AS added, count(*) FILTER (WHERE category <> 'OTHER') AS merged FROM firsts GROUP BY 1",
         "visible_entries": f"WITH {_FIRST} SELECT doc_id, v AS value, token, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY (h = 2) DESC, CASE WHEN h = 2 THEN o END NULLS LAST, instr(source_text, v), length(v) DESC, o) AS INT) AS review_rank FROM states WHERE h <> 0 AND (contains(lower(v), '_1') OR contains(lower(token), '_1'))",
         "score_target": f"""WITH ip AS (SELECT DISTINCT doc_id, v FROM ({_IPS})), mail AS (SELECT DISTINCT doc_id, v FROM ({_EMAILS})),
             e AS (SELECT doc_id, 'OTHER' AS c, v FROM ip UNION SELECT doc_id, 'EMAIL', v FROM mail),

@@ -162,3 +162,30 @@ def test_entry_point_imports_without_a_session():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries(); e.oracle_sql()"], cwd=root, check=True, timeout=120)
+
+
+def test_texts_in_and_out(spark, tmp_path):
+    from mistveil.sources import texts
+
+    rows = [(1, "か" + chr(0x3099) + " e" + chr(0x301)), (2, "plain"), (3, None), (4, "x" * 30_001)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "p"))
+    got = {r["doc_id"]: r for r in texts.read(spark, str(tmp_path / "p")).collect()}
+    assert got[1]["text"] == "が é" and got[3]["text"] is None and got[4]["is_long"] and not got[2]["is_long"]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("one\ntwo")
+    assert [r["text"] for r in texts.read(spark, str(tmp_path / "t"), "text").collect()] == ["one\ntwo"]
+    masked = spark.createDataFrame([(1, "a", "a"), (2, "b", "[x_1]")], "doc_id long, text string, masked string")
+    assert sorted(map(tuple, texts.write_masked(masked, str(tmp_path / "o")).collect())) == [(1, True), (2, False)]
+
+
+def test_mappings_on_documents_and_results(spark, tmp_path, table):
+    docs = spark.createDataFrame([(1, "t0 t0 t1"), (2, None)], "doc_id long, text string")
+    got = E.from_docs(E.reapply(docs, saved())).orderBy("doc_id", "display_order").collect()
+    assert [r["occurrence_count"] for r in got] == [2, 1, 0, 0]
+    assert [r["number"] for r in E.next_group_number(E.relate(table, ["e1", "e0"], "related-4-a")).collect()] == [5]
+    c = spark.createDataFrame([("a", "佐藤と東京", [("PERSON", 0, 2, "佐藤")])], "doc_id string, text string, entities array<struct<category:string,start:int,end:int,text:string>>")
+    p = scoring.placed(c, spark.createDataFrame([("a", "PERSON", "佐藤", None, None), ("a", "EMAIL", "x", 0, 1)], "doc_id string, category string, text string, start int, end int"))
+    s = scoring.evaluate(c, p)
+    assert {r["category"]: r["f1"] for r in s.collect()} == {"PERSON": 1.0, None: 1.0}
+    scoring.write_result(s, c, str(tmp_path / "r"), run="test")
+    assert spark.read.json(str(tmp_path / "r")).where("length(corpus_sha256) = 64 and run = 'test'").count() == 2
