@@ -9,7 +9,7 @@ that is run again makes the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -35,8 +35,10 @@ def rates(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
     size = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size")).where(F.col("source").isin(*weights))
     weight = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     sized = size.where("size > 0").withColumn("weight", F.element_at(weight, F.col("source")).cast("double"))
-    total = sized.agg(F.sum("size").alias("total"), F.sum("weight").alias("weights"))  # one row
-    rate = sized.join(F.broadcast(total), F.lit(True)).select("source", (F.col("weight") / F.col("weights") * F.col("total") / F.col("size")).alias("rate"))
+    # Over at most len(weights) rows, in a fixed order, so that sums are the same each time.
+    every = Window.partitionBy(F.lit(0)).orderBy("source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = sized.withColumn("total", F.sum("size").over(every)).withColumn("weights", F.sum("weight").over(every))
+    rate = totals.select("source", (F.col("weight") / F.col("weights") * F.col("total") / F.col("size")).alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
     start = F.struct((-F.col("rate")).alias("log_p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
 
@@ -61,7 +63,7 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = SEED) -> DataFra
     drawn = F.when(F.col("__cdf").isNull(), F.lit(1)).otherwise(F.size(F.filter("__cdf", lambda p: p <= u)))
     joined = docs.join(F.broadcast(listed), docs["source"] == F.col("__source"), "left")
     counted = joined.withColumn("__n", drawn).where("__n > 0")
-    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"), F.coalesce("__rate", F.lit(1.0)).alias("rate"))
+    copies = counted.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"), F.round(F.coalesce("__rate", F.lit(1.0)), 9).alias("rate"))
     keyed = copies.withColumn("shuffle_key", _hash48("order", str(seed), F.col("doc_id"), F.col("copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
@@ -85,7 +87,7 @@ cdfs AS (SELECT source, rate, k, sum(exp(log_p)) OVER (PARTITION BY source ORDER
 draws AS (SELECT *, {_SQL_HASH.format(f"concat('count:{SEED}:', coalesce(CAST(doc_id AS VARCHAR), 'null'))")} / {float(1 << _BITS)} AS u FROM docs),
 counts AS (SELECT d.doc_id, any_value(d.source) AS source, any_value(c.rate) AS rate, count(*) FILTER (WHERE c.p <= d.u) AS n
            FROM draws d JOIN cdfs c ON d.source = c.source GROUP BY d.doc_id),
-mixed AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(r.copy AS INTEGER) AS copy, coalesce(c.rate, 1.0) AS rate
+mixed AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(r.copy AS INTEGER) AS copy, round(coalesce(c.rate, 1.0), 9) AS rate
           FROM docs d LEFT JOIN counts c ON d.doc_id = c.doc_id, LATERAL (SELECT unnest(range(1, coalesce(c.n, 1) + 1)) AS copy) r)
 """
 SQL = f"""
