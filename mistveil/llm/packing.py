@@ -189,7 +189,7 @@ def pack(spark: SparkSession, docs: DataFrame, limit: int = LIMIT, end_id: int =
     where = placements(plan_bins(counts, limit), limit)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))
+    ranked = pieces.join(first.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))
     return ranked.mapInArrow(lean(_place(where)), _PLACED_DDL)
 
 
