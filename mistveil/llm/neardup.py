@@ -10,7 +10,8 @@
 4. What is left are links between components. In each bucket that still holds several, all pairs of different
    components are compared by signature, in blocks of at most 2 * BLOCK nodes, and those alike enough are
    confirmed on full sets. A pair is looked at in the first bucket that it shares. This runs twice: first each
-   node keeps its best partner of a block, which joins most of what can be joined, then all pairs are kept.
+   node keeps its best partner of a block, which joins most of what can be joined, then all pairs are kept. For
+   the second time the nodes left get EXTRA more minima, so that few pairs below the threshold are confirmed in vain.
 5. Components come from alternating large-star and small-star steps on the links.
 
 Nothing is collected to the driver but counts. Joins on a bucket or a node read written tables on both sides, so
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import emit, lean, mix, prefix_hash, Scratch, span_hash, steps, table, utf8, word_spans
 
 HASHES, ROWS = 240, 6
+EXTRA = 960
 BLOCK = 512
 #: Most links of one node that are confirmed in one place.
 PLACE = 256
@@ -36,7 +38,7 @@ PLACE = 256
 MARGIN = 4.2
 SHINGLE, PERCENT = 5, 80
 
-_A = np.random.default_rng(5).integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A, _MORE = (np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed, n in ((5, HASHES), (6, EXTRA)))
 _ODD = np.uint64(0x9E3779B185EBCA87)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,14 +71,14 @@ def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, n
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), ends
 
 
-def signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, ends: np.ndarray, hashes: np.ndarray = _A) -> np.ndarray:
     """The minima under each hash, a row for each set that isn't empty."""
     starts = ends[:-1][np.diff(ends) > 0]
-    out = np.zeros((len(starts), HASHES), np.uint64)
+    out = np.zeros((len(starts), len(hashes)), np.uint64)
     if len(starts):
         h = np.empty_like(values)
         with np.errstate(over="ignore"):
-            for i, a in enumerate(_A):
+            for i, a in enumerate(hashes):
                 np.multiply(values, a, out=h)
                 out[:, i] = np.minimum.reduceat(h, starts)
     return out
@@ -104,6 +106,21 @@ def _features(k: int):
     return run
 
 
+def _more(k: int):
+    """Rows (id, text) -> id and the lowest bytes of the extra minima; texts without words have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("id", pa.int64()), ("more", pa.binary())])
+        for batch in batches:
+            raw, at = utf8(batch.column(1))
+            for lo, hi in steps(at):
+                values, ends = shingle_sets(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], k)
+                low = (signatures(values, ends, _MORE) & np.uint64(255)).astype(np.uint8)
+                yield emit(schema, [batch.column(0).slice(lo, hi - lo).filter(pa.array(np.diff(ends) > 0)), [x.tobytes() for x in low]])
+
+    return run
+
+
 def band_keys(minima: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band, which also depends on the band."""
     parts = minima.reshape(len(minima), HASHES // ROWS, ROWS)
@@ -152,10 +169,10 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _least(percent: int) -> float:
+def _least(percent: int, hashes: int = HASHES) -> float:
     """The share of equal signature bytes from which a pair may be near enough."""
     share = percent / 100
-    least = share - MARGIN * (share * (1 - share) / HASHES) ** 0.5
+    least = share - MARGIN * (share * (1 - share) / hashes) ** 0.5
     return least + (1 - least) / 256  # the lowest bytes of different minima are equal that often
 
 
@@ -171,11 +188,12 @@ def _across(percent: int, best: bool):
 
     A group holds block i of a bucket and block j; g is a row's own. Pairs are of blocks i and j, or of i alone.
     """
-    least = _least(percent)
+    least, least_all = _least(percent), _least(percent, HASHES + EXTRA)
 
     def solve(i: int, j: int, rows: list[tuple]) -> list[tuple[int, int]]:
         g, band, ids, size, c = (np.array([r[k] for r in rows], np.int64) for k in range(5))
-        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, HASHES)
+        whole = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+        sig = whole[:, :HASHES]
         own = np.flatnonzero(g == i)
         out = []
         for x in own:
@@ -184,6 +202,9 @@ def _across(percent: int, best: bool):
                 same = sig[others] == sig[x]
                 near = same.mean(axis=1) >= least
                 others, same = others[near], same[near]
+                if whole.shape[1] > HASHES and len(others):
+                    near = (whole[others] == whole[x]).mean(axis=1) >= least_all
+                    others, same = others[near], same[near]
                 if best and len(others):
                     top = same.sum(axis=1).argmax()
                     others, same = others[top : top + 1], same[top : top + 1]
@@ -263,18 +284,24 @@ def components(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFra
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _open_pairs(shared: DataFrame, nodes: DataFrame, member: DataFrame, scratch: Scratch, percent: int, best: bool, label: str) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a bucket and whose signatures are alike enough."""
+def _open_pairs(shared: DataFrame, nodes: DataFrame, member: DataFrame, docs: DataFrame | None, k: int, scratch: Scratch, percent: int, label: str) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a bucket and whose signatures are alike enough.
+
+    Without ``docs``, the best partners only; with them, signatures are lengthened first.
+    """
     placed = shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
     placed = scratch.save(placed, f"placed{label}")
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
     mixed = scratch.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"mixed{label}")
     open_ = scratch.save(placed.join(mixed, "key"), f"open{label}")
-    sized = scratch.save(open_.join(nodes.select("id", "size", "sig"), "id"), f"sized{label}")
-    scratch.drop(f"placed{label}", f"mixed{label}", f"open{label}")
-    block = sized.withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    signed = nodes.select("id", "size", "sig")
+    if docs is not None:
+        texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).hint("merge")
+        more = scratch.save(open_.select("id").distinct().join(texts, "id").mapInArrow(lean(_more(k)), "id long, more binary"), f"extra{label}")
+        signed = signed.join(more, "id").select("id", "size", F.concat("sig", "more").alias("sig"))
+    block = open_.join(signed, "id").withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "band", "id", "size", "c", "sig")
-    pairs = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(percent, best)), "a long, b long")
+    pairs = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(percent, docs is None)), "a long, b long")
     return pairs.distinct()
 
 
@@ -309,8 +336,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
 
     scratch.drop("weighed", "hubs", "proposed")
 
-    for step, best in enumerate((True, False)):
-        more = scratch.save(_open_pairs(shared, nodes, member, scratch, percent, best, f"{step}"), f"more{step}")
+    for step, whole in enumerate((None, docs)):
+        more = scratch.save(_open_pairs(shared, nodes, member, whole, k, scratch, percent, f"{step}"), f"more{step}")
         if not more.isEmpty():
             links = links.unionByName(scratch.save(_linked(more, docs, k, percent), f"more-links{step}"))
             member = scratch.save(components(links, scratch, f"again{step}"), f"member{step}")
