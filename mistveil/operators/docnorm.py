@@ -26,23 +26,26 @@ class Work:
     """A text under edit; each character knows its source range and the rules that made it."""
 
     def __init__(self, source: str):
-        self.chars = list(source)
-        self.ranges = [(i, i + 1) for i in range(len(source))]
-        self.rules: list[tuple[str, ...]] = [()] * len(source)
+        self.text = source
+        self.starts, self.ends = list(range(len(source))), list(range(1, len(source) + 1))
+        self.rules: list[str | None] = [None] * len(source)
         self.events: list[tuple[str, str, int, int]] = []
 
-    @property
-    def text(self) -> str:
-        return "".join(self.chars)
-
     def edit(self, edits: list[tuple[int, int, str, str, str]]) -> None:
-        """(start, end, replacement, rule, kind), not overlapping."""
-        for a, b, new, rule, kind in sorted(edits, reverse=True):
-            source = (self.ranges[a][0], self.ranges[b - 1][1])
-            self.events.append((rule, kind, *source))
-            self.chars[a:b] = list(new)
-            self.ranges[a:b] = [source] * len(new)
-            self.rules[a:b] = [(rule,)] * len(new)
+        """(start, end, replacement, rule, kind), not overlapping; one copy of the text for all of them."""
+        if not edits:
+            return
+        text, starts, ends, rules, at = [], [], [], [], 0
+        for a, b, new, rule, kind in sorted(edits):
+            first, last = self.starts[a], self.ends[b - 1]
+            self.events.append((rule, kind, first, last))
+            text += [self.text[at:a], new]
+            starts += self.starts[at:a] + [first] * len(new)
+            ends += self.ends[at:a] + [last] * len(new)
+            rules += self.rules[at:a] + [rule] * len(new)
+            at = b
+        self.text = "".join(text) + self.text[at:]
+        self.starts, self.ends, self.rules = starts + self.starts[at:], ends + self.ends[at:], rules + self.rules[at:]
 
     def sub(self, pattern, rule: str, kind: str, new) -> None:
         text = self.text
@@ -179,11 +182,14 @@ def _joins(w: Work, other: str, lists: bool) -> None:
     w.edit(edits)
 
 
-def normalize_document(text: str, mode: str = "standard") -> dict:
-    """normalized_text, mappings, events, summary and changed_location_count. ``detection_priority`` also joins lines."""
+def normalize_document(text: str, mode: str = "standard", mappings: bool = True) -> dict:
+    """normalized_text, mappings, events, summary and changed_location_count. ``detection_priority`` also joins lines.
+
+    ``mappings`` has an item for each character; who doesn't need them leaves them out.
+    """
     w = Work(text)
     edits = []
-    for m in re.finditer("[^\\u0300-\\u036f\\u3099\\u309a][\\u0300-\\u036f\\u3099\\u309a]+|[\\u0340-\\u0345\\u212a\\u212b\\uf900-\\ufaff]", text):
+    for m in () if unicodedata.is_normalized("NFC", text) else re.finditer("[^\\u0300-\\u036f\\u3099\\u309a][\\u0300-\\u036f\\u3099\\u309a]+|[\\u0340-\\u0345\\u212a\\u212b\\uf900-\\ufaff]", text):
         new = unicodedata.normalize("NFC", m[0])
         if new != m[0]:
             edits.append((*m.span(), new, "unicode_nfc", "character"))
@@ -198,7 +204,7 @@ def normalize_document(text: str, mode: str = "standard") -> dict:
     whole = w.text
     guarded = protected(whole)
     edits = []
-    for m in re.finditer("^([^\\r\\n:：]{1,16})([ \\t]*[:：]?[ \\t]*)\\n[ \\t]*([^\\r\\n]{1,256})$", whole, re.M):
+    for m in () if not re.search(_LABELS, whole) else re.finditer("^([^\\r\\n:：]{1,16})([ \\t]*[:：]?[ \\t]*)\\n[ \\t]*([^\\r\\n]{1,256})$", whole, re.M):
         if re.fullmatch(_LABELS, m[1].strip()) and not overlaps(guarded, *m.span()):
             edits.append((m.end(2), m.start(3), "" if re.search("[:：]", m[2]) else " ", "label_value_line_break", "line_break"))
     w.edit(edits)
@@ -214,7 +220,7 @@ def normalize_document(text: str, mode: str = "standard") -> dict:
         summary[rule, kind] = summary.get((rule, kind), 0) + 1
     return {
         "normalized_text": w.text,
-        "mappings": [{"start": a, "end": b, "changed": bool(r), "rule_ids": list(r)} for (a, b), r in zip(w.ranges, w.rules)],
+        "mappings": [{"start": a, "end": b, "changed": r is not None, "rule_ids": [r] if r else []} for a, b, r in zip(w.starts, w.ends, w.rules)] if mappings else [],
         "events": [{"rule_id": r, "kind": k, "start": a, "end": b} for r, k, a, b in events],
         "summary": [{"rule_id": r, "kind": k, "count": n} for (r, k), n in summary.items()],
         "changed_location_count": len(coalesce([(a, b) for _, _, a, b in events])),

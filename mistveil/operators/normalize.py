@@ -8,13 +8,14 @@ the order given. Offsets are code points.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 from ..functions.chars import FULLWIDTH, KANJI, fold_fullwidth
 from ..functions.lexicon import surname_pattern
 from .candidates import Candidate, replace, unique
-from .names import _address, addresses, person_names
+from .names import _TOWN, _address, addresses, person_names
 
 BREAK = "[ 　]*\\r?\\n[ 　]*"
 _BREAK = re.compile(BREAK)
@@ -61,13 +62,13 @@ class Event:
 class Mapped:
     source: str
     text: str
-    starts: list[int]
-    ends: list[int]
+    starts: Sequence[int]
+    ends: Sequence[int]
     events: list[Event] = field(default_factory=list)
 
     @classmethod
     def of(cls, source: str) -> Mapped:
-        return cls(source, source, list(range(len(source))), list(range(1, len(source) + 1)))
+        return cls(source, source, range(len(source)), range(1, len(source) + 1))  # lists only once something is deleted
 
     def event(self, rule: str, start: int, end: int) -> None:
         self.events.append(Event(rule, self.starts[start], self.ends[end - 1]))
@@ -120,10 +121,12 @@ def _line(text: str, i: int) -> str:
 
 
 def _fold(m: Mapped, rule: str, table: dict[int, str]) -> None:
-    for i, c in enumerate(m.text):
-        if ord(c) in table:
-            m.event(rule, i, i + 1)
-    m.text = m.text.translate(table)
+    folded = m.text.translate(table)
+    if folded != m.text:
+        for i, (c, f) in enumerate(zip(m.text, folded)):
+            if c != f:
+                m.event(rule, i, i + 1)
+        m.text = folded
 
 
 def _cut_breaks(m: Mapped, found: list[tuple[int, int]], rule: str) -> None:
@@ -281,17 +284,22 @@ def normalized(text: str, rules: tuple[str, ...], detect) -> list[Candidate]:
     return unique(back(m, detect(m.text))) if m.events else []
 
 
+_JAPANESE = re.compile("[一-龥々ァ-ヶ]")
+
+
 def normalized_addresses(text: str) -> list[Candidate]:
-    return normalized(text, ("address_line_break",), addresses) if "\n" in text else []
+    return normalized(text, ("address_line_break",), addresses) if "\n" in text and _TOWN.search(text) else []
 
 
 def normalized_names(text: str) -> list[Candidate]:
+    if not _JAPANESE.search(text):
+        return []
     return normalized(text, ("person_name_line_break", "japanese_inter_character_space"), person_names)
 
 
 def broken_organizations(text: str) -> list[Candidate]:
     """Organizations over a line break, without a department behind them."""
-    if "\n" not in text:
+    if "\n" not in text or not _JAPANESE.search(text):
         return []
     m = normalize(text, ("organization_line_break",))
     out = []

@@ -16,6 +16,7 @@ from ..functions.chars import fold_fullwidth_col
 from ..operators import docnorm, entries as E, masking as M, ner, pipeline as P, scoring, structured as S
 from ..operators.names import addresses, birth_dates, credentials, person_names, titled_names
 from ..operators.spans import occurrences, outside
+from ..sources.texts import spread
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _each(df: DataFrame, spans) -> DataFrame:
@@ -248,7 +249,7 @@ def highlight_segments(spark, sf_dir):
 def document_normalization(spark, sf_dir):
     @F.pandas_udf("struct<normalized_text:string,changed:int>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        found = [docnorm.normalize_document(t or "", "detection_priority") for t in texts]
+        found = [docnorm.normalize_document(t or "", "detection_priority", mappings=False) for t in texts]
         return pd.DataFrame({"normalized_text": [r["normalized_text"] for r in found], "changed": [r["changed_location_count"] for r in found]})
 
     return _docs(spark, sf_dir).select("doc_id", run("text").alias("r")).select("doc_id", "r.*")
