@@ -76,8 +76,15 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
 def plan_bins(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (piece lengths of a bin, in order) and the number of bins of each.
 
-    ``counts[l]`` is the number of pieces of length l. A bin starts with the longest piece left and
-    takes the longest that fits until none does. While there is a gap, its shortest piece is replaced
+    Small pieces that fill gaps early may be missing later, so the replacement is tried with several least gains; the plan with the
+    fewest bins is taken, the one that replaces most among equals. The lengths are at most ``limit`` numbers, so this takes seconds.
+    """
+    return min((_plan(counts, limit, gain) for gain in (*(1 << i for i in range(max(1, limit).bit_length())), limit)), key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(counts: np.ndarray, limit: int, gain: int) -> list[tuple[tuple[int, ...], int]]:
+    """``counts[l]`` is the number of pieces of length l. A bin starts with the longest piece left and
+    takes the longest that fits until none does. While there is a gap of ``gain`` or more, its shortest piece is replaced
     by the two unpacked pieces that fill the widened gap best, if these fill more.
     """
     left = counts.astype(np.int64).copy()
@@ -90,7 +97,7 @@ def plan_bins(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int
             bin_.append(int(fits[-1]) + 1)
             left[bin_[-1]] -= 1
             gap -= bin_[-1]
-        while gap > 0 and len(bin_) > 1:
+        while gap >= gain and len(bin_) > 1:
             small = min(bin_[1:])
             pair = _best_pair(left, small, gap + small)
             if pair is None:
