@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ PAIRS, HASHED = 4096, 1 << 17
 #: Bytes of text in a chunk of documents, and distinct words that a task holds before it hands on their counts.
 CHUNK, HELD = 8 << 20, 1 << 20
 ROUNDS, RATE = 12, 0.4
+FAN_IN = 256
 END = np.uint64(0x5EED0E0D5EED0E0D)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -211,24 +213,35 @@ def _chunks(vocabulary: Vocabulary):
             some = np.flatnonzero(counts.any(axis=1))
             if len(some):
                 none = [None] * len(some)
-                yield emit(_X, [[kind] * len(some), some, none, none, [counts[i].tobytes() for i in some], none, none])
+                yield emit(_X, [[kind] * len(some), some, [TaskContext.get().partitionId()] * len(some), none, [counts[i].tobytes() for i in some], none, none])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, block, counts), sorted: one row for each (kind, block), with the sum as 64-bit integers."""
-    schema = pa.schema([("kind", pa.int8()), ("block", pa.int64()), ("counts", pa.binary())])
+    """Rows (kind, block, task, wide, counts), sorted by the first three: one row for each, with the sum as 64-bit integers."""
+    schema = pa.schema([("kind", pa.int8()), ("block", pa.int64()), ("task", pa.int64()), ("wide", pa.bool_()), ("counts", pa.binary())])
     key, total = None, None
     for batch in batches:
-        for kind, block, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != (kind, block):
+        for kind, block, task, wide, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != (kind, block, task):
                 if key is not None:
-                    yield emit(schema, [[key[0]], [key[1]], [total.tobytes()]])
-                key, total = (kind, block), 0
-            total = total + np.frombuffer(raw, np.int32).astype(np.int64)
+                    yield emit(schema, [*([k] for k in key), [True], [total.tobytes()]])
+                key, total = (kind, block, task), 0
+            total = total + np.frombuffer(raw, np.int64 if wide else np.int32).astype(np.int64)
     if key is not None:
-        yield emit(schema, [[key[0]], [key[1]], [total.tobytes()]])
+        yield emit(schema, [*([k] for k in key), [True], [total.tobytes()]])
+
+
+def sum_counts(parts: DataFrame, tasks: int) -> DataFrame:
+    """Sums of (kind, block, task, wide, counts) over tasks, as a tree: one place adds up what about FAN_IN tasks have counted."""
+    keys = ["kind", "block", "task"]
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("task", F.pmod("task", F.lit(max(1, tasks))))
+        parts = parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_summed), "kind byte, block long, task long, wide boolean, counts binary")
+        if tasks <= 1:
+            return parts.select("kind", "block", "counts")
 
 
 # The model ------------------------------------------------------------------------------
@@ -399,8 +412,8 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")
     dealt = docs.select(chunk, "doc_id", "held_out", "text").repartition("chunk").sortWithinPartitions("chunk")
     x = scratch.save(dealt.mapInArrow(lean(_chunks(vocabulary)), _X_DDL), "x")
-    parts = x.where(F.col("kind") >= _CLASS_COUNTS).select("kind", F.col("chunk").alias("block"), F.col("codes").alias("counts"))
-    sums_ = scratch.save(parts.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(lean(_summed), "kind byte, block long, counts binary"), "sums")
+    parts = x.where(F.col("kind") >= _CLASS_COUNTS).select("kind", F.col("chunk").alias("block"), F.col("doc_id").alias("task"), F.lit(False).alias("wide"), F.col("codes").alias("counts"))
+    sums_ = scratch.save(sum_counts(parts, chunks), "sums")
     w = train(sums_, vocabulary, rare_n)
 
     words = x.where(F.col("kind") == _WORDS).select(F.col("chunk").alias("of"), F.posexplode("words").alias("i", "h"))

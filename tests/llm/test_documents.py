@@ -208,6 +208,13 @@ def test_lm(spark, sf, odd, none):
     assert len(lm.score(spark, odd).collect()) == odd.count() and lm.score(spark, none).count() == 0
 
 
+def test_counts_are_summed_as_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN_IN", 3)
+    rows = [(2, b, t, False, bytearray(np.array([t, 1], np.int32).tobytes())) for b in (0, 5) for t in range(20)]
+    parts = spark.createDataFrame(rows, "kind byte, block long, task long, wide boolean, counts binary")
+    assert sorted((r["block"], *np.frombuffer(bytes(r["counts"]), np.int64)) for r in lm.sum_counts(parts, 20).collect()) == [(0, 190, 20), (5, 190, 20)]
+
+
 def test_lm_is_normalised():
     """All classes, and all words in each class, have probabilities that sum up to 1."""
     rng = np.random.default_rng(0)
