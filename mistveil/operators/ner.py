@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.chars import KANJI, trim
 from ..functions.lexicon import AMBIGUOUS_SET, ADDRESS_LABEL, canonical_name, surnames
 from .candidates import Candidate, ranges_of, replace
 from .masking import _GIVEN_AFTER, _ITEM_BEFORE, _LABEL_BEFORE, _TITLE_AFTER
 from .normalize import back, normalize
+from .pipeline import ENTRY_DDL, detect, enrich, extend_titles, merge, refine
 
 CHUNK, OVERLAP = 320, 64
 LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORGANIZATION", "ORG-P": "ORGANIZATION", "ORG-O": "ORGANIZATION", "ORGANIZATION": "ORGANIZATION", "LOC": "ADDRESS", "LOCATION": "ADDRESS", "INS": "ADDRESS"}
@@ -118,4 +123,27 @@ def run_normalized(text: str, classify: Classifier, known: list[Candidate] = ())
     return _best(out)
 
 
-__all__ = ["chunks", "clean", "from_outputs", "label", "run_chunked", "run_normalized"]
+
+def with_entries(docs: DataFrame, load: Callable[[], Classifier]) -> DataFrame:
+    """``docs`` with entries from the detectors and a model.
+
+    ``load`` is called once a task, on the executor; if it fails, the task is tried again. Chunks of a document are
+    classified one after the other, and documents in parallel.
+    """
+
+    @F.pandas_udf(ENTRY_DDL)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        classify = load()
+
+        def entries(text: str | None) -> list[dict]:
+            text = text or ""
+            found = detect(text)
+            return merge(text, [], extend_titles(text, refine(text, enrich(text, found + run_normalized(text, classify, [c for c in found if c.category not in ("PERSON", "ORGANIZATION")])))))
+
+        for texts in batches:
+            yield texts.map(entries)
+
+    return docs.withColumn("entries", run("text"))
+
+
+__all__ = ["chunks", "clean", "from_outputs", "label", "run_chunked", "run_normalized", "with_entries"]

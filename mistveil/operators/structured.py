@@ -44,35 +44,36 @@ def valid_ipv6(v: Column) -> Column:
     return shape & F.forall(groups, lambda g: F.length(g) <= 4) & F.when(compressed, F.size(groups) < 8).otherwise(F.size(groups) == 8)
 
 
-def _found(text: Column, pattern: str, valid=None, trim: bool = True, hint: str | None = None) -> Column:
+def _found(text: Column, pattern: str, valid=None, trim: bool = True, hint: Column | None = None) -> Column:
+    """``hint``: a cheap condition without which the pattern cannot match; most texts fail it."""
     column = spans(text, pattern)
     if valid is not None:
         column = F.filter(column, lambda x: valid(x["text"]))
     column = trim_spans(column) if trim else column
-    if hint:  # most texts have none: skip the pattern
-        column = F.when(text.contains(hint), column).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    if hint is not None:
+        column = F.when(hint, column).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
     return F.array_distinct(column)
 
 
 def emails(text: Column) -> Column:
-    return _found(text, EMAIL, valid_email, hint="@")
+    return _found(text, EMAIL, valid_email, hint=text.contains("@"))
 
 
 def phones(text: Column) -> Column:
-    return _found(text, PHONE, valid_phone)
+    return _found(text, PHONE, valid_phone, hint=text.rlike(f"[0０][{DIGITS}]{{1,4}}[{WS}{HYPHENS}][{DIGITS}]"))
 
 
 def postal_codes(text: Column) -> Column:
-    return _found(text, POSTAL)
+    return _found(text, POSTAL, hint=text.rlike(f"[{DIGITS}]{{3}}[{HYPHENS}][{DIGITS}]{{4}}"))
 
 
 def urls(text: Column) -> Column:
-    found = trim_spans(spans(text, URL))
-    return F.array_distinct(F.filter(found, lambda x: valid_url(x["text"])))
+    found = F.filter(_found(text, URL, hint=text.contains("://")), lambda x: valid_url(x["text"]))
+    return F.array_distinct(found)
 
 
 def ip_addresses(text: Column) -> Column:
-    return F.array_distinct(F.concat(_found(text, IPV4, valid_ipv4, trim=False, hint="."), _found(text, IPV6, valid_ipv6, trim=False, hint=":")))
+    return F.array_distinct(F.concat(_found(text, IPV4, valid_ipv4, trim=False, hint=text.rlike("[0-9]\\.[0-9]")), _found(text, IPV6, valid_ipv6, trim=False, hint=text.rlike(":[A-Fa-f0-9:]"))))
 
 
 def structured(text: Column) -> Column:

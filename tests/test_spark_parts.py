@@ -189,3 +189,14 @@ def test_mappings_on_documents_and_results(spark, tmp_path, table):
     assert {r["category"]: r["f1"] for r in s.collect()} == {"PERSON": 1.0, None: 1.0}
     scoring.write_result(s, c, str(tmp_path / "r"), run="test")
     assert spark.read.json(str(tmp_path / "r")).where("length(corpus_sha256) = 64 and run = 'test'").count() == 2
+
+
+def test_a_model_in_the_pipeline(spark):
+    from mistveil.operators import ner
+
+    def load():
+        return lambda part: [{"entity_group": "PER", "word": "佐藤太郎", "start": part.find("佐藤太郎"), "end": part.find("佐藤太郎") + 4, "score": 0.9}] if "佐藤太郎" in part else []
+
+    docs = spark.createDataFrame([(1, "本日は佐藤太郎が来て a@b.jp に書く"), (2, None)], "doc_id long, text string")
+    got = {r["normalized_text"]: r for r in E.from_docs(ner.with_entries(docs, load)).collect()}
+    assert set(got) == {"佐藤太郎", "a@b.jp"} and got["佐藤太郎"]["sources"] == ["ner"] and got["佐藤太郎"]["confidence"] == 0.9
