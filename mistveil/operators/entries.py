@@ -51,6 +51,29 @@ def number_tokens(found: DataFrame) -> DataFrame:
     return ranked.withColumn("token", F.concat(F.lit("["), label, F.lit("_"), F.element_at(free, F.col("n")).cast("string"), F.lit("]"))).drop("n", "taken")
 
 
+def in_row(text: Column, found: Column) -> Column:
+    """Entries of a document in its row, from its candidates (category, text, ...) in order: no shuffle.
+
+    array<struct<ord, category, text, token, occurrence_count, position>>: distinct strings, of which the first category stays, with
+    tokens numbered by category; numbers whose token the text has are skipped. Positions are from 1, by first occurrence.
+    """
+    empty = F.array().cast("array<struct<ord:int,category:string,text:string,token:string,occurrence_count:int,position:int>>")
+    label_of = F.create_map(*[F.lit(x) for p in CATEGORY_LABELS.items() for x in p])
+
+    def step(acc: Column, x: Column) -> Column:
+        label = F.element_at(label_of, x["category"])
+        n = F.size(F.filter(acc, lambda a: a["category"] == x["category"])) + 1
+        own = F.transform(F.regexp_extract_all(text, F.concat(F.lit("\\[\\Q"), label, F.lit("\\E_([1-9][0-9]{0,5})\\]")), F.lit(1)), lambda m: m.cast("int"))
+        taken = F.when(text.contains(F.concat(F.lit("["), label, F.lit("_"))), F.array_distinct(own)).otherwise(F.array().cast("array<int>"))
+        number = F.element_at(F.array_except(F.sequence(F.lit(1), n + F.size(taken)), taken), n)
+        token = F.concat(F.lit("["), label, F.lit("_"), number.cast("string"), F.lit("]"))
+        new = F.struct(x["ord"].alias("ord"), x["category"].alias("category"), x["text"].alias("text"), token.alias("token"), occurrences(text, x["text"]).alias("occurrence_count"), F.instr(text, x["text"]).alias("position"))
+        return F.when(F.exists(acc, lambda a: a["text"] == x["text"]), acc).otherwise(F.array_append(acc, new))
+
+    placed = F.transform(found, lambda x, i: F.struct(i.alias("ord"), x["category"].alias("category"), x["text"].alias("text")))
+    return F.aggregate(placed, empty, step)
+
+
 # Views ----------------------------------------------------------------------------------
 
 

@@ -21,6 +21,11 @@ def score(expected: DataFrame, predicted: DataFrame, mode: str = "occurrence") -
     """tp, fp, fn, precision, recall and f1 by category, and overall (category null). Equal keys count once; 0 where nothing is divided by."""
     keys = _keys(mode)
     sides = expected.select(*keys, F.lit(1).alias("e"), F.lit(0).alias("p")).unionByName(predicted.select(*keys, F.lit(0).alias("e"), F.lit(1).alias("p")))
+    return summarise(sides, keys)
+
+
+def summarise(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``score``, of rows that say with e and p (0 or 1) on which side they are; both sides may come from one scan."""
     each = sides.groupBy(*keys).agg(F.max("e").alias("e"), F.max("p").alias("p"))
     n = each.rollup("category").agg(F.sum(F.col("e") * F.col("p")).alias("tp"), F.sum((1 - F.col("e")) * F.col("p")).alias("fp"), F.sum(F.col("e") * (1 - F.col("p"))).alias("fn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

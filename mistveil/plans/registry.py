@@ -105,16 +105,14 @@ def ip_not_in_url(spark, sf_dir):
 # Entries of documents ----------------------------------------------------------------------
 
 
-def _first_found(spark, sf_dir) -> DataFrame:
-    """Distinct (doc_id, category, text) of the structured detectors, in order; the first category of a string wins."""
+def _with_entries(spark, sf_dir) -> DataFrame:
+    """Documents and their entries by the structured detectors, all in the document's row."""
     docs = _docs(spark, sf_dir)
-    found = docs.select("doc_id", F.col("text").alias("source_text"), F.posexplode(S.structured(F.col("text"))).alias("ord", "c")).select("doc_id", "source_text", "ord", "c.category", "c.text")
-    return found.groupBy("doc_id", "text").agg(F.min(F.struct("ord", "category")).alias("f"), F.first("source_text").alias("source_text")).select("doc_id", "text", "source_text", "f.ord", "f.category")
+    return docs.withColumn("entries", E.in_row(F.col("text"), S.structured(F.col("text"))))
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    numbered = E.number_tokens(_first_found(spark, sf_dir))
-    return numbered.select("doc_id", "category", "ord", "text", "token", "source_text", occurrences(F.col("source_text"), F.col("text")).alias("occurrence_count"))
+    return _with_entries(spark, sf_dir).select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.*")
 
 
 def token_assignment(spark, sf_dir):
@@ -122,9 +120,8 @@ def token_assignment(spark, sf_dir):
 
 
 def _with_pairs(spark, sf_dir) -> DataFrame:
-    pairs = _entries(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("text", "token")).alias("pairs"))
-    docs = _docs(spark, sf_dir).join(pairs, "doc_id", "left")
-    return docs.withColumn("pairs", F.coalesce("pairs", F.array().cast("array<struct<text:string,token:string>>"))).withColumn("masked", M.mask(F.col("text"), F.col("pairs")))
+    pairs = F.transform("entries", lambda e: F.struct(e["text"].alias("text"), e["token"].alias("token")))
+    return _with_entries(spark, sf_dir).withColumn("pairs", pairs).withColumn("masked", M.mask(F.col("text"), F.col("pairs")))
 
 
 def masked_documents(spark, sf_dir):
@@ -146,7 +143,7 @@ def token_inspection(spark, sf_dir):
 def _status(df: DataFrame) -> DataFrame:
     """Entries with states that depend on their key, so that all of them occur."""
     h = F.pmod(F.col("doc_id") + F.length("text"), F.lit(5))
-    return df.withColumns({"enabled": h != 0, "review_status": F.when(h == 1, "unreviewed").otherwise("approved"), "sources": F.when(h == 2, F.array(F.lit("manual"))).otherwise(F.array(F.lit("regex"))), "promoted_at": F.when(h == 2, F.col("doc_id")).cast("long"), "original_text": F.col("text"), "display_order": F.col("ord"), "position": F.instr("source_text", F.col("text"))})
+    return df.withColumns({"enabled": h != 0, "review_status": F.when(h == 1, "unreviewed").otherwise("approved"), "sources": F.when(h == 2, F.array(F.lit("manual"))).otherwise(F.array(F.lit("regex"))), "promoted_at": F.when(h == 2, F.col("doc_id")).cast("long"), "original_text": F.col("text"), "display_order": F.col("ord")})
 
 
 def session_counts(spark, sf_dir):
@@ -164,7 +161,7 @@ def replacement_counts(spark, sf_dir):
 
 def merge_summary(spark, sf_dir):
     """What the structured detectors find, against entries for all but IP addresses."""
-    found = _first_found(spark, sf_dir)
+    found = _entries(spark, sf_dir)
     known = found.where("category <> 'OTHER'").select("doc_id", F.col("text").alias("normalized_text"))
     return E.merge_summary(found, known)
 
@@ -172,16 +169,15 @@ def merge_summary(spark, sf_dir):
 # Scoring -----------------------------------------------------------------------------------
 
 
-def _sides(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    flat = lambda a, c: docs.select("doc_id", F.explode(a).alias("x")).select("doc_id", F.lit(c).alias("category"), "x.text", F.lit(0).alias("start"), F.lit(0).alias("end"))
-    ip, mail = F.filter(S.ip_addresses(F.col("text")), lambda x: x["text"].contains(".")), S.emails(F.col("text"))
-    loose = F.filter(ip, lambda x: F.length(x["text"]) > 12)
-    return flat(ip, "OTHER").unionByName(flat(mail, "EMAIL")), flat(loose, "OTHER").unionByName(flat(mail, "EMAIL")).unionByName(flat(F.filter(ip, lambda x: F.length(x["text"]) < 11), "EMAIL"))
-
-
 def score_target(spark, sf_dir):
-    return scoring.score(*_sides(spark, sf_dir), "target").select(F.coalesce("category", F.lit("all")).alias("category"), "tp", "fp", "fn", "precision", "recall", "f1")
+    """IP addresses and e-mails as expected, against longer addresses, e-mails, and short addresses taken for e-mails; one scan."""
+    text = F.col("text")
+    ip, mail = F.filter(S.ip_addresses(text), lambda x: x["text"].contains(".")), S.emails(text)
+    side = lambda a, c, e: F.transform(a, lambda x: F.struct(F.lit(c).alias("category"), x["text"].alias("text"), F.lit(e).alias("e"), F.lit(1 - e).alias("p")))
+    long_, short = F.filter(ip, lambda x: F.length(x["text"]) > 12), F.filter(ip, lambda x: F.length(x["text"]) < 11)
+    every = F.concat(side(ip, "OTHER", 1), side(mail, "EMAIL", 1), side(long_, "OTHER", 0), side(mail, "EMAIL", 0), side(short, "EMAIL", 0))
+    sides = _docs(spark, sf_dir).select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")
+    return scoring.summarise(sides, ["doc_id", "category", "text"]).select(F.coalesce("category", F.lit("all")).alias("category"), "tp", "fp", "fn", "precision", "recall", "f1")
 
 
 # Text functions ------------------------------------------------------------------------------
