@@ -200,3 +200,15 @@ def test_a_model_in_the_pipeline(spark):
     docs = spark.createDataFrame([(1, "本日は佐藤太郎が来て a@b.jp に書く"), (2, None)], "doc_id long, text string")
     got = {r["normalized_text"]: r for r in E.from_docs(ner.with_entries(docs, load)).collect()}
     assert set(got) == {"佐藤太郎", "a@b.jp"} and got["佐藤太郎"]["sources"] == ["ner"] and got["佐藤太郎"]["confidence"] == 0.9
+
+
+def test_entries_in_the_row(spark):
+    from mistveil.operators import structured
+    from mistveil.sources.texts import spread
+
+    text = "[メール_1] a@b.jp 10.0.0.1 a@b.jp c@d.jp 10.0.0.1 x"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(e) for e in r["e"]] for r in df.select("doc_id", E.in_row(F.col("text"), structured.structured(F.col("text"))).alias("e")).collect()}
+    assert got[1] == [(0, "EMAIL", "a@b.jp", "[メール_2]", 2, 9), (2, "EMAIL", "c@d.jp", "[メール_3]", 1, 32), (3, "OTHER", "10.0.0.1", "[その他_1]", 2, 16)]
+    assert got[2] == got[3] == []
+    assert spread(df).count() == 3
