@@ -14,7 +14,7 @@ from ..functions.lexicon import AMBIGUOUS_SET, ADDRESS_LABEL, canonical_name, su
 from .candidates import Candidate, ranges_of, replace
 from .masking import _GIVEN_AFTER, _ITEM_BEFORE, _LABEL_BEFORE, _TITLE_AFTER
 from .normalize import back, normalize
-from .pipeline import ENTRY_DDL, detect, enrich, extend_titles, merge, refine
+from .pipeline import ENTRY_DDL, detect, enrich, extend_titles, merge, once, refine
 
 CHUNK, OVERLAP = 320, 64
 LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORGANIZATION", "ORG-P": "ORGANIZATION", "ORG-O": "ORGANIZATION", "ORGANIZATION": "ORGANIZATION", "LOC": "ADDRESS", "LOCATION": "ADDRESS", "INS": "ADDRESS"}
@@ -143,7 +143,7 @@ def with_entries(docs: DataFrame, load: Callable[[], Classifier]) -> DataFrame:
         for texts in batches:
             yield texts.map(entries)
 
-    return docs.withColumn("entries", run("text"))
+    return docs.withColumn("entries", once(run)("text"))
 
 
 __all__ = ["chunks", "clean", "from_outputs", "label", "run_chunked", "run_normalized", "with_entries"]

@@ -239,6 +239,11 @@ def rows_of(candidates: list[Candidate]) -> list[dict]:
     return [{"ord": i, "category": c.category, "text": c.text, "start": c.start, "end": c.end, "source": c.source, "restoration": c.restoration, "confidence": c.confidence, "rules": list(c.rules)} for i, c in enumerate(candidates)]
 
 
+def once(udf):
+    """The function, which the optimizer then does not copy into a filter below an ``explode`` (and below a shuffle)."""
+    return udf.asNondeterministic()
+
+
 def with_candidates(docs: DataFrame, stage=all_candidates, column: str = "candidates") -> DataFrame:
     """``docs`` (with text) and an array of candidates in each row; null texts have none."""
 
@@ -246,7 +251,7 @@ def with_candidates(docs: DataFrame, stage=all_candidates, column: str = "candid
     def run(texts):
         return texts.map(lambda t: rows_of(stage(t or "")))
 
-    return docs.withColumn(column, run("text"))
+    return docs.withColumn(column, once(run)("text"))
 
 
 def with_entries(docs: DataFrame) -> DataFrame:
@@ -256,11 +261,11 @@ def with_entries(docs: DataFrame) -> DataFrame:
     def run(texts):
         return texts.map(lambda t: merge(t or "", [], all_candidates(t or "")))
 
-    return docs.withColumn("entries", run("text"))
+    return docs.withColumn("entries", once(run)("text"))
 
 
 def exploded(docs: DataFrame, column: str = "candidates") -> DataFrame:
     return docs.select("doc_id", F.explode(column).alias("c")).select("doc_id", "c.*")
 
 
-__all__ = ["all_candidates", "detect", "enrich", "exploded", "extend_titles", "merge", "refine", "token", "with_candidates", "with_entries"]
+__all__ = ["all_candidates", "detect", "enrich", "exploded", "extend_titles", "merge", "once", "refine", "token", "with_candidates", "with_entries"]

@@ -239,7 +239,7 @@ def highlight_segments(spark, sf_dir):
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{k: s[k] for k in ("type", "value", "start", "end", "token")} for s in M.segments(t or "", P.merge(t or "", [], P.all_candidates(t or "")), everything=True)])
 
-    return _docs(spark, sf_dir).select("doc_id", F.explode(run("text")).alias("s")).select("doc_id", "s.*")
+    return _docs(spark, sf_dir).select("doc_id", F.explode(P.once(run)("text")).alias("s")).select("doc_id", "s.*")
 
 
 def document_normalization(spark, sf_dir):
@@ -256,7 +256,7 @@ def chunk_text(spark, sf_dir):
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"start": a, "end": b} for a, b, _ in ner.chunks(t or "")])
 
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(run("text")).alias("n", "c")).select("doc_id", "n", "c.*")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(P.once(run)("text")).alias("n", "c")).select("doc_id", "n", "c.*")
 
 
 def _by(name: str, detector):
