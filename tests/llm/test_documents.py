@@ -100,6 +100,20 @@ def test_field_is_the_best_segmentation():
     assert abs(score - brute(len(bounds) - 1)) < 1e-9
 
 
+def test_long_secrets_are_one_span():
+    weights = pii.train()
+    made = ["f3" * 20, "a1" * 32, "0f" * 100, "a1B2c3D4" * 10 + "xY+z/9==", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + "eyJzdWIiOiIxMjM0NTY3ODkwIn0a1b2" * 9 + ".a1B2c3D4-" + "e5_f6" * 8]
+    for s in made:
+        for before in ('a token = "', 'the api_key: "'):
+            text = f'{before}{s}" and more'
+            assert [(pii.TYPES[k], text[a:b]) for a, b, k in pii.all_spans(text, weights)[1]] == [("secret", s)]
+            assert pii.redact_text(text, weights) == f'{before}[SECRET]" and more'
+    bounds, found = pii.candidates("key=" + made[3] * 40, 0, 4 + len(made[3]) * 40)
+    assert sum(map(len, found.values())) < 24 * len(bounds)
+    text = "contact anna(at)example.org or lee [at] example.org please"
+    assert [text[a:b] for a, b, k in pii.all_spans(text, weights)[1] if pii.TYPES[k] == "email"] == ["anna(at)example.org", "lee [at] example.org"]
+
+
 def test_pii_odd(odd, none):
     got = pii.find(odd).collect()
     assert len(got) == odd.count() and pii.find(none).count() == 0
