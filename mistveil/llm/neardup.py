@@ -184,15 +184,18 @@ def _similar(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int, best: bool):
-    """Rows (key, i, j, g, band, id, size, c, sig), sorted by (key, i, j): pairs of different components.
+    """Rows (key, i, j, g, id, size, c, sig, bands), sorted by (key, i, j): pairs of different components.
 
     A group holds block i of a bucket and block j; g is a row's own. Pairs are of blocks i and j, or of i alone.
+    The first bucket that a pair shares is that of the first band whose keys are equal; signatures do not tell it, as
+    their bytes are also equal where minima are not.
     """
     least, least_all = _least(percent), _least(percent, HASHES + EXTRA)
 
-    def solve(i: int, j: int, rows: list[tuple]) -> list[tuple[int, int]]:
-        g, band, ids, size, c = (np.array([r[k] for r in rows], np.int64) for k in range(5))
-        whole = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), -1)
+    def solve(key: int, i: int, j: int, rows: list[tuple]) -> list[tuple[int, int]]:
+        g, ids, size, c = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        whole = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        bands = np.stack([r[5] for r in rows])
         sig = whole[:, :HASHES]
         own = np.flatnonzero(g == i)
         out = []
@@ -207,26 +210,27 @@ def _across(percent: int, best: bool):
                     others, same = others[near], same[near]
                 if best and len(others):
                     top = same.sum(axis=1).argmax()
-                    others, same = others[top : top + 1], same[top : top + 1]
-                first = same.reshape(len(others), HASHES // ROWS, ROWS).all(axis=2).argmax(axis=1)
-                out += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for y in others[first == band[x]]]
+                    others = others[top : top + 1]
+                first = (bands[others] == bands[x]).argmax(axis=1)
+                out += [(int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))) for y in others[bands[x][first] == key]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         key, rows, found = None, [], []
         for batch in batches:
-            for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            keys = batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else []
+            for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns[:8]), keys):
                 if key != (k, i, j):
                     if len(rows) > 1:
-                        found += solve(key[1], key[2], rows)
+                        found += solve(*key, rows)
                     key, rows = (k, i, j), []
                 rows.append(row)
             if len(found) > 10_000:
                 yield emit(schema, list(zip(*found)))
                 found = []
         if len(rows) > 1:
-            found += solve(key[1], key[2], rows)
+            found += solve(*key, rows)
         yield emit(schema, list(zip(*found)) if found else [[], []])
 
     return run
@@ -289,18 +293,18 @@ def _open_pairs(shared: DataFrame, nodes: DataFrame, member: DataFrame, docs: Da
 
     Without ``docs``, the best partners only; with them, signatures are lengthened first.
     """
-    placed = shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("c"))
+    placed = shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = scratch.save(placed, f"placed{label}")
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
     mixed = scratch.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"mixed{label}")
     open_ = scratch.save(placed.join(mixed, "key"), f"open{label}")
-    signed = nodes.select("id", "size", "sig")
+    signed = nodes.select("id", "size", "sig", "bands")
     if docs is not None:
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).hint("merge")
         more = scratch.save(open_.select("id").distinct().join(texts, "id").mapInArrow(lean(_more(k)), "id long, more binary"), f"extra{label}")
-        signed = signed.join(more, "id").select("id", "size", F.concat("sig", "more").alias("sig"))
+        signed = signed.join(more, "id").select("id", "size", F.concat("sig", "more").alias("sig"), "bands")
     block = open_.join(signed, "id").withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "band", "id", "size", "c", "sig")
+    block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "id", "size", "c", "sig", "bands")
     pairs = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(percent, docs is None)), "a long, b long")
     return pairs.distinct()
 

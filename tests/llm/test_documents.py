@@ -179,6 +179,18 @@ def test_near_duplicates_against_brute_force(spark, odd, none):
     assert by[5] == 4 and by[7] == 6 and by[8] == 6 and by[1] == 1
 
 
+def test_pairs_are_kept_where_only_low_bytes_are_equal_in_an_earlier_band(spark):
+    """Two nodes share the buckets of bands 1 and 2 only; the bytes of their minima are also equal in band 0."""
+    from mistveil.llm.common import Scratch
+
+    keys = {a: [a * 1000 + b if b not in (1, 2) else b for b in range(neardup.HASHES // neardup.ROWS)] for a in (1, 2)}
+    nodes = spark.createDataFrame([(a, 50, bytearray(neardup.HASHES), keys[a]) for a in (1, 2)], "id long, size long, sig binary, bands array<long>")
+    shared = spark.createDataFrame([(b, b, a) for a in (1, 2) for b in (1, 2)], "key long, band int, id long")
+    member = spark.createDataFrame([], "node long, component long")
+    got = neardup._open_pairs(shared, nodes, member, None, 4, Scratch(spark, "test"), 80, "t").collect()
+    assert [tuple(r) for r in got] == [(1, 2)]
+
+
 def test_components_of_chains_and_stars(spark):
     from mistveil.llm.common import Scratch
 
