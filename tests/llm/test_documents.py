@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -64,6 +65,20 @@ def test_base_spans():
     assert got == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (555) 555-0100"), ("email", "1.2.3.4@x.org"), ("ip", "1.2.3.4")]
 
 
+@pytest.mark.parametrize("text", ["10.0.10240.1", "1.2.3.10000", "20100.1.1.1", "1.2.3.256"])
+def test_octets_beyond_255_are_no_address(text):
+    assert pii.base_spans(text) == naive_base(text) == []
+
+
+@pytest.mark.parametrize("text", ["x" * 10**6, "a-" * 10**5, "a@b" + ".c" * 20_000, "1" * 10**6, "x" * 10**5 + "(at)" + "y" * 10**5, "+1 (" * 10**4, "=" * 10**6])
+def test_long_texts_take_linear_time(text):
+    started = time.perf_counter()
+    base, every = pii.all_spans(text, pii.train())
+    assert time.perf_counter() - started < 20 and set(base) <= set(every)
+    if len(text) < 10**5:
+        assert base == naive_base(text)
+
+
 def naive_base(text):
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
