@@ -42,7 +42,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     kinds = np.bincount(of * (len(_KINDS) + 1) + _KIND[raw], minlength=n * (len(_KINDS) + 1)).reshape(n, -1)[:, : len(_KINDS)]
     size = np.maximum(np.diff(at), 1)
     words, chars = np.maximum(m["n_words"], 1), np.maximum(m["word_chars"], 1)
-    key = np.unique(np.stack([doc.astype(np.uint64), span_hash(prefix_hash(raw), s, e)]), axis=1)[0].astype(np.int64) if len(s) else doc
+    earlier = repetition._copies(doc, span_hash(prefix_hash(raw), s, e))[0]
     columns = [
         *(kinds / size[:, None]).T,
         np.log1p(m["n_words"]) / 10,
@@ -51,7 +51,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         m["n_repeat_words"] / words,
         *(m[f"dup_{k}gram_chars"] / chars for k in repetition.NGRAM_LIMITS),
         m["dup_line_chars"] / chars,
-        np.bincount(key, minlength=n) / words,
+        np.bincount(doc[~earlier], minlength=n) / words,
     ]
     out = np.stack(columns, axis=1)
     out[m["n_words"] == 0] = 0
@@ -101,12 +101,18 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> dict:
-    """The model of ``labels.quality`` learned from the labelled rows outside fold 0."""
+    """The model of ``labels.quality`` learned from the labelled rows outside fold 0.
+
+    Null or other labels are left out; of several for one doc_id the largest counts. A doc_id that several documents
+    have is learned from once, by the text whose hash is smallest. Without documents, labels or one of both labels, all
+    documents score 0.5.
+    """
     labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     chosen = labels.where(fold("doc_id", folds) != 0).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(lean(_features), "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").limit(2 * sample).collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row a doc_id, so at most ``sample``
+    rows = texts.mapInArrow(lean(_features), "doc_id long, x binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float64).reshape(-1, N_FEATURES)
     return fit(x, np.array([r["y"] for r in rows], np.int64))
 
@@ -117,8 +123,8 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score",
 def score(docs: DataFrame, model: dict, folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``.
 
-    A text without words, or null, has features of 0 and the score that these give. held_out is null with doc_id. Ties and
-    repeated rows score alike; other columns are not looked at.
+    A text without words, or null, has features of 0 and the score that these give; a long one is measured whole.
+    held_out is null with doc_id. Ties and repeated rows score alike; other columns are not looked at. No rows, no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
