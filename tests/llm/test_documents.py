@@ -225,6 +225,13 @@ def test_quality(spark, sf, odd, none):
     got = quality.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got) and quality.score(none, model).count() == 0
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    columns = [c for c in got[0].asDict()]
+    assert columns == ["doc_id", "held_out", "score", "predicted"] and all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    texts = dict(pairs_of(docs))
+    twice = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(docs.select("doc_id", F.lit("").alias("text")))
+    models = [quality.learn(x, labels) for x in (twice, twice.orderBy(F.desc("doc_id")))]
+    assert np.array_equal(models[0]["w"], models[1]["w"]) and len(texts) == docs.count()
+    assert quality.learn(none, labels)["slope"] == 0 and quality.learn(docs, labels.limit(0))["slope"] == 0
     one = quality.fit(np.ones((3, quality.N_FEATURES)), np.ones(3))
     assert set(quality.predict(one, np.ones((2, quality.N_FEATURES)))) == {0.5}
 
@@ -347,6 +354,38 @@ def test_best_two_fit_replaces():
     assert packing._best_pair(np.array([0, 1, 0, 0]), 1, 2) is None
 
 
+def fewest_bins(sizes, limit):
+    """By trying every bin for every piece."""
+    best = [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for room in sorted(set(bins)):
+            if room >= sizes[i]:
+                rest = list(bins)
+                rest.remove(room)
+                go(i + 1, [*rest, room - sizes[i]])
+        go(i + 1, [*bins, limit - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_plans_use_every_piece_once_and_few_bins():
+    rng = np.random.default_rng(8)
+    more = 0
+    for _ in range(60):
+        sizes = sorted(rng.integers(1, 21, 9).tolist(), reverse=True)
+        plan = packing.plan_bins(np.bincount(sizes, minlength=21), 20)
+        assert sorted((x for bin_, times in plan for x in bin_ * times), reverse=True) == sizes and all(sum(b) <= 20 for b, _ in plan)
+        more += sum(t for _, t in plan) - fewest_bins(sizes, 20)
+    assert 0 <= more <= 6
+
+
 def test_fast_tokenizer_gives_the_same_ids():
     from tokenizers import Tokenizer
 
