@@ -56,6 +56,26 @@ def test_mix_reaches_weights(spark):
     assert abs(n["a"] - 3000) < 250 and abs(n["b"] - 3000) < 250
 
 
+def test_mix_large_rates_null_ids_and_names(spark):
+    """A rate of thousands is drawn in parts; rows without an id draw by their text; no column of the input is lost."""
+    big = spark.createDataFrame([(1, "a" * 30_000, "big"), (2, "b", "small")], "doc_id long, text string, source string")
+    n = {r["source"]: r["count"] for r in mixing.mix(big, {"big": 0.5, "small": 0.5}).groupBy("source").count().collect()}
+    assert abs(n["small"] - 15_000) < 600
+    rows = [(None, f"text {i}", "a", 7, 8, 9) for i in range(400)] + [(i, "text x", "b", 7, 8, 9) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _n long, __source long, _CDF long")
+    out = mixing.mix(docs, {"a": 0.5, "b": 0.5}).collect()
+    assert abs(sum(r["source"] == "a" for r in out) - 400) < 80 and {(r["_n"], r["__source"], r["_CDF"]) for r in out} == {(7, 8, 9)}
+
+
+def test_mix_sql_of_large_rates(spark):
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents AS SELECT i AS doc_id, repeat('x', CASE WHEN i % 50 = 0 THEN 2 ELSE 900 END) AS text, 'en' AS lang, CASE WHEN i % 50 = 0 THEN 'src1' ELSE 'src0' END AS source, 1 AS n_chars FROM range(200) t(i) UNION ALL SELECT NULL, 'no id', 'en', 'src1', 1")
+    docs = spark.createDataFrame(con.sql("SELECT * FROM documents").df().astype({"doc_id": "Int64"}).astype(object).where(lambda d: d.notna(), None), "doc_id long, text string, lang string, source string, n_chars int")
+    got = mixing.mix(docs, mixing.WEIGHTS).select("doc_id", "text", "copy", "rate", "shuffle_key").collect()
+    want = con.sql(f"SELECT doc_id, text, copy, rate, shuffle_key FROM ({mixing.SQL})").fetchall()
+    assert max(r["rate"] for r in got) > mixing.MEAN and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 # op2
 
 
