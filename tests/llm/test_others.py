@@ -1,12 +1,16 @@
 """Chats, vectors and the pipeline."""
 
+import hashlib
+import math
 import random
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from mistveil.llm import ann, chat
+from mistveil.llm import ann, chat, repetition
 
 
 def brute_cost(roles):
@@ -119,6 +123,131 @@ def test_search_few_and_none(spark):
     assert ann.search(spark, few.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("table", ["documents", "odd"])
+def test_stages_against_plain_versions(spark, odd, sf, table):
+    """Every stage's rows, each stage on what a plain version of the one before leaves."""
+    import corpus_pipeline as c
+    from mistveil.llm import mixing, packing, pii
+    from tests.llm.test_documents import LOWER, WORD
+
+    docs = (spark.read.parquet(f"{sf}/documents.parquet") if table == "documents" else odd).select(*c.COLUMNS)
+    rows = [r.asDict() for r in docs.collect()]
+    strip = lambda found: sorted((tuple(map(str, r.asDict().values())) for r in found.collect()))
+    flat = lambda rows: sorted(tuple(map(str, r.values())) for r in rows)
+    frame = lambda rows: spark.createDataFrame([tuple(r[c_] for c_ in docs.columns) for r in rows], docs.schema)
+
+    def repeats(words, n):
+        seen, dup = set(), [False] * len(words)
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i : i + n])
+            if gram in seen:
+                dup[i : i + n] = [True] * n
+            seen.add(gram)
+        return sum(len(w) for w, d in zip(words, dup) if d)
+
+    def good(text):
+        words = WORD.findall(text or "")
+        grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        in_repeat = {i + k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        chars = sum(map(len, words))
+        lines, dup_line = set(), 0
+        for line in (text or "").split("\n"):
+            if WORD.search(line):
+                dup_line += sum(map(len, WORD.findall(line))) if line in lines else 0
+                lines.add(line)
+        if len(words) < 50 or 2 * len(in_repeat) > len(words) or sum(x in "#*$%&|<>" for x in text) > repetition.SYMBOL_LIMIT * len(words):
+            return False
+        return dup_line <= repetition.LINE_LIMIT * chars and all(repeats(words, n) <= share * chars for n, share in repetition.NGRAM_LIMITS.items())
+
+    want = [r for r in rows if good(r["text"])]
+    assert strip(c.quality_rules(spark, docs, sf)) == flat(want) and want
+
+    def shingles(text):
+        w = WORD.findall((text or "").translate(LOWER))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    source = want if table == "documents" else rows
+    ordered = sorted(source, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+    sets, group = [shingles(r["text"]) for r in ordered], list(range(len(ordered)))
+    root = lambda i: i if group[i] == i else root(group[i])
+    for i in range(len(ordered)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    want = [r for i, r in enumerate(ordered) if root(i) == i]
+    got = c.near_dedup(spark, frame(source), sf)
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(r["doc_id"]) for r in want) and len(want) < len(source)
+
+    def redacted(r):
+        text = r["text"]
+        for s, e, k in reversed(_stretches(pii.all_spans(text or "", pii.train())[1])):
+            text = text[:s] + f"[{pii.TYPES[k].upper()}]" + text[e:]
+        return r | {"text": text, "n_chars": len(text) if text is not None else r["n_chars"]}
+
+    source, want = want, [redacted(r) for r in want]
+    assert strip(c.redact_pii(spark, frame(source), sf)) == flat(want)
+
+    source = want
+    size = Counter()
+    for r in source:
+        size[r["source"]] += len(r["text"] or "")
+    present = {s: w for s, w in mixing.WEIGHTS.items() if size[s]}
+    want = []
+    for r in source:
+        n = 1
+        if r["source"] in present:
+            rate = present[r["source"]] / sum(present.values()) * sum(size[s] for s in present) / size[r["source"]]
+            name = str(r["doc_id"]) if r["doc_id"] is not None else "text:" + hashlib.md5((r["text"] or "").encode()).hexdigest()
+            u = int(hashlib.md5(f"count:{mixing.SEED}:{name}".encode()).hexdigest()[:12], 16) / (1 << 48)
+            n, p, total = 0, math.exp(-rate), math.exp(-rate)
+            while total <= u and n < 200:
+                n += 1
+                p *= rate / n
+                total += p
+        want += [r] * n
+    assert strip(c.mix_sources(spark, frame(source), sf)) == flat(want)
+
+    encode = packing.encoder(*packing.default_tokenizer())
+    got = c.pack_sequences(spark, frame(want), sf).collect()
+    pieces = Counter()
+    for r in want:
+        ids = np.append(encode(r["text"] or ""), np.uint32(2)).astype("<u4")
+        first = len(ids) % 1024 or 1024
+        for k, a in enumerate([0, *range(first, len(ids), 1024)]):
+            b = first if a == 0 else a + 1024
+            pieces[r["doc_id"], k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert pieces == Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got)
+    places: dict = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 1024
+    assert len(places) <= 1.05 * -(-sum(r["length"] for r in got) // 1024) + 2
+
+
+def _stretches(spans):
+    out = []
+    for s, e, k in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), out[-1][2])
+        else:
+            out.append((s, e, k))
+    return out
+
+
+def test_near_dedup_rows_without_or_with_shared_ids(spark):
+    """Copies go whatever their ids are; different texts of one id both stay."""
+    import corpus_pipeline as c
+
+    text = [" ".join(f"w{i}x{k}" for i in range(80)) for k in range(3)]
+    rows = [(None, text[0]), (None, text[0]), (3, text[0]), (4, text[1]), (4, text[2]), (4, text[1]), (None, text[2] + " end"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in c.near_dedup(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(3, text[0]), (4, text[1]), (4, text[2]), (None, None), (7, "")]))
+
+
 def test_pipeline(spark, odd, none, sf):
     import corpus_pipeline as c
 
