@@ -276,22 +276,101 @@ def test_lm(spark, sf, odd, none):
     assert len(lm.score(spark, odd).collect()) == odd.count() and lm.score(spark, none).count() == 0
 
 
+def plain_model(rows, w):
+    """Scores by dictionaries: (doc_id, text) -> score, and P(word | context) as a function, given the weights of classes."""
+    docs = []
+    for i, t in rows:
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        h, ending, _ = lm.tokens(raw, np.array([0, len(raw)]))
+        docs.append((i, i is not None and zlib.crc32(str(i).encode()) % 7 != 2, [int(x) for x in h.view(np.int64)], dict(zip([int(x) for x in h.view(np.int64)], ending.tolist()))))
+    n, endings = Counter(), {}
+    for _, learned, h, e in docs:
+        endings |= e
+        n.update(h if learned else [])
+    end = int(lm.END.view(np.int64))
+    top = sorted(n, key=lambda h: (-n[h], h))[: lm.HEAD]
+    vocabulary = lm.Vocabulary([(h, endings[h], n[h]) for h in top])
+    code = {h: int(vocabulary.codes(np.array([h], np.int64).view(np.uint64), np.array([endings[h]]))[0]) for h in endings}
+    cls_of, bucket_of = vocabulary.tables()
+    sizes = np.zeros(lm.ALL_CLASSES)
+    sizes[lm.CLASSES :] += 1
+    for h in n:
+        sizes[cls_of[code[h]]] += n[h] + 1
+    sizes = np.maximum(sizes, 1)
+    pairs = defaultdict(Counter)
+    for _, learned, h, _ in docs:
+        for k, x in enumerate(h if learned else []):
+            one, two = (h[k - 1] if k else "start"), (h[k - 2] if k > 1 else "start")
+            pairs["n", one][x] += 1
+            if k and n[one] <= 1:
+                pairs["skip", two][x] += 1
+    feature, total = {}, {}
+    for context, counts in pairs.items():
+        by = defaultdict(list)
+        for x in counts:
+            by[cls_of[code[x]]].append(x)
+        for c, words in by.items():
+            f, z, all_ = dict.fromkeys(words, 0.0), 1.0, sum(counts[x] for x in words)
+            q = {x: (n[x] + 1) / sizes[c] for x in words}
+            for _ in range(lm.STEPS):
+                for x in words:
+                    p = q[x] * math.exp(f[x]) / z
+                    f[x] += max(-lm.LONGEST, min(lm.LONGEST, (counts[x] - all_ * p - f[x] / lm.VARIANCE) / (all_ * p * (1 - p) + 1 / lm.VARIANCE)))
+                z = 1 + sum(q[x] * (math.exp(f[x]) - 1) for x in words)
+            total[context, c] = z
+            feature |= {(context, x): f[x] for x in words}
+    classes = [lm.class_logs(w, b) for b in range(lm.BUCKETS)]
+
+    def within(context, x):
+        c = cls_of[code[x]]
+        return (n[x] + 1) / sizes[c] * math.exp(feature.get((context, x), 0.0)) / total.get((context, c), 1.0)
+
+    scores = []
+    for i, _, h, _ in docs:
+        s = 0.0
+        for k, x in enumerate(h):
+            one, two = (h[k - 1] if k else "start"), (h[k - 2] if k > 1 else "start")
+            context = ("n", one) if one == "start" or n[one] else ("skip", two)
+            b1, b2 = (0 if u == "start" else bucket_of[code[u]] for u in (one, two))
+            s += classes[b1][b2, cls_of[code[x]]] / math.log(10) + math.log10(within(context, x))
+        scores.append((i, s))
+    sums = [sum(within(context, x) for x in n if cls_of[code[x]] == c) + (c >= lm.CLASSES) / sizes[c] / total.get((context, c), 1.0) for context, c in list(total)[:300]]
+    return scores, sums
+
+
+@pytest.mark.parametrize("hot, place", [(lm.HOT, lm.PLACE), (30, 20_000)])
+def test_lm_against_a_plain_model(spark, sf, odd, monkeypatch, hot, place):
+    """Also where contexts are dealt to several places."""
+    monkeypatch.setattr(lm, "HOT", hot)
+    monkeypatch.setattr(lm, "PLACE", place)
+    weights, used = [], []
+    train, learn_hot = lm.train, lm.learn_hot
+    monkeypatch.setattr(lm, "train", lambda *a: weights.append(train(*a)) or weights[-1])
+    monkeypatch.setattr(lm, "learn_hot", lambda *a: used.append(learn_hot(*a)) or used[-1])
+    docs = docs_of(spark, sf).select("doc_id", "text").limit(80).unionByName(odd.where("text is null or length(text) < 8000").select("doc_id", "text"))
+    rows = pairs_of(docs)
+    got = lm.score(spark, docs.repartition(3)).collect()
+    want, sums = plain_model(rows, weights[0])
+    assert (used[0] is None) == (hot > 1000)
+    assert np.allclose(sums, 1)
+    mine, theirs = (sorted((i is not None, i or 0, s) for i, s in x) for x in ([(r["doc_id"], r["score"]) for r in got], want))
+    assert [x[:2] for x in mine] == [x[:2] for x in theirs]
+    assert np.allclose([x[2] for x in mine], [x[2] for x in theirs], rtol=1e-5, atol=1e-3)
+
+
+def test_packed_arrays():
+    arrays = [np.array([1, 2**40], "<i8"), np.zeros(0, "<u4"), np.array([0.5, -1e300, 3.0]), np.array([7], "u1")]
+    back = lm.unpack(lm.pack(*arrays), "<i8", "<u4", "<f8", "u1")
+    assert all(np.array_equal(a, b) for a, b in zip(arrays, back))
+
+
 def test_counts_are_summed_as_a_tree(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 3)
-    rows = [(2, b, t, False, bytearray(np.array([t, 1], np.int32).tobytes())) for b in (0, 5) for t in range(20)]
-    parts = spark.createDataFrame(rows, "kind byte, block long, task long, wide boolean, counts binary")
+    rows = [(b, t, False, bytearray(np.array([t, 1], np.int32).tobytes())) for b in (0, 5) for t in range(20)]
+    parts = spark.createDataFrame(rows, "block long, task long, wide boolean, counts binary")
     assert sorted((r["block"], *np.frombuffer(bytes(r["counts"]), np.int64)) for r in lm.sum_counts(parts, 20).collect()) == [(0, 190, 20), (5, 190, 20)]
 
 
-def test_lm_is_normalised():
-    """All classes, and all words in each class, have probabilities that sum up to 1."""
-    rng = np.random.default_rng(0)
-    w = {k: rng.normal(size=x.shape) for k, x in lm.new_weights().items()}
-    cls = np.arange(500) % lm.CLASSES
-    assert np.allclose(np.exp(lm.class_logs(w, 5)).sum(axis=1), 1)
-    assert np.allclose(np.bincount(cls, np.exp(lm.word_logs(w, 5, cls)), lm.CLASSES), 1)
-
-
 # op8
 
 
