@@ -55,15 +55,17 @@ class Scratch:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Deletes tables, and lets the driver find the shuffles that made earlier ones, whose files then go too."""
         for name in names:
             fs, path = self._fs(f"{self.root}/{name}")
             fs.delete(path, True)
+        self.spark._jvm.System.gc()
 
 
 def lean(run):

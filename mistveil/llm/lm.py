@@ -46,7 +46,7 @@ BUCKETS = 1 + OWN + ENDINGS
 ALL_CLASSES = CLASSES + ENDINGS // 2
 PAIRS = 4096
 #: Bytes of text in a chunk of documents, and for which there is a place that words or pairs are sent to.
-CHUNK, PLACE = 8 << 20, 2 << 20
+CHUNK, PLACE = 3 << 20, 2 << 20
 ROUNDS, RATE = 12, 0.4
 #: Variance of the prior of a word's features, rounds, and the largest step of one.
 VARIANCE, STEPS, LONGEST = 8.0, 12, 1.5
@@ -644,10 +644,10 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     out = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held_out).alias("held_out")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = 1 << max(0, -(-size // PLACE) - 1).bit_length()
-    x = scratch.save(docs.select("doc_id", out, "text").mapInArrow(lean(_chunks), _ROW_DDL), "x")
+    x = scratch.save(docs.select("doc_id", out, "text").mapInArrow(lean(_chunks), _ROW_DDL), "x", "zstd")
 
     words = _gathered(x.mapInArrow(lean(_words_out(places)), _ROW_DDL), "place")
-    totals = scratch.save(words.mapInArrow(lean(_totals), _ROW_DDL), "totals")
+    totals = scratch.save(words.mapInArrow(lean(_totals), _ROW_DDL), "totals", "zstd")
     ddl = "h long, ending long, n long, v long"
     tops = totals.where(F.col("kind") == _TOP)
     top = [tuple(r) for r in tops.mapInArrow(lean(_tops(False)), ddl).orderBy(F.desc("n"), "h").limit(HEAD).select("h", "ending", "n").collect()]
@@ -678,10 +678,10 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
 
     hot = Hot(vocabulary, starts, sizes)
     both = _gathered(x.unionByName(totals.where(F.col("kind") == _TOTAL)), "chunk")
-    pairs = scratch.save(both.mapInArrow(lean(_pairs(w32, scratch.root, vocabulary, hot, n, v, sizes, places)), _ROW_DDL), "pairs")
+    pairs = scratch.save(both.mapInArrow(lean(_pairs(w32, scratch.root, vocabulary, hot, n, v, sizes, places)), _ROW_DDL), "pairs", "zstd")
     scratch.drop("x", "totals")
     solved = _gathered(pairs.where(F.col("kind") == _PAIRS), "place").mapInArrow(lean(_learn(hot, sizes)), _ROW_DDL)
-    solved = scratch.save(solved, "solved")
+    solved = scratch.save(solved, "solved", "zstd")
     found = pairs.where(F.col("kind") == _DOCS).unionByName(solved.where(F.col("kind") == _PART))
     more = learn_hot(solved, scratch)
     return _gathered(found if more is None else found.unionByName(more), "chunk").mapInArrow(lean(_scores(n)), _SCORED_DDL)
