@@ -7,6 +7,7 @@ import unicodedata
 
 from ..functions.chars import fold_fullwidth
 from ..functions.chars import FULLWIDTH
+from ..functions.patterns import EMAIL_LOCAL
 
 _HYPHENS = "‐‑‒–—―−﹣－"
 _ITEM = re.compile("(?:\\s{0,3}(?:[・●○■□※＊*-]|\\d+[.)]|[（(]\\d+[）)]|[①-⑳]|[ア-ン][.)]|第\\d+))\\s*")
@@ -14,12 +15,22 @@ _HEADING, _RULE = re.compile("\\s{0,3}#{1,6}(?:\\s|\\Z)"), re.compile("\\s{0,3}(
 _LABELS = "氏名|名前|担当者|住所|所在地|郵便番号|電話番号|携帯番号|FAX|ファックス|メールアドレス|生年月日|勤務先|会社名|口座番号|会員番号|顧客番号|契約番号|証明書番号"
 _H = f"{_HYPHENS}-"
 _PHONE = re.compile(f"[0-9][0-9\\s{_H}]{{5,}}[0-9]")
-_POSTAL = re.compile(f"(?<![0-9-])〒?[ \\t　]*[0-9]{{3}}[\\s　]*(?:[{_H}][\\s　]*|[\\s　]+)[0-9]{{4}}(?![\\s　]*[{_H}][\\s　]*[0-9])")
+_B = " \\t　"  # blanks that may stand before a postal code; a run of them is begun at its start only
+_POSTAL = re.compile(
+    f"(?:(?<![0-9-])〒[{_B}]*+|(?<![0-9{_B}-])[{_B}]++|(?<=[0-9-][{_B}])[{_B}]++|(?<![0-9-]))"
+    f"[0-9]{{3}}(?:[\\s　]*+[{_H}][\\s　]*+|[\\s　]++)[0-9]{{4}}(?![\\s　]*+[{_H}][\\s　]*+[0-9])"
+)
 _DATE = re.compile("[0-9]{4}[\\s　]*年[\\s　]*[0-9]{1,2}[\\s　]*月[\\s　]*[0-9]{1,2}[\\s　]*日")
 _TIME = re.compile("[0-9]{1,2}[\\s　]*[:：][\\s　]*[0-9]{2}(?:[\\s　]*[:：][\\s　]*[0-9]{2})?")
 _JP = "一-龥々ぁ-んァ-ヶ0-9"
-_EMAIL = re.compile("([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+)([ \\t　]*\\n?[ \\t　]*)@([ \\t　]*\\n?[ \\t　]*)([A-Za-z0-9-]+(?:[ \\t　]*\\n?[ \\t　]*\\.[ \\t　]*\\n?[ \\t　]*[A-Za-z0-9-]+)+)")
-_JOIN = re.compile("[ \\t]*\\n[ \\t]*")
+# Blanks inside an email: spaces and at most one line break. Domains are read forwards from the @, local parts backwards from it; no
+# quantifier here gives back what it took, so each @ costs what it reads.
+_GAP = "[ \\t]*+(?:\\n[ \\t]*+)?+"
+_LABEL = f"[A-Za-z0-9](?:[A-Za-z0-9]++|-{_GAP}(?=[A-Za-z0-9]))*+"
+_DOMAIN = re.compile(f"{_GAP}{_LABEL}(?:{_GAP}\\.{_GAP}{_LABEL})++(?!{_GAP}\\.)(?![A-Za-z0-9._%+@-])")
+_BLANKS = "(?:[ \\t]++(?:\\n[ \\t]*+)?+|\\n[ \\t]*+)(?!\\n)"
+_LOCAL_BACK = re.compile(f"(?:[{EMAIL_LOCAL}]++|(?<![^.-]){_BLANKS}|{_BLANKS}(?=[.-]))*+")
+_JOIN = re.compile("(?<![ \\t])[ \\t]*+\\n[ \\t]*+")
 
 
 class Work:
@@ -133,13 +144,27 @@ def _time(v: str) -> str | None:
     return v.replace("：", ":") if p[0] < 24 and all(x < 60 for x in p[1:]) else None
 
 
-def _email(v: str) -> str | None:
-    return v if len(v) <= 254 and re.fullmatch("[^@]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", v) else None
+def _email(v: str) -> bool:
+    local, _, domain = v.partition("@")
+    labels = domain.split(".")
+    return len(v) <= 254 and bool(re.fullmatch(f"[{EMAIL_LOCAL}]+", local)) and len(labels) > 1 and all(re.fullmatch("[A-Za-z0-9-]+", x) and "-" not in (x[0], x[-1]) for x in labels)
 
 
 def _emails(w: Work) -> None:
-    if "@" in w.text:
-        _validated(w, _EMAIL, "email", _email)
+    text = w.text
+    guarded, edits, last = protected(text), [], 0
+    at = text.find("@")
+    while at >= 0:
+        domain = _DOMAIN.match(text, at + 1)
+        start = at - _LOCAL_BACK.match(text[last:at][::-1]).end()
+        value = text[start : domain.end()] if domain and start < at else ""
+        last = at + 1
+        if value and _email(new := _compact(value)) and new != value and not overlaps(guarded, start, domain.end()):
+            broken = "\n" in value
+            edits.append((start, domain.end(), new, f"email_{'line_break' if broken else 'spacing'}", "line_break" if broken else "space"))
+            last = domain.end()
+        at = text.find("@", last)
+    w.edit(edits)
 
 
 def _joiner(before: str, after: str) -> str:
@@ -196,7 +221,7 @@ def normalize_document(text: str, mode: str = "standard", mappings: bool = True)
     w.edit(edits)
     w.sub("\\r\\n?", "line_ending", "line_break", "\n")
     w.sub("[\\u200b\\u2060\\ufeff\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]", "invisible_character", "character", "")
-    w.sub("[\\u00a0\\u2007\\u202f\\u3000]", "special_space", "space", " ")
+    w.sub("[\\u00a0\\u2007\\u202f\\u3000]", "special_whitespace", "space", " ")
     w.sub(f"[{FULLWIDTH[0]}-{FULLWIDTH[-1]}]", "fullwidth_ascii", "character", lambda m: fold_fullwidth(m[0]))
     _emails(w)
     for pattern, name, new in ((_PHONE, "phone", _phone), (_POSTAL, "postal_code", _postal), (_DATE, "date_time", _date), (_TIME, "date_time", _time)):
@@ -204,7 +229,7 @@ def normalize_document(text: str, mode: str = "standard", mappings: bool = True)
     whole = w.text
     guarded = protected(whole)
     edits = []
-    for m in () if not re.search(_LABELS, whole) else re.finditer("^([^\\r\\n:：]{1,16})([ \\t]*[:：]?[ \\t]*)\\n[ \\t]*([^\\r\\n]{1,256})$", whole, re.M):
+    for m in () if not re.search(_LABELS, whole) else re.finditer("^([^\\r\\n:：]{1,16})([ \\t]*+(?:[:：][ \\t]*+)?)\\n[ \\t]*([^\\r\\n]{1,256})$", whole, re.M):
         if re.fullmatch(_LABELS, m[1].strip()) and not overlaps(guarded, *m.span()):
             edits.append((m.end(2), m.start(3), "" if re.search("[:：]", m[2]) else " ", "label_value_line_break", "line_break"))
     w.edit(edits)

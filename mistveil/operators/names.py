@@ -7,7 +7,8 @@ import re
 from functools import lru_cache
 
 from ..functions.chars import DIGITS, KANJI, LETTERS, WS, digits_of, trim
-from ..functions.lexicon import ADDRESS_LABEL, ERAS, PERSON_FIELDS, TITLES, address_pattern, surname_pattern
+from ..functions.lexicon import ERAS, PERSON_FIELDS, TITLES, surname_pattern
+from .addresses import ADDRESS_LABEL, scanner
 from .candidates import Candidate, at, unique
 
 S = f"[{WS}]"
@@ -93,11 +94,6 @@ def credentials(text: str) -> list[Candidate]:
 # Addresses and titles -------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _address(line_break: str) -> re.Pattern:
-    return re.compile(address_pattern(line_break))
-
-
 _TOWN = re.compile("[市区町村]")
 _LABEL = re.compile(ADDRESS_LABEL)
 
@@ -105,9 +101,9 @@ _LABEL = re.compile(ADDRESS_LABEL)
 def addresses(text: str) -> list[Candidate]:
     out = []
     if _TOWN.search(text):
-        for m in _address("").finditer(text):
-            label = _LABEL.match(m[2])
-            out += at(text, m.start(2) + (label.end() if label else 0), m.end(2), "ADDRESS")
+        for start, end in scanner().find(text):
+            label = _LABEL.match(text, start, end)
+            out += at(text, label.end() if label else start, end, "ADDRESS")
     return unique(out)
 
 
@@ -165,7 +161,8 @@ def titled_names(text: str) -> list[Candidate]:
 
 
 _ENGLISH = f"(?:[A-Z][a-z]+|[A-Z]{{2,}})(?:[{WS}]+(?:[A-Z][a-z]+|[A-Z]{{2,}})){{1,3}}"
-_LABELLED_ENGLISH = re.compile(f"(?:氏名|名義人|口座名義){S}*(?:[:：=]{S}*)?({_ENGLISH}){AFTER_NAME[:-3]})".replace("|と)", "|へ)"))
+_AFTER_ENGLISH = f"(?=\\Z|[{WS}、。，,.]|さん|様|氏|から|として|である|です|が|は|を|に|へ)"
+_LABELLED_ENGLISH = re.compile(f"(?:氏名|名義人|口座名義){S}*(?:[:：=]{S}*)?({_ENGLISH}){_AFTER_ENGLISH}")
 
 
 def person_names(text: str) -> list[Candidate]:

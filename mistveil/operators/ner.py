@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import KANJI, trim
-from ..functions.lexicon import AMBIGUOUS_SET, ADDRESS_LABEL, canonical_name, surnames
+from ..functions.lexicon import AMBIGUOUS_SET, canonical_name, surnames
+from .addresses import ADDRESS_LABEL
 from .candidates import Candidate, ranges_of, replace
 from .masking import _GIVEN_AFTER, _ITEM_BEFORE, _LABEL_BEFORE, _TITLE_AFTER
 from .normalize import back, normalize

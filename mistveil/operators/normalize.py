@@ -14,8 +14,9 @@ from functools import lru_cache
 
 from ..functions.chars import FULLWIDTH, KANJI, fold_fullwidth
 from ..functions.lexicon import surname_pattern
+from .addresses import scanner
 from .candidates import Candidate, replace, unique
-from .names import _TOWN, _address, addresses, person_names
+from .names import _TOWN, addresses, person_names
 
 BREAK = "[ 　]*\\r?\\n[ 　]*"
 _BREAK = re.compile(BREAK)
@@ -193,9 +194,8 @@ def _organization_breaks(m: Mapped) -> None:
 def _address_breaks(m: Mapped) -> None:
     ranges = fences(m.text)
     found = []
-    for x in _address(BREAK).finditer(m.text):
-        a, b = x.span(2)
-        if "\n" in x[2] and not _HEADING.match(_line(m.text, a)) and not _within(ranges, a) and not _within(ranges, b - 1):
+    for a, b in scanner(BREAK).find(m.text):
+        if "\n" in m.text[a:b] and not _HEADING.match(_line(m.text, a)) and not _within(ranges, a) and not _within(ranges, b - 1):
             found.append((a, b))
     _cut_breaks(m, found, "address_line_break")
 

@@ -10,41 +10,36 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import DIGITS, HYPHENS, KANJI, LETTERS, WS, digits_of, nfc, trim
+from ..functions.chars import DIGITS, KANJI, WS, digits_of, nfc, trim
 from ..functions.lexicon import CATEGORY_LABELS, TITLES, split_name, surname_pattern
+from ..functions.patterns import PHONE_DIGITS, SHAPES, valid_email
+from ..functions.patterns import emails as email_spans
 from .candidates import Candidate, at, inside, ranges_of, replace, strictly_inside, unique
 from .names import AFTER_TITLE, addresses, birth_dates, credentials, pattern, person_names, titled_names
 from .normalize import broken_organizations, normalized, normalized_addresses, normalized_names
 
-# The structured detectors again, for text inside the row (the Column forms are in ``structured``).
-_SIDE = f"{DIGITS}{LETTERS}{HYPHENS}"
-_EMAIL = re.compile(r"(?:^|(?<=[^A-Za-z0-9._%+-]))[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?=\Z|[^A-Za-z0-9._%+-])")
-_EMAIL_OK = re.compile(r"(?!\.)(?!.*\.\.[^@]*@)[^@]+(?<!\.)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\Z")
-_PHONE = re.compile(f"(?:^|(?<=[^{_SIDE}]))[0０][{DIGITS}]{{1,4}}[{WS}{HYPHENS}][{DIGITS}]{{1,4}}[{WS}{HYPHENS}][{DIGITS}]{{3,4}}(?=\\Z|[^{_SIDE}])")
-_PHONE_OK = re.compile(r"(?:0\d{9}|(?:020|050|060|070|080|090)\d{8})\Z")
-_POSTAL = re.compile(f"(?:^|(?<=[^{_SIDE}]))(?:〒[{WS}]*)?[{DIGITS}]{{3}}[{HYPHENS}][{DIGITS}]{{4}}(?=\\Z|[^{_SIDE}])")
-_URL = re.compile(r"https?://[A-Za-z0-9._~:/?@!$&*+,;=%#-]+", re.I)
+# The structured detectors for text inside the row; the Column forms in ``structured`` are made of the same table.
+_SHAPES = {name: shape.python() for name, shape in SHAPES.items()}
+_PHONE_OK = re.compile(PHONE_DIGITS)
 _HOST = re.compile(r"https?://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
-_IPV4 = re.compile(r"(?:^|(?<=[^0-9.]))[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])", re.M)
-_IPV6 = re.compile(r"(?:^|(?<=[^A-Za-z0-9:]))[A-Fa-f0-9:]*:[A-Fa-f0-9:]+(?![A-Za-z0-9:])", re.M)
 
 
 def emails(text: str) -> list[Candidate]:
     if "@" not in text:
         return []
-    return unique([c for m in _EMAIL.finditer(text) if _EMAIL_OK.match(m[0]) for c in at(text, *m.span(), "EMAIL")])
+    return unique([c for span in email_spans(text) if valid_email(text[slice(*span)]) for c in at(text, *span, "EMAIL")])
 
 
 def phones(text: str) -> list[Candidate]:
-    return unique([c for m in _PHONE.finditer(text) if _PHONE_OK.match(digits_of(m[0])) for c in at(text, *m.span(), "PHONE")])
+    return unique([c for m in _SHAPES["phone"].finditer(text) if _PHONE_OK.fullmatch(digits_of(m[0])) for c in at(text, *m.span(), "PHONE")])
 
 
 def postal_codes(text: str) -> list[Candidate]:
-    return unique([c for m in _POSTAL.finditer(text) for c in at(text, *m.span(), "POSTAL_CODE")])
+    return unique([c for m in _SHAPES["postal"].finditer(text) for c in at(text, *m.span(), "POSTAL_CODE")])
 
 
 def urls(text: str) -> list[Candidate]:
-    out = [c for m in _URL.finditer(text) for c in at(text, *m.span(), "OTHER")]
+    out = [c for m in _SHAPES["url"].finditer(text) for c in at(text, *m.span(), "OTHER")]
     return unique([c for c in out if (h := _HOST.match(c.text)) and (h[1].lower() == "localhost" or "." in h[1])])
 
 
@@ -56,8 +51,8 @@ def _ipv6_ok(v: str) -> bool:
 
 
 def ip_addresses(text: str) -> list[Candidate]:
-    four = [m for m in _IPV4.finditer(text) if all(re.fullmatch("0|[1-9][0-9]{0,2}", p) and int(p) <= 255 for p in m[0].split("."))]
-    six = [m for m in _IPV6.finditer(text) if _ipv6_ok(m[0])] if ":" in text else []
+    four = [m for m in _SHAPES["ipv4"].finditer(text) if all(re.fullmatch("0|[1-9][0-9]{0,2}", p) and int(p) <= 255 for p in m[0].split("."))]
+    six = [m for m in _SHAPES["ipv6"].finditer(text) if _ipv6_ok(m[0])] if ":" in text else []
     return unique([Candidate(m[0], "OTHER", start=m.start(), end=m.end()) for m in four + six])
 
 
@@ -122,7 +117,8 @@ def enrich(text: str, candidates: list[Candidate]) -> list[Candidate]:
     return candidates + unique(fenced + spaced + ruby + alone)
 
 
-_FLOOR = re.compile("[0-9０-９一二三四五六七八九十百千]+(?:階|号室)\\Z")
+# Fixed value: an address that is only a floor or room.
+_FLOOR = re.compile("[0-9０-９]{1,3}(?:階|号室)\\Z")
 _HIRAGANA = re.compile("[ぁ-ゖー]+\\Z")
 _READING = re.compile("([ぁ-ゖー]{4,12})(?=[ \\t]*(?:\\Z|\\r?\\n|\\|))")
 

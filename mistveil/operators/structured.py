@@ -5,26 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.chars import DIGITS, HYPHENS, LETTERS, WS, digits_col
+from ..functions.chars import DIGITS, HYPHENS, WS, digits_col
+from ..functions.patterns import EMAIL_JAVA, PHONE_DIGITS, SHAPES
 from .spans import contained, outside, spans, tagged, trim_spans
 
-_SIDE = f"{DIGITS}{LETTERS}{HYPHENS}"
-EMAIL = r"(^|[^A-Za-z0-9._%+-])([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)(?=\z|[^A-Za-z0-9._%+-])"
-PHONE = f"(^|[^{_SIDE}])([0０][{DIGITS}]{{1,4}}[{WS}{HYPHENS}][{DIGITS}]{{1,4}}[{WS}{HYPHENS}][{DIGITS}]{{3,4}})(?=\\z|[^{_SIDE}])"
-POSTAL = f"(^|[^{_SIDE}])((?:〒[{WS}]*)?[{DIGITS}]{{3}}[{HYPHENS}][{DIGITS}]{{4}})(?=\\z|[^{_SIDE}])"
-URL = r"(?i)()(https?://[A-Za-z0-9._~:/?@!$&*+,;=%#-]+)"
-IPV4 = r"(?m)(^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9.])"
-IPV6 = r"(?m)(^|[^A-Za-z0-9:])([A-Fa-f0-9:]*:[A-Fa-f0-9:]+)(?![A-Za-z0-9:])"
-
 
 def valid_email(v: Column) -> Column:
-    """One @, no dot at the edges of the local part or twice in it, no hyphen at a label's edges, an alphabetic last label."""
-    return v.rlike(r"^(?!\.)(?!.*\.\.[^@]*@)[^@]+(?<!\.)@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\z")
+    """No dot at the edges of the local part or twice in it, no hyphen at a label's edges, an alphabetic last label."""
+    local, labels = F.substring_index(v, "@", 1), F.split(F.substring_index(v, "@", -1), r"\.")
+    dots = ~local.startswith(".") & ~local.endswith(".") & ~local.contains("..") & (local != "")
+    whole = F.forall(labels, lambda x: (x != "") & ~x.startswith("-") & ~x.endswith("-"))
+    return dots & (F.size(labels) > 1) & whole & F.element_at(labels, -1).rlike(r"^[A-Za-z]{2,}\z")
 
 
 def valid_phone(v: Column) -> Column:
-    d = digits_col(v)
-    return d.rlike(r"^(?:0\d{9}|(?:020|050|060|070|080|090)\d{8})\z")
+    return digits_col(v).rlike(rf"^{PHONE_DIGITS}\z")
 
 
 def valid_url(v: Column) -> Column:
@@ -56,24 +51,24 @@ def _found(text: Column, pattern: str, valid=None, trim: bool = True, hint: Colu
 
 
 def emails(text: Column) -> Column:
-    return _found(text, EMAIL, valid_email, hint=text.contains("@"))
+    return _found(text, EMAIL_JAVA, valid_email, hint=text.contains("@"))
 
 
 def phones(text: Column) -> Column:
-    return _found(text, PHONE, valid_phone, hint=text.rlike(f"[0０][{DIGITS}]{{1,4}}[{WS}{HYPHENS}][{DIGITS}]"))
+    return _found(text, SHAPES["phone"].java(), valid_phone, hint=text.rlike(f"[0０][{DIGITS}]{{1,4}}[{WS}{HYPHENS}][{DIGITS}]"))
 
 
 def postal_codes(text: Column) -> Column:
-    return _found(text, POSTAL, hint=text.rlike(f"[{DIGITS}]{{3}}[{HYPHENS}][{DIGITS}]{{4}}"))
+    return _found(text, SHAPES["postal"].java(), hint=text.rlike(f"[{DIGITS}]{{3}}[{HYPHENS}][{DIGITS}]{{4}}"))
 
 
 def urls(text: Column) -> Column:
-    found = F.filter(_found(text, URL, hint=text.contains("://")), lambda x: valid_url(x["text"]))
+    found = F.filter(_found(text, SHAPES["url"].java(), hint=text.contains("://")), lambda x: valid_url(x["text"]))
     return F.array_distinct(found)
 
 
 def ip_addresses(text: Column) -> Column:
-    return F.array_distinct(F.concat(_found(text, IPV4, valid_ipv4, trim=False, hint=text.rlike("[0-9]\\.[0-9]")), _found(text, IPV6, valid_ipv6, trim=False, hint=text.rlike(":[A-Fa-f0-9:]"))))
+    return F.array_distinct(F.concat(_found(text, SHAPES["ipv4"].java(), valid_ipv4, trim=False, hint=text.rlike("[0-9]\\.[0-9]")), _found(text, SHAPES["ipv6"].java(), valid_ipv6, trim=False, hint=text.rlike(":[A-Fa-f0-9:]"))))
 
 
 def structured(text: Column) -> Column:
