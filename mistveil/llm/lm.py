@@ -23,7 +23,8 @@ word; then each round adds up the parts of the sum over the class.
 4. Chunks send their distinct pairs with counts to the place of their context, where features are learned; for each pair its
    part of the score comes back.
 
-Words are 64-bit hashes, words in a pair the lower 32 bits. Everything that is sent is packed, one row for each chunk and place.
+Words are 64-bit hashes, of which a pair has 48 bits of its context and 24 of its word. Everything that is sent is packed, one
+row for each chunk and place.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ BUCKETS = 1 + OWN + ENDINGS
 ALL_CLASSES = CLASSES + ENDINGS // 2
 PAIRS = 4096
 #: Bytes of text in a chunk of documents, and for which there is a place that words or pairs are sent to.
-CHUNK, PLACE = 3 << 20, 2 << 20
+CHUNK, PLACE = 5 << 20, 2 << 20
 ROUNDS, RATE = 12, 0.4
 #: Variance of the prior of a word's features, rounds, and the largest step of one.
 VARIANCE, STEPS, LONGEST = 8.0, 12, 1.5
@@ -55,6 +56,8 @@ HOT = 1 << 19
 FAN_IN = 256
 END, START, SKIP = np.uint64(0x5EED0E0D5EED0E0D), np.uint64(0x57A2757A2757A275), np.uint64(0x5C195C195C195C19)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a context's and of a word's hash that name a pair. Words that agree in theirs, in a context and class, share a feature.
+CONTEXT_BITS, WORD_BITS = np.uint64((1 << 48) - 1), np.uint64((1 << 24) - 1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,11 +95,14 @@ _CHUNK, _TOTAL, _TOP, _DOCS, _PAIRS, _PART, _HOT, _HOT_PART = range(8)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one string, byte by byte of their values: the high bytes of small numbers compress to nothing."""
-    return np.array([len(x) for x in arrays], "<i8").tobytes() + b"".join(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays)
+    """Arrays in one compressed string, byte by byte of their values: the high bytes of small or sorted numbers become next to nothing."""
+    planes = (np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays)
+    raw = np.array([len(x) for x in arrays], "<i8").tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unpack(raw: bytes, *types: str) -> list[np.ndarray]:
+def unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
     out, at = [], 8 * len(types)
     for n, t in zip(np.frombuffer(raw, "<i8", len(types)), map(np.dtype, types)):
         planes = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
@@ -384,7 +390,7 @@ class Hot:
 
     def __init__(self, vocabulary: Vocabulary, starts: int, sizes: np.ndarray):
         own = vocabulary.n > HOT
-        h = np.concatenate([vocabulary.h[own], skip_context(vocabulary.h[own]), [START]]).astype(np.uint64)
+        h = np.concatenate([vocabulary.h[own], skip_context(vocabulary.h[own]), [START]]).astype(np.uint64) & CONTEXT_BITS
         n = np.concatenate([vocabulary.n[own], vocabulary.n[own], [starts]])
         h, n = h[n > HOT], n[n > HOT]
         order = np.argsort(h)
@@ -433,59 +439,86 @@ def learn(q: np.ndarray, n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 
 
 _PAIR_TYPES = ("<u8", "<u4", "<u4", "u1", "<u4", "<u8")
+_KNOWN_TYPES = (*_CHUNK_TYPES[:-1], "<u8")
+
+
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk and the totals of its words -> the chunk, with totals in place of its own counts."""
+    for rows in _groups(batches, 1):
+        own = unpack(rows[0][3], *_CHUNK_TYPES)[:-1]
+        total = np.concatenate([unpack(r[3], "<u8")[0] for r in rows[1:]])
+        yield emit(_ROW, [[_CHUNK], [rows[0][1]], [0], [pack(*own, total)]])
+
+
+class Pairs:
+    """The distinct pairs of a chunk in the order of their places, and which of them each token has."""
+
+    def __init__(self, data: bytes, cls: np.ndarray, vocabulary: Vocabulary, hot: Hot, places: int):
+        self.doc, self.has, self.fold, self.at, ids, words, ending, total = unpack(data, *_KNOWN_TYPES)
+        self.ids, self.total, self.size = ids.astype(np.int64), total.astype(np.int64), np.diff(self.at)
+        self.codes = vocabulary.codes(words, ending)
+        self.cls = cls[self.codes]
+        ids, m, at = self.ids, len(words), self.at
+        # Contexts: places of words, m for the start; from m + 1 on the same for skips.
+        u1, u2 = np.full(len(ids), m), np.full(len(ids), m)
+        u1[1:], u2[2:] = ids[:-1], ids[:-2]
+        u1[at[:-1]] = u2[at[:-1]] = m
+        second = at[:-1] + 1
+        u2[second[second < at[1:]]] = m
+        seen = np.append(self.total, 2)[u1]  # the start counts as seen
+        learned = np.repeat(self.fold == 0, self.size)
+        more = np.flatnonzero(learned & (seen <= 1))
+        code = np.concatenate([np.where(seen > 0, u1, m + 1 + u2) * m + ids, (m + 1 + u2[more]) * m + ids[more]])
+        pair, of = np.unique(code, return_inverse=True)
+        count = np.bincount(of, np.concatenate([learned, np.ones(len(more))]))
+        hashes = np.concatenate([words, [START], skip_context(np.append(words, START))]) & CONTEXT_BITS
+        context, word = hashes[pair // m], pair % m
+        low = (words[word] & WORD_BITS).astype("<u4")
+        place = hot.place(context, self.cls[word], low, places)
+        order = np.lexsort((low, self.cls[word], context, place))
+        self.place, self.context, self.low, self.word, self.count = place[order], context[order], low[order], word[order], count[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.entry = back[of[: len(ids)]]
+
+
+def _pairs_out(cls: np.ndarray, vocabulary: Vocabulary, hot: Hot, places: int):
+    """Chunks -> their pairs by place: contexts, how many pairs each has, and of the pairs the word, class, training count, and the word's total."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                p = Pairs(data, cls, vocabulary, hot, places)
+                kind, total, count = p.cls[p.word].astype(np.uint8), p.total[p.word].astype("<u8"), p.count.astype("<u4")
+                for to, lo, hi in _split(p.place):
+                    edge = np.append(np.flatnonzero(np.append(True, p.context[lo + 1 : hi] != p.context[lo : hi - 1])), hi - lo)
+                    own = pack(p.context[lo:hi][edge[:-1]], np.diff(edge).astype("<u4"), p.low[lo:hi], kind[lo:hi], count[lo:hi], total[lo:hi])
+                    yield emit(_ROW, [[_PAIRS], [chunk], [to], [own]])
 
-def _pairs(w: dict, key: str, vocabulary: Vocabulary, hot: Hot, n: int, v: int, sizes: np.ndarray, places: int):
-    """A chunk and the totals of its words -> its documents without the features' part of the score, and its pairs by place.
+    return run
+
+
+_DOC_TYPES = ("<i8", "u1", "u1", "<i8", "<i8", "<f8", "<f8", "<u4")
 
-    A place's row: contexts, how many pairs each has, and of the pairs the word, class, training count, and the word's total.
-    """
+
+def _docs_out(w: dict, key: str, cls: np.ndarray, bucket: np.ndarray, vocabulary: Vocabulary, hot: Hot, n: int, v: int, sizes: np.ndarray, places: int):
+    """Chunks -> their documents: the score without what features of words add, and the pairs of each, as a bag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_cls, table_bucket = vocabulary.tables()
         classes = class_table(key, w)
-        for rows in _groups(batches, 1):
-            doc, has, fold, at, ids, words, ending, _ = unpack(rows[0][3], *_CHUNK_TYPES)
-            ids, size, m = ids.astype(np.int64), np.diff(at), len(words)
-            total = np.concatenate([unpack(r[3], "<u8")[0] for r in rows[1:]]).astype(np.int64)
-            codes = vocabulary.codes(words, ending)
-            cls = table_cls[codes]
-            base, share = np.log10(total + 1.0), np.log10((total + 1.0) / sizes[cls])
-            one, two = contexts(table_bucket[codes][ids], at)
-            score = np.add.reduceat(classes[one, two, cls[ids]].astype(np.float64) + share[ids], at[:-1])
-            base_score = np.add.reduceat(base[ids], at[:-1]) - size * np.log10(float(n + v + 1))
-            known = np.add.reduceat((total[ids] > 0).astype(np.int64), at[:-1])
-
-            # Contexts: places of words, m for the start; from m + 1 on the same for skips.
-            u1, u2 = np.full(len(ids), m), np.full(len(ids), m)
-            u1[1:], u2[2:] = ids[:-1], ids[:-2]
-            u1[at[:-1]] = u2[at[:-1]] = m
-            second = at[:-1] + 1
-            u2[second[second < at[1:]]] = m
-            seen = np.append(total, 2)  # the start counts as seen
-            learned = np.repeat(fold == 0, size)
-            used = np.where(seen[u1] > 0, u1, m + 1 + u2)
-            more = np.flatnonzero(learned & (seen[u1] <= 1))
-            pair, of = np.unique(np.concatenate([used * m + ids, (m + 1 + u2[more]) * m + ids[more]]), return_inverse=True)
-            count = np.bincount(of, np.concatenate([learned, np.ones(len(more))])).astype("<u4")
-            hashes = np.concatenate([words, [START], skip_context(np.append(words, START))])
-            context, word = hashes[pair // m], pair % m
-            low = (words[word] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            place = hot.place(context, cls[word], low, places)
-            order = np.lexsort((low, cls[word], context, place))
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            place, context, low, count, word = place[order], context[order], low[order], count[order], word[order]
-
-            entry = back[of[: len(ids)]]
-            entry = entry[np.lexsort((entry, np.repeat(np.arange(len(doc)), size)))]
-            gaps = np.diff(entry, prepend=0)
-            gaps[at[:-1]] = entry[at[:-1]]
-            yield emit(_ROW, [[_DOCS], [rows[0][1]], [0], [pack(doc, has, fold, at, known, base_score, score, gaps.astype("<u4"))]])
-            for to, lo, hi in _split(place):
-                edge = np.append(np.flatnonzero(np.append(True, context[lo + 1 : hi] != context[lo : hi - 1])), hi - lo)
-                data = pack(context[lo:hi][edge[:-1]], np.diff(edge).astype("<u4"), low[lo:hi], cls[word[lo:hi]].astype(np.uint8), count[lo:hi], total[word[lo:hi]].astype("<u8"))
-                yield emit(_ROW, [[_PAIRS], [rows[0][1]], [to], [data]])
+        for batch in batches:
+            for chunk, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                p = Pairs(data, cls, vocabulary, hot, places)
+                ids, at = p.ids, p.at
+                base, share = np.log10(p.total + 1.0), np.log10((p.total + 1.0) / sizes[p.cls])
+                one, two = contexts(bucket[p.codes][ids], at)
+                score = np.add.reduceat(classes[one, two, p.cls[ids]].astype(np.float64) + share[ids], at[:-1])
+                base_score = np.add.reduceat(base[ids], at[:-1]) - p.size * np.log10(float(n + v + 1))
+                known = np.add.reduceat((p.total[ids] > 0).astype(np.int64), at[:-1])
+                entry = p.entry[np.lexsort((p.entry, np.repeat(np.arange(len(p.doc)), p.size)))]
+                gaps = np.diff(entry, prepend=0)
+                gaps[at[:-1]] = entry[at[:-1]]
+                yield emit(_ROW, [[_DOCS], [chunk], [0], [pack(p.doc, p.has, p.fold, at, known, base_score, score, gaps.astype("<u4"))]])
 
     return run
 
@@ -613,7 +646,7 @@ def _scores(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 1):
-            doc, has, fold, at, known, base, score, gaps = unpack(rows[0][3], "<i8", "u1", "u1", "<i8", "<i8", "<f8", "<f8", "<u4")
+            doc, has, fold, at, known, base, score, gaps = unpack(rows[0][3], *_DOC_TYPES)
             parts = [unpack(r[3], "<f4")[0] for r in rows if r[0] == _PART]
             value = np.concatenate(parts).astype(np.float64)
             first = dict(zip((r[2] for r in rows if r[0] == _PART), np.cumsum([0, *map(len, parts)])))
@@ -644,10 +677,10 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     out = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held_out).alias("held_out")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     places = 1 << max(0, -(-size // PLACE) - 1).bit_length()
-    x = scratch.save(docs.select("doc_id", out, "text").mapInArrow(lean(_chunks), _ROW_DDL), "x", "zstd")
+    x = scratch.save(docs.select("doc_id", out, "text").mapInArrow(lean(_chunks), _ROW_DDL), "x")
 
     words = _gathered(x.mapInArrow(lean(_words_out(places)), _ROW_DDL), "place")
-    totals = scratch.save(words.mapInArrow(lean(_totals), _ROW_DDL), "totals", "zstd")
+    totals = scratch.save(words.mapInArrow(lean(_totals), _ROW_DDL), "totals")
     ddl = "h long, ending long, n long, v long"
     tops = totals.where(F.col("kind") == _TOP)
     top = [tuple(r) for r in tops.mapInArrow(lean(_tops(False)), ddl).orderBy(F.desc("n"), "h").limit(HEAD).select("h", "ending", "n").collect()]
@@ -676,13 +709,16 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     w32 = {k: a.astype(np.float32) for k, a in w.items()}
     scratch.drop("parts", "sums")
 
-    hot = Hot(vocabulary, starts, sizes)
-    both = _gathered(x.unionByName(totals.where(F.col("kind") == _TOTAL)), "chunk")
-    pairs = scratch.save(both.mapInArrow(lean(_pairs(w32, scratch.root, vocabulary, hot, n, v, sizes, places)), _ROW_DDL), "pairs", "zstd")
+    known = _gathered(x.unionByName(totals.where(F.col("kind") == _TOTAL)), "chunk").mapInArrow(lean(_known), _ROW_DDL)
+    known = scratch.save(known, "known")
     scratch.drop("x", "totals")
-    solved = _gathered(pairs.where(F.col("kind") == _PAIRS), "place").mapInArrow(lean(_learn(hot, sizes)), _ROW_DDL)
-    solved = scratch.save(solved, "solved", "zstd")
-    found = pairs.where(F.col("kind") == _DOCS).unionByName(solved.where(F.col("kind") == _PART))
+    hot = Hot(vocabulary, starts, sizes)
+    cls, bucket = vocabulary.tables()
+    pairs = _gathered(known.mapInArrow(lean(_pairs_out(cls, vocabulary, hot, places)), _ROW_DDL), "place")
+    solved = scratch.save(pairs.mapInArrow(lean(_learn(hot, sizes)), _ROW_DDL), "solved")
+    scratch.drop()
+    found = known.mapInArrow(lean(_docs_out(w32, scratch.root, cls, bucket, vocabulary, hot, n, v, sizes, places)), _ROW_DDL)
+    found = found.unionByName(solved.where(F.col("kind") == _PART))
     more = learn_hot(solved, scratch)
     return _gathered(found if more is None else found.unionByName(more), "chunk").mapInArrow(lean(_scores(n)), _SCORED_DDL)
 
