@@ -5,10 +5,14 @@ A query walks the pairs in the order of summed distance (the negated inner produ
 half) with a heap, in strips of eight second centroids, until the cells hold a share of the vectors, and all
 of these are reranked exactly. The distance at which the walk ends says which cells a query visits.
 
-The codebooks are fitted on a bounded sample; every vector is indexed. Sizes known to the driver are the
-codebooks and one count a cell, at most ``MAX_CENTROIDS ** 2``. Vectors are scored in blocks of bounded size,
-each against the queries that visit one of its cells. Of equal vectors only the TOP + 1 with the smallest ids
-can be among anyone's nearest, so no others are scored, and equal queries are answered once.
+The codebooks are fitted on a bounded sample; every vector is indexed. The share is learned too: on a part of the sample that the
+codebooks have not seen, it is what has to be visited for ``RECALL`` of the nearest. Clustered vectors need little of
+the index, vectors without any direction in common a quarter of it or more.
+
+Sizes known to the driver are the codebooks and one count a cell, at most ``MAX_CENTROIDS ** 2``. Vectors are scored in tiles: a
+block of vectors, which are stored by cell, against the queries that visit one of its cells, ``BLOCK_Q`` of all queries at a time. So
+a vector is sent once for ``BLOCK_Q`` queries, a query once for each block that it visits. Of equal vectors only the
+TOP + 1 with the smallest ids can be among anyone's nearest, so no others are scored, and equal queries are answered once.
 """
 
 from __future__ import annotations
@@ -26,11 +30,11 @@ from .common import lean, Scratch, table
 TOP = 20
 SAMPLE = 20_000
 MAX_CENTROIDS = 1024
-#: A query reranks this share of all vectors, and PROBE of them at least. Vectors without any direction in common
-#: (independent normal components in 64 dimensions) need as much for a recall of 0.9; clustered ones need less.
-SHARE, PROBE = 0.42, 6_000
+#: The recall that the share of vectors to rerank is learned for, on how many queries, and how many are reranked at least.
+RECALL, TRIED, PROBE = 0.95, 400, 1_000
 STRIP = 8
-BLOCK_V, BLOCK_Q = 4096, 1024
+#: Vectors and queries of a tile: as many blocks as tasks can share where there are few vectors, of bounded size where there are many.
+BLOCKS, LEAST_V, BLOCK_V, BLOCK_Q = 16, 1024, 16_384, 16_384
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -98,55 +102,84 @@ def blocks(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+def needed_share(x: np.ndarray, c1: np.ndarray, c2: np.ndarray, cut: int, top: int, n: int) -> float:
+    """The share of the index, in the order of a walk, that holds ``RECALL`` of the nearest. ``x`` are vectors that are
+    not in the codebooks; as many of them are looked for as are among the ``top`` of n. Of a few vectors, all are needed."""
+    if len(x) < 4 * top:
+        return 1.0
+    q = x[:TRIED]
+    own = np.arange(len(q))
+    real, seen = q @ x.T, (q[:, :cut] @ c1.T)[:, nearest(x[:, :cut], c1)] + (q[:, cut:] @ c2.T)[:, nearest(x[:, cut:], c2)]
+    real[own, own] = -np.inf
+    k = min(top, max(1, round(top * len(x) / n)))
+    found = np.take_along_axis(seen, np.argpartition(-real, k - 1, axis=1)[:, :k], axis=1)
+    before = np.stack([(row[:, None] > f).sum(axis=0) for row, f in zip(seen, found)])
+    return float(min(1.0, np.quantile((before + 1) / len(x), RECALL, method="higher")))
 
 
-def _pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [np.array(v, np.float32).tobytes() for v in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["vec_id", "vec"])
+def _matrix(column: pa.Array, dim: int, kind: str = "<f4") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec (float32 bytes) of the rows that take part."""
+def _pack_vectors(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.array(v, kind).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["vec_id", "vec"])
+
+    return run
+
+
+def valid(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """vec_id and vec (bytes) of the rows that take part, and their numpy type: doubles stay doubles."""
+    wide = vectors.schema["embedding"].dataType.elementType.typeName() != "float"
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).where(F.col("vec_id").isNotNull() & whole & F.exists("embedding", lambda x: x != 0))
-    return rows.mapInArrow(lean(_pack_vectors), "vec_id long, vec binary")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>" if wide else "array<float>"))
+    rows = rows.where(F.col("vec_id").isNotNull() & whole & F.exists("embedding", lambda x: x != 0))
+    kind = "<f8" if wide else "<f4"
+    return rows.mapInArrow(lean(_pack_vectors(kind)), "vec_id long, vec binary"), kind
 
 
-def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top: int = TOP, share: float = SHARE) -> DataFrame:
+def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top: int = TOP, share: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``query_every`` its ``top`` nearest other vectors.
 
     Rows with a null vec_id or vector, with zero vectors, null or non-finite components, or of another length than
-    most vectors (of the longer, at a tie) take no part. Ties in score go to the smaller vec_id. A row never finds
-    its own vec_id; rows that share one are ranked each. Other columns are not looked at. No vectors, no rows.
+    most vectors (of the longer, at a tie) take no part. Ties in score go to the smaller vec_id. Rows that share a vec_id
+    are one vector, that whose bytes are the smallest; it never finds itself. ``share`` is the share of all vectors
+    that a query reranks, learned if it isn't given. Other columns are not looked at. No vectors, no rows.
     """
     scratch = Scratch(spark, "ann")
-    rows = scratch.save(valid(vectors), "rows")
+    rows, kind = valid(vectors)
+    rows = scratch.save(rows, "rows")
     lengths = rows.groupBy(F.length("vec").alias("bytes")).count().orderBy(F.desc("count"), F.desc("bytes")).first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = lengths["bytes"] // 4
-    rows = rows.where(F.length("vec") == 4 * dim)
+    width = np.dtype(kind).itemsize
+    dim = lengths["bytes"] // width
+    rows = rows.where(F.length("vec") == width * dim)
+    ids, every = rows.agg(F.count_distinct("vec_id"), F.count("*")).first()
+    if ids < every:
+        rows = scratch.save(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "rows1")
     equal = Window.partitionBy("vec").orderBy("vec_id")
     first_ones = scratch.save(rows.withColumn("k", F.row_number().over(equal)).where(F.col("k") <= top + 1).select("vec_id", "vec"), "first_ones")
     n = first_ones.count()
-    sample = _matrix(pa.array([bytes(r["vec"]) for r in first_ones.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()], pa.binary()), dim)
-    k, cut = int(min(MAX_CENTROIDS, max(1, round(0.6 * n**0.5)))), max(1, dim // 2)
-    c1, c2 = codebook(sample[:, :cut], k), codebook(sample[:, cut:], k if dim > cut else 1)
-    probe = max(PROBE, int(share * n))
+    sample = _matrix(pa.array([bytes(r["vec"]) for r in first_ones.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").collect()], pa.binary()), dim, kind).astype(np.float64)
+    k, cut = int(min(MAX_CENTROIDS, max(1, round(1.2 * n**0.5)))), max(1, dim // 2)
+    fitted = len(sample) - len(sample) // 4
+    c1, c2 = codebook(sample[:fitted, :cut], k), codebook(sample[:fitted, cut:], k if dim > cut else 1)
+    share = needed_share(sample[fitted:], c1, c2, cut, top, n) if share is None else share
+    probe = max(PROBE, int(np.ceil(share * n)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), dim).astype(np.float64)
+            x = _matrix(batch.column(1), dim, kind).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(nearest(x[:, :cut], c1), pa.int32()), pa.array(nearest(x[:, cut:], c2), pa.int32()), *batch.columns], names=["i", "j", "vec_id", "vec"])
 
     index = scratch.save(first_ones.mapInArrow(lean(assign), "i int, j int, vec_id long, vec binary"), "index")
     counts = np.zeros((len(c1), len(c2)), np.int64)
     for r in index.groupBy("i", "j").count().toLocalIterator():  # at most one row a cell
         counts[r["i"], r["j"]] = r["count"]
-    first, parts = blocks(counts, BLOCK_V)
+    first, parts = blocks(counts, min(BLOCK_V, max(LEAST_V, n // BLOCKS)))
     n_blocks = int((first + parts).max())
 
     asked = scratch.save(rows.where(F.pmod("vec_id", F.lit(query_every)) == 0), "asked")
@@ -166,7 +199,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query, with the distance at which its walk ends, to the blocks it visits."""
         for batch in batches:
-            x = _matrix(batch.column(1), dim).astype(np.float64)
+            x = _matrix(batch.column(1), dim, kind).astype(np.float64)
             d1, d2 = -x[:, :cut] @ c1.T, -x[:, cut:] @ c2.T
             q = batch.column(0).to_numpy(zero_copy_only=False)
             turn = (q.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % max(1, blocks_q)
@@ -188,7 +221,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
                 if lo == hi:
                     continue
                 block, part = tuple(key[lo, :2]), batch.slice(lo, hi - lo)
-                vec, ids = _matrix(part.column(6), dim).astype(np.float64), part.column(5).to_numpy(zero_copy_only=False)
+                vec, ids = _matrix(part.column(6), dim, kind).astype(np.float64), part.column(5).to_numpy(zero_copy_only=False)
                 if key[lo, 2] == 0:
                     if held != block:
                         held, kept = block, []
@@ -197,7 +230,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
                     if len(kept) > 1:
                         kept = [tuple(np.concatenate(x) for x in zip(*kept))]
                     ends = part.column(7).to_numpy(zero_copy_only=False)
-                    out += [_best(vec[a : a + 256], ids[a : a + 256], ends[a : a + 256], *kept[0]) for a in range(0, len(vec), 256)]
+                    out += [_best(vec[a : a + 64], ids[a : a + 64], ends[a : a + 64], *kept[0]) for a in range(0, len(vec), 64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(o[c], t.to_pandas_dtype()) for o in out]), t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["q", "vec_id", "score"])
 
     def _best(x: np.ndarray, q: np.ndarray, ends: np.ndarray, v: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple:

@@ -107,14 +107,39 @@ def test_search(spark, sf):
         assert np.allclose([f[2] for f in found], [w[1] for w in want[q]])
 
 
-def test_search_recall_when_cells_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PROBE", 100)
+def vectors_of(kind: str, n: int) -> np.ndarray:
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    if kind == "spread":
+        return rng.normal(size=(n, 32)).astype(np.float32)
+    centres = rng.normal(size=(n // 100, 32)) * 3
+    return (centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 32)) * 0.3).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind, n", [("spread", 2500), ("spread", 8000), ("clustered", 8000)])
+def test_search_recall_when_cells_are_left_out(spark, monkeypatch, kind, n):
+    """The learned share keeps the recall; the index prunes, and clustered vectors most of all."""
+    shares = []
+    needed = ann.needed_share
+    monkeypatch.setattr(ann, "needed_share", lambda *a: shares.append(needed(*a)) or shares[-1])
+    monkeypatch.setattr(ann, "PROBE", 100)
+    x = vectors_of(kind, n)
     got = ann.search(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()
-    want = brute_nearest(np.arange(3000), x.astype(np.float64))
+    want = brute_nearest(np.arange(n), x.astype(np.float64))
     hits = sum(r["vec_id"] in {w[0] for w in want[r["query_id"]]} for r in got)
     assert hits / sum(map(len, want.values())) >= 0.9 and len(got) == 20 * len(want)
+    assert shares[0] < (0.1 if kind == "clustered" else 0.8)
+
+
+def test_search_repeated_rows_and_doubles(spark):
+    """A vec_id counts once however often it is there, and scores of doubles are those of doubles."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8))
+    rows = [(i, x[i].tolist()) for i in range(200)] + [(0, x[0].tolist())] * 30 + [(7, x[7].tolist())] * 5
+    got = ann.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    want = brute_nearest(np.arange(200), x)
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(q, w[0]) for q in sorted(want) for w in want[q]]
+    assert [r["rank"] for r in got if r["query_id"] == 0] == list(range(1, 21))
+    assert np.allclose([r["score"] for r in got], [w[1] for q in sorted(want) for w in want[q]], rtol=1e-14, atol=0)
 
 
 def test_search_few_and_none(spark):
