@@ -31,7 +31,7 @@ TOP = 20
 SAMPLE = 20_000
 MAX_CENTROIDS = 1024
 #: The recall that the share of vectors to rerank is learned for, on how many queries, and how many are reranked at least.
-RECALL, TRIED, PROBE = 0.95, 400, 1_000
+RECALL, TRIED, PROBE = 0.93, 400, 1_000
 STRIP = 8
 #: Vectors and queries of a tile: as many blocks as tasks can share where there are few vectors, of bounded size where there are many.
 BLOCKS, LEAST_V, BLOCK_V, BLOCK_Q = 16, 1024, 16_384, 16_384

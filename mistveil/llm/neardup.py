@@ -8,8 +8,9 @@
    bucket of n nodes makes n pairs. Proposals are compared by signature, then confirmed on the full sets, and the
    confirmed links make components, which join most of any tight group.
 4. What is left are links between components. In each bucket that still holds several, all pairs of different
-   components are compared by signature, in blocks of at most 2 * BLOCK nodes, and those alike enough are
-   confirmed on full sets. A pair is looked at in the first bucket that it shares. This runs twice: first each
+   components are compared by signature, in tiles of about 2 * BLOCK nodes, and those alike enough are
+   confirmed on full sets. The nodes of a bucket's largest component meet the others only, so a few strays in a large bucket
+   cost its size and not its square. A pair is looked at in the first bucket that it shares. This runs twice: first each
    node keeps its best partner of a block, which joins most of what can be joined, then all pairs are kept. For
    the second time the nodes left get EXTRA more minima, so that few pairs below the threshold are confirmed in vain.
 5. Components come from alternating large-star and small-star steps on the links.
@@ -295,15 +296,22 @@ def _open_pairs(shared: DataFrame, nodes: DataFrame, member: DataFrame, docs: Da
     """
     placed = shared.join(member.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     placed = scratch.save(placed, f"placed{label}")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
-    mixed = scratch.save(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"mixed{label}")
-    open_ = scratch.save(placed.join(mixed, "key"), f"open{label}")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    open_ = scratch.save(placed.join(scratch.save(mixed.select("key"), f"mixed{label}"), "key"), f"open{label}")
+    sizes = open_.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = scratch.save(sizes.select("key", F.col("top.c").alias("major"), blocks(F.col("n") - F.col("top.n")).alias("minors"), blocks(F.col("top.n")).alias("majors")), f"plan{label}")
+    open_ = open_.join(plan, "key")
     signed = nodes.select("id", "size", "sig", "bands")
     if docs is not None:
         texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).hint("merge")
         more = scratch.save(open_.select("id").distinct().join(texts, "id").mapInArrow(lean(_more(k)), "id long, more binary"), f"extra{label}")
         signed = signed.join(more, "id").select("id", "size", F.concat("sig", "more").alias("sig"), "bands")
-    block = open_.join(signed, "id").withColumn("g", F.pmod(F.hash("id"), F.col("blocks"))).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Blocks of the other components come first, those of the largest behind them; no tile has two of the latter.
+    major = F.col("c") == F.col("major")
+    g = F.when(major, F.col("minors") + F.pmod(F.hash("id"), F.col("majors"))).otherwise(F.pmod(F.hash("id"), F.col("minors")))
+    h = F.explode(F.sequence(F.lit(0), F.when(major, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1))
+    block = open_.join(signed, "id").withColumn("g", g).withColumn("h", h)
     block = block.select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "g", "id", "size", "c", "sig", "bands")
     pairs = block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(_across(percent, docs is None)), "a long, b long")
     return pairs.distinct()
@@ -315,7 +323,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
     A text with fewer than k words is one shingle. A text without words (or null) has an empty set, is linked with
     nothing and is its own component. Rows of the same doc_id count as one document. Rows without a doc_id
     take part as copies only: theirs is the component of documents with the same set, or null, and then they are
-    kept. Other columns are not looked at. No rows, no result.
+    kept. Long texts are shingled whole; ties cannot matter, as a component is named by its smallest doc_id. Other columns
+    are not looked at. No rows, no result.
     """
     scratch = Scratch(spark, "neardup")
     features = scratch.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_features(k)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"), "features")

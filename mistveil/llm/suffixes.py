@@ -29,6 +29,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of runs that one suffix array covers, and beyond which one minimizer's runs are dealt to several shards.
 SHARD, SPLIT = 1 << 20, 1 << 16
+#: Shards whose lists of fingerprints (32 bytes a window) are looked up in one place.
+MERGED = 16
 
 _RUNS = pa.schema([("m", pa.int64()), ("id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("c", pa.int64()), ("twice", pa.int32())])
 _RUNS_DDL = "m long, id long, th long, start int, n int, c long, twice int"
@@ -195,7 +197,8 @@ def _ranges(run: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _buckets(subs: int) -> int:
-    return max(1, int(round(subs**0.5)))
+    """Places that look up the lists of a minimizer: each gets about what MERGED shards hold, however many there are."""
+    return max(1, -(-subs // MERGED))
 
 
 def _shards(length: int, limit: int):
@@ -222,7 +225,9 @@ def _shards(length: int, limit: int):
             n = _buckets(subs)
             cuts = np.searchsorted(entry["f"], [np.uint64(((i << 64) // n)) for i in range(1, n)])
             lists = [x.tobytes() for x in np.split(entry, cuts)]
-            out.append([np.full(n, m[0]), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.arange(n), pa.array(lists, pa.binary())])
+            full = [i for i, x in enumerate(lists) if x]
+            n = len(full)
+            out.append([np.full(n, m[0]), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), full, pa.array([lists[i] for i in full], pa.binary())])
         return pa.Table.from_batches([emit(_FOUND, o) for o in out]).combine_chunks().to_batches() or [emit(_FOUND, [[]] * 6)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +310,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
 
     All strings are judged on the input. Null texts are empty; texts shorter than ``length`` bytes stay whole. A
     row repeated with the same doc_id and text repeats all of it. A null doc_id stays null. Other columns are not
-    looked at. What is kept are bytes: a removal may cut a character in two.
+    looked at. What is kept are bytes: a removal may cut a character in two. Long texts are cut at no place. No rows, no result.
     """
     scratch = Scratch(spark, "suffixes")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -226,6 +226,26 @@ def test_pairs_are_kept_where_only_low_bytes_are_equal_in_an_earlier_band(spark)
     assert [tuple(r) for r in got] == [(1, 2)]
 
 
+def test_links_between_components_of_a_large_bucket(spark, monkeypatch):
+    """A few strays in the bucket of a large component find their partners there, in tiles that do not square the component."""
+    from mistveil.llm.common import Scratch
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 256, (3, neardup.HASHES), dtype=np.uint8)
+    bands = rng.integers(0, 1 << 60, neardup.HASHES // neardup.ROWS)
+    # 1 to 200 are one component with the first signature; 201 and 202 have it too, 203 and 204 share another, 205 is alone
+    kind = dict.fromkeys(range(1, 203), 0) | {203: 1, 204: 1, 205: 2}
+    nodes = spark.createDataFrame([(i, 100, bytearray(sig[k].tobytes()), bands.tolist()) for i, k in kind.items()], "id long, size long, sig binary, bands array<long>")
+    shared = spark.createDataFrame([(int(bands[0]), 0, i) for i in kind], "key long, band int, id long")
+    member = spark.createDataFrame([(i, 1) for i in range(1, 201)], "node long, component long")
+    scratch = Scratch(spark, "test")
+    best = {tuple(r) for r in neardup._open_pairs(shared, nodes, member, None, 4, scratch, 80, "best").collect()}
+    assert {x for p in best for x in p if x > 200} == {201, 202, 203, 204} and (203, 204) in best
+    plan = spark.read.parquet(f"{scratch.root}/planbest").first()
+    assert (plan["major"], plan["minors"], plan["majors"]) == (1, 1, 25)
+
+
 def test_components_of_chains_and_stars(spark):
     from mistveil.llm.common import Scratch
 
