@@ -6,6 +6,7 @@ import ctypes
 import functools
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -61,11 +62,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Deletes tables, and lets the driver find the shuffles that made earlier ones, whose files then go too."""
         for name in names:
             fs, path = self._fs(f"{self.root}/{name}")
             fs.delete(path, True)
-        self.spark._jvm.System.gc()
+
+    def release(self) -> None:
+        """Has the driver find the shuffles of tables that are written, so that their files go. Spark drops a shuffle's files
+        when the driver's collector finds that nothing refers to it; what ends a query is told to listeners first."""
+        for _ in range(2):
+            time.sleep(0.3)
+            self.spark._jvm.System.gc()
 
 
 def lean(run):

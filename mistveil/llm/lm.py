@@ -56,8 +56,11 @@ HOT = 1 << 19
 FAN_IN = 256
 END, START, SKIP = np.uint64(0x5EED0E0D5EED0E0D), np.uint64(0x57A2757A2757A275), np.uint64(0x5C195C195C195C19)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a context's and of a word's hash that name a pair. Words that agree in theirs, in a context and class, share a feature.
-CONTEXT_BITS, WORD_BITS = np.uint64((1 << 48) - 1), np.uint64((1 << 24) - 1)
+#: A pair is named by the higher 48 bits of its context's hash and the lower 24 of its word's. Words that agree in theirs, in a context and
+#: class, share a feature.
+CONTEXT_SHIFT, WORD_BITS = np.uint64(16), np.uint64((1 << 24) - 1)
+#: What a feature adds to a score comes back in steps of 2 ** -16 (of the natural logarithm), whose highest byte is next to nothing.
+GRAIN = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -390,7 +393,7 @@ class Hot:
 
     def __init__(self, vocabulary: Vocabulary, starts: int, sizes: np.ndarray):
         own = vocabulary.n > HOT
-        h = np.concatenate([vocabulary.h[own], skip_context(vocabulary.h[own]), [START]]).astype(np.uint64) & CONTEXT_BITS
+        h = np.concatenate([vocabulary.h[own], skip_context(vocabulary.h[own]), [START]]).astype(np.uint64) >> CONTEXT_SHIFT
         n = np.concatenate([vocabulary.n[own], vocabulary.n[own], [starts]])
         h, n = h[n > HOT], n[n > HOT]
         order = np.argsort(h)
@@ -471,11 +474,12 @@ class Pairs:
         code = np.concatenate([np.where(seen > 0, u1, m + 1 + u2) * m + ids, (m + 1 + u2[more]) * m + ids[more]])
         pair, of = np.unique(code, return_inverse=True)
         count = np.bincount(of, np.concatenate([learned, np.ones(len(more))]))
-        hashes = np.concatenate([words, [START], skip_context(np.append(words, START))]) & CONTEXT_BITS
+        hashes = np.concatenate([words, [START], skip_context(np.append(words, START))]) >> CONTEXT_SHIFT
         context, word = hashes[pair // m], pair % m
         low = (words[word] & WORD_BITS).astype("<u4")
         place = hot.place(context, self.cls[word], low, places)
-        order = np.lexsort((low, self.cls[word], context, place))
+        # Pairs are sorted by context already; a sort of two-byte places is one by digits.
+        order = np.argsort(place.astype(np.uint16) if places <= 1 << 16 else place, kind="stable")
         self.place, self.context, self.low, self.word, self.count = place[order], context[order], low[order], word[order], count[order]
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -515,7 +519,7 @@ def _docs_out(w: dict, key: str, cls: np.ndarray, bucket: np.ndarray, vocabulary
                 score = np.add.reduceat(classes[one, two, p.cls[ids]].astype(np.float64) + share[ids], at[:-1])
                 base_score = np.add.reduceat(base[ids], at[:-1]) - p.size * np.log10(float(n + v + 1))
                 known = np.add.reduceat((p.total[ids] > 0).astype(np.int64), at[:-1])
-                entry = p.entry[np.lexsort((p.entry, np.repeat(np.arange(len(p.doc)), p.size)))]
+                entry = np.sort(np.repeat(np.arange(len(p.doc)) * len(p.word), p.size) + p.entry) - np.repeat(np.arange(len(p.doc)) * len(p.word), p.size)
                 gaps = np.diff(entry, prepend=0)
                 gaps[at[:-1]] = entry[at[:-1]]
                 yield emit(_ROW, [[_DOCS], [chunk], [0], [pack(p.doc, p.has, p.fold, at, known, base_score, score, gaps.astype("<u4"))]])
@@ -550,10 +554,9 @@ def _learn(hot: Hot, sizes: np.ndarray):
                 f, log_z = learn(q[real], count[real], first)
                 value[real], logs[group[real][first]] = f, log_z
             value -= logs[group]
-            out = np.empty(len(order), np.float32)
             pair = np.empty(len(order), np.int64)
             pair[order] = np.cumsum(new_pair) - 1
-            out[:] = value[pair]
+            out = grains(value)[pair]
             lo = 0
             for row, m in zip(rows, lengths):
                 yield emit(_ROW, [[_PART], [row[1]], [row[2]], [pack(out[lo : lo + m])]])
@@ -570,6 +573,10 @@ def _learn(hot: Hot, sizes: np.ndarray):
     return run
 
 
+def grains(value: np.ndarray) -> np.ndarray:
+    return np.round(value * GRAIN).astype("<i4")
+
+
 _HOT_TYPES = ("<i8", "<f8", "<i8", "<i8", "<u4", "<u4")
 
 
@@ -609,7 +616,7 @@ def _hot_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             value[own] += f
             for to in np.unique(chunk):
                 of = np.flatnonzero(chunk == to)
-                yield emit(_ROW, [[_HOT_PART], [int(to)], [int(place[of[0]])], [pack(where[of], value[pair[of]].astype("<f4"))]])
+                yield emit(_ROW, [[_HOT_PART], [int(to)], [int(place[of[0]])], [pack(where[of], grains(value)[pair[of]])]])
 
 
 def learn_hot(solved: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -647,17 +654,17 @@ def _scores(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, 1):
             doc, has, fold, at, known, base, score, gaps = unpack(rows[0][3], *_DOC_TYPES)
-            parts = [unpack(r[3], "<f4")[0] for r in rows if r[0] == _PART]
+            parts = [unpack(r[3], "<i4")[0] for r in rows if r[0] == _PART]
             value = np.concatenate(parts).astype(np.float64)
             first = dict(zip((r[2] for r in rows if r[0] == _PART), np.cumsum([0, *map(len, parts)])))
             for r in rows:
                 if r[0] == _HOT_PART:
-                    where, more = unpack(r[3], "<u4", "<f4")
+                    where, more = unpack(r[3], "<u4", "<i4")
                     value[first[r[2]] + where] = more
             entry = np.cumsum(gaps, dtype=np.int64)
             before = np.append(0, entry)[at[:-1]]  # gaps begin anew with each document
             entry -= np.repeat(before, np.diff(at))
-            score = score + np.add.reduceat(value[entry], at[:-1]) / np.log(10)
+            score = score + np.add.reduceat(value[entry], at[:-1]) / (GRAIN * np.log(10))
             ids, out = pa.array(doc, pa.int64(), mask=has == 0), pa.array(fold == 1, pa.bool_(), mask=fold == 2)
             yield emit(_SCORED, [ids, out, np.diff(at), known, np.full(len(doc), n), base, score])
 
@@ -712,11 +719,12 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     known = _gathered(x.unionByName(totals.where(F.col("kind") == _TOTAL)), "chunk").mapInArrow(lean(_known), _ROW_DDL)
     known = scratch.save(known, "known")
     scratch.drop("x", "totals")
+    scratch.release()
     hot = Hot(vocabulary, starts, sizes)
     cls, bucket = vocabulary.tables()
     pairs = _gathered(known.mapInArrow(lean(_pairs_out(cls, vocabulary, hot, places)), _ROW_DDL), "place")
     solved = scratch.save(pairs.mapInArrow(lean(_learn(hot, sizes)), _ROW_DDL), "solved")
-    scratch.drop()
+    scratch.release()
     found = known.mapInArrow(lean(_docs_out(w32, scratch.root, cls, bucket, vocabulary, hot, n, v, sizes, places)), _ROW_DDL)
     found = found.unionByName(solved.where(F.col("kind") == _PART))
     more = learn_hot(solved, scratch)
