@@ -37,14 +37,16 @@ def bounded_batches(spark: SparkSession) -> None:
 class Scratch:
     """Tables written to the folder that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``. Where that is unset (a local session, as in tests)
-    a temporary folder is set. A written table cuts the lineage and survives a lost executor.
+    The folder is ``spark.checkpoint.dir``. Where that is unset in a local session, as in tests,
+    a temporary folder is set; on a cluster that is an error. A written table cuts the lineage and survives a lost executor.
     Tables go with the session, or earlier by ``drop``.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="mistveil-")
             spark.conf.set("spark.checkpoint.dir", base)
         bounded_batches(spark)

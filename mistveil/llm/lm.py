@@ -48,6 +48,8 @@ ALL_CLASSES = CLASSES + ENDINGS // 2
 PAIRS = 4096
 #: Bytes of text in a chunk of documents, and for which there is a place that words or pairs are sent to.
 CHUNK, PLACE = 5 << 20, 2 << 20
+#: Bytes of text for which there is a partition of what is sent.
+PART = 12 << 20
 ROUNDS, RATE = 12, 0.4
 #: Variance of the prior of a word's features, rounds, and the largest step of one.
 VARIANCE, STEPS, LONGEST = 8.0, 12, 1.5
@@ -127,8 +129,9 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tup
         yield held
 
 
-def _gathered(rows: DataFrame, by: str) -> DataFrame:
-    return rows.select("kind", "chunk", "place", "data").repartition(by).sortWithinPartitions(by, "kind", "place", "chunk")
+def _gathered(rows: DataFrame, by: str, parts: int) -> DataFrame:
+    """Rows with those of one chunk or place together, in a number of partitions that follows the text."""
+    return rows.select("kind", "chunk", "place", "data").repartition(parts, by).sortWithinPartitions(by, "kind", "place", "chunk")
 
 
 def _split(place: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -683,10 +686,11 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held_out).alias("held_out")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART))
     places = 1 << max(0, -(-size // PLACE) - 1).bit_length()
     x = scratch.save(docs.select("doc_id", out, "text").mapInArrow(lean(_chunks), _ROW_DDL), "x")
 
-    words = _gathered(x.mapInArrow(lean(_words_out(places)), _ROW_DDL), "place")
+    words = _gathered(x.mapInArrow(lean(_words_out(places)), _ROW_DDL), "place", parts)
     totals = scratch.save(words.mapInArrow(lean(_totals), _ROW_DDL), "totals")
     ddl = "h long, ending long, n long, v long"
     tops = totals.where(F.col("kind") == _TOP)
@@ -710,25 +714,25 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     sizes = np.concatenate([np.bincount(vocabulary.cls, vocabulary.n + 1, CLASSES), rare_n + rare_v + 1])
     sizes = np.maximum(sizes, 1)
 
-    parts = scratch.save(x.mapInArrow(lean(_class_counts(vocabulary)), _COUNTS_DDL), "parts")
-    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
-    w = train(scratch.save(sum_counts(parts, tasks), "sums"), sizes)
+    counted = scratch.save(x.mapInArrow(lean(_class_counts(vocabulary)), _COUNTS_DDL), "counted")
+    tasks = (counted.agg(F.max("task")).first()[0] or 0) + 1
+    w = train(scratch.save(sum_counts(counted, tasks), "sums"), sizes)
     w32 = {k: a.astype(np.float32) for k, a in w.items()}
-    scratch.drop("parts", "sums")
+    scratch.drop("counted", "sums")
 
-    known = _gathered(x.unionByName(totals.where(F.col("kind") == _TOTAL)), "chunk").mapInArrow(lean(_known), _ROW_DDL)
+    known = _gathered(x.unionByName(totals.where(F.col("kind") == _TOTAL)), "chunk", parts).mapInArrow(lean(_known), _ROW_DDL)
     known = scratch.save(known, "known")
     scratch.drop("x", "totals")
     scratch.release()
     hot = Hot(vocabulary, starts, sizes)
     cls, bucket = vocabulary.tables()
-    pairs = _gathered(known.mapInArrow(lean(_pairs_out(cls, vocabulary, hot, places)), _ROW_DDL), "place")
+    pairs = _gathered(known.mapInArrow(lean(_pairs_out(cls, vocabulary, hot, places)), _ROW_DDL), "place", parts)
     solved = scratch.save(pairs.mapInArrow(lean(_learn(hot, sizes)), _ROW_DDL), "solved")
     scratch.release()
     found = known.mapInArrow(lean(_docs_out(w32, scratch.root, cls, bucket, vocabulary, hot, n, v, sizes, places)), _ROW_DDL)
     found = found.unionByName(solved.where(F.col("kind") == _PART))
     more = learn_hot(solved, scratch)
-    return _gathered(found if more is None else found.unionByName(more), "chunk").mapInArrow(lean(_scores(n)), _SCORED_DDL)
+    return _gathered(found if more is None else found.unionByName(more), "chunk", parts).mapInArrow(lean(_scores(n)), _SCORED_DDL)
 
 
 def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
