@@ -58,9 +58,11 @@ class Scratch:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
+        """``large``: rows of megabytes, of which a writer should not hold a hundred before it looks at the size of a page."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        options = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)} if large else {}
+        df.write.mode("overwrite").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

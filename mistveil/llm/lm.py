@@ -47,7 +47,7 @@ BUCKETS = 1 + OWN + ENDINGS
 ALL_CLASSES = CLASSES + ENDINGS // 2
 PAIRS = 4096
 #: Bytes of text in a chunk of documents, and for which there is a place that words or pairs are sent to.
-CHUNK, PLACE = 5 << 20, 2 << 20
+CHUNK, PLACE = 2 << 20, 2 << 20
 #: Bytes of text for which there is a partition of what is sent.
 PART = 12 << 20
 ROUNDS, RATE = 12, 0.4
@@ -160,7 +160,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first, ids = np.unique(h, return_index=True, return_inverse=True)
         counts = np.bincount(ids[np.repeat(fold == 0, n)], minlength=len(words))
         at = np.concatenate([[0], np.cumsum(n)])
-        data = pack(doc, has, fold, at, ids.astype("<u4"), words, ending[first].astype(np.uint8), counts.astype("<u4"))
+        data = pack(doc, has, fold, at, ids.astype("<u4"), words, ending[first], counts.astype("<u4"))
         return emit(_ROW, [[_CHUNK], [TaskContext.get().partitionId() << 32 | count], [0], [data]])
 
     for batch in batches:
@@ -169,7 +169,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, has = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
         fold = np.where(has == 1, batch.column(1).fill_null(False).to_numpy(zero_copy_only=False), 2).astype(np.uint8)
         for lo, hi in steps(at):
-            held.append((ids[lo:hi], has[lo:hi], fold[lo:hi], *tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])))
+            h, ending, places = tokens(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+            held.append((ids[lo:hi], has[lo:hi], fold[lo:hi], h, ending.astype(np.uint8), places))
             size += int(at[hi] - at[lo])
             if size >= CHUNK:
                 yield close()
@@ -688,7 +689,7 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART))
     places = 1 << max(0, -(-size // PLACE) - 1).bit_length()
-    x = scratch.save(docs.select("doc_id", out, "text").mapInArrow(lean(_chunks), _ROW_DDL), "x")
+    x = scratch.save(docs.select("doc_id", out, "text").mapInArrow(lean(_chunks), _ROW_DDL), "x", large=True)
 
     words = _gathered(x.mapInArrow(lean(_words_out(places)), _ROW_DDL), "place", parts)
     totals = scratch.save(words.mapInArrow(lean(_totals), _ROW_DDL), "totals")
@@ -721,13 +722,13 @@ def score(spark: SparkSession, docs: DataFrame, folds: int = FOLDS, held_out: in
     scratch.drop("counted", "sums")
 
     known = _gathered(x.unionByName(totals.where(F.col("kind") == _TOTAL)), "chunk", parts).mapInArrow(lean(_known), _ROW_DDL)
-    known = scratch.save(known, "known")
+    known = scratch.save(known, "known", large=True)
     scratch.drop("x", "totals")
     scratch.release()
     hot = Hot(vocabulary, starts, sizes)
     cls, bucket = vocabulary.tables()
     pairs = _gathered(known.mapInArrow(lean(_pairs_out(cls, vocabulary, hot, places)), _ROW_DDL), "place", parts)
-    solved = scratch.save(pairs.mapInArrow(lean(_learn(hot, sizes)), _ROW_DDL), "solved")
+    solved = scratch.save(pairs.mapInArrow(lean(_learn(hot, sizes)), _ROW_DDL), "solved", large=True)
     scratch.release()
     found = known.mapInArrow(lean(_docs_out(w32, scratch.root, cls, bucket, vocabulary, hot, n, v, sizes, places)), _ROW_DDL)
     found = found.unionByName(solved.where(F.col("kind") == _PART))
