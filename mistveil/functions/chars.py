@@ -46,6 +46,11 @@ def trim(text: str) -> str:
     return text.strip(WS_CHARS)
 
 
+def blank(column: Column) -> Column:
+    """Nothing but white space."""
+    return column.rlike(f"^[{WS}]*\\z")
+
+
 def trim_edges(text: str, start: int, end: int) -> tuple[int, int]:
     while start < end and text[start] in EDGE:
         start += 1

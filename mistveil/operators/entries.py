@@ -6,10 +6,13 @@ table; what looks at a group or a document is a window over it.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import CATEGORY_LABELS
+from ..functions.chars import blank
+from ..functions.lexicon import AMBIGUOUS, CATEGORY_LABELS
+from ..sources.texts import nfc
 from .spans import occurrences
 
 schema = (
@@ -116,14 +119,14 @@ def revised(docs: DataFrame, new: Column) -> DataFrame:
 
 def availability(docs: DataFrame) -> DataFrame:
     """Whether a document may be normalized; the reasons in the order in which they count."""
-    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty").when(F.col("locked"), "locked").when(F.col("detecting"), "detecting").when(F.col("normalizing"), "normalizing").otherwise("enabled")
+    reason = F.when(blank(F.coalesce("text", F.lit(""))), "empty").when(F.col("locked"), "locked").when(F.col("detecting"), "detecting").when(F.col("normalizing"), "normalizing").otherwise("enabled")
     return docs.withColumn("availability", reason)
 
 
 def add_manual(entries: DataFrame, items: DataFrame) -> DataFrame:
     """``items`` (doc_id, text, category, token, occurrence_count): an existing string takes the category, is enabled and promoted; a new one goes first."""
     doc = Window.partitionBy("doc_id")
-    new = items.where(F.trim("text") != "").select("doc_id", F.col("text").alias("__text"), F.col("category").alias("__category"), F.col("token").alias("__token"), F.col("occurrence_count").alias("__n"))
+    new = items.where(~blank(F.col("text"))).select("doc_id", F.col("text").alias("__text"), F.col("category").alias("__category"), F.col("token").alias("__token"), F.col("occurrence_count").alias("__n"))
     joined = entries.join(new, (entries["doc_id"] == new["doc_id"]) & (entries["normalized_text"] == new["__text"]), "full_outer").select(*[entries[c] for c in entries.columns], new["doc_id"].alias("__doc"), "__text", "__category", "__token", "__n")
     hit, fresh = F.col("__text").isNotNull(), F.col("doc_id").isNull()
     joined = joined.withColumn("doc_id", F.coalesce("doc_id", "__doc"))
@@ -156,8 +159,15 @@ def toggle(entries: DataFrame, entry_id: str) -> DataFrame:
     return entries.withColumn("enabled", F.coalesce(target, F.col("enabled")))
 
 
-def relate(entries: DataFrame, ids: list[str], group_id: str, restoration: str | None = None) -> DataFrame:
-    """The active, ungrouped people among ``ids`` share the first one's token and its (or the given) restoration, once two or more are in the group."""
+def relate(entries: DataFrame, ids: list[str], group_id: str, restoration: str | None = None, responses: DataFrame | None = None) -> DataFrame:
+    """The active, ungrouped people among ``ids`` share the first one's token and its (or the given) restoration, once two or more are in the group.
+
+    ``responses`` (doc_id, response): while a document has one that is not blank, its entries stay as they are.
+    """
+    if responses is not None:
+        busy = responses.where(F.col("response").isNotNull() & ~blank(F.col("response"))).select("doc_id").distinct()
+        free = relate(entries.join(busy, "doc_id", "left_anti").select(*entries.columns), ids, group_id, restoration)
+        return free.unionByName(entries.join(busy, "doc_id", "left_semi").select(*entries.columns))
     own = F.col("id").isin(ids) & is_active() & (F.col("category") == "PERSON") & (F.col("group_id").isNull() | (F.col("group_id") == group_id))
     doc = Window.partitionBy("doc_id")
     first = F.array_position(F.array(*map(F.lit, ids)), F.col("id"))
@@ -197,6 +207,68 @@ def group_numbers(entries: DataFrame) -> DataFrame:
     return groups.select("doc_id", "group_id", F.coalesce("given", F.col("most") + later).alias("number"))
 
 
+# Documents of a session: doc_id, text, revision, lock_reason, response, mapping ------------------
+
+
+def apply_normalized(docs: DataFrame, proposals: DataFrame, entries: DataFrame) -> DataFrame:
+    """``proposals`` (doc_id, text, expected_revision) become the texts of documents that are still at that revision, are not
+    locked, have no entries, and whose text changes by it. All others stay as they are."""
+    new = proposals.select("doc_id", F.col("text").alias("__new"), F.col("expected_revision").alias("__expected"))
+    used = entries.select("doc_id").distinct().withColumn("__used", F.lit(True))
+    joined = docs.join(new, "doc_id", "left").join(used, "doc_id", "left")
+    text = nfc(F.col("__new"))
+    ok = F.col("__new").isNotNull() & (F.col("__expected") == F.col("revision")) & F.col("lock_reason").isNull() & F.col("__used").isNull() & ~F.col("text").eqNullSafe(text)
+    joined = joined.withColumn("__ok", F.coalesce(ok, F.lit(False)))
+    out = joined.withColumn("text", F.when(F.col("__ok"), text).otherwise(F.col("text"))).withColumn("revision", F.when(F.col("__ok"), F.col("revision") + 1).otherwise(F.col("revision")))
+    return out.select(*docs.columns)
+
+
+def complete_detection(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (doc_id, outcome, candidates: a number, null outcome: merged by hand) locks documents against normalization: a lock
+    stays; success is a completed detection; otherwise candidates, if there are any, are registered."""
+    result = found.select("doc_id", F.col("outcome").alias("__outcome"), F.col("candidates").alias("__n"))
+    reason = F.when(F.col("__outcome") == "success", "detection_completed").when(F.col("__n") > 0, "candidate_registered")
+    return docs.join(result, "doc_id", "left").withColumn("lock_reason", F.coalesce("lock_reason", reason)).select(*docs.columns)
+
+
+def set_response(docs: DataFrame, responses: DataFrame) -> DataFrame:
+    """``responses`` (doc_id, response), in NFC, become the documents' responses."""
+    new = responses.select("doc_id", nfc(F.col("response")).alias("__response"), F.lit(True).alias("__given"))
+    return docs.join(new, "doc_id", "left").withColumn("response", F.when(F.col("__given"), F.col("__response")).otherwise(F.col("response"))).select(*docs.columns)
+
+
+def load_mapping(docs: DataFrame, mapping: dict) -> DataFrame:
+    """Documents with a saved mapping: its entries counted on each text, which one it is and its fingerprint, and the lock."""
+    from ..sources.mappings import fingerprint
+
+    about = F.struct(*[F.lit(mapping[k]).alias(k) for k in ("mappingId", "name", "createdAt", "updatedAt", "revision")], F.lit(fingerprint(mapping["entries"], mapping["mode"])).alias("fingerprint"))
+    return reapply(docs, mapping).withColumn("mapping", about).withColumn("lock_reason", F.lit("candidate_registered"))
+
+
+def clear(docs: DataFrame) -> DataFrame:
+    """Documents of sessions that begin anew: no text, no response, no lock, no mapping."""
+    first = {"text": F.lit(""), "revision": F.lit(0), "lock_reason": F.lit(None), "response": F.lit(""), "mapping": F.lit(None)}
+    return docs.select(*[first[c].cast(docs.schema[c].dataType).alias(c) if c in first else F.col(c) for c in docs.columns])
+
+
+def maskable(entries: DataFrame, docs: DataFrame, mode: str = "contextual") -> DataFrame:
+    """``entries`` with maskable_count: how often each is masked in its document's text; 0 if it isn't active.
+
+    That is the number of its occurrences, but for one-character surnames that are common words too: only these rows are
+    looked at in Python.
+    """
+    from .masking import maskable_count
+
+    @F.pandas_udf("int")
+    def contextual(texts: pd.Series, values: pd.Series, sources: pd.Series) -> pd.Series:
+        return pd.Series([maskable_count(t or "", {"original_text": v, "category": "PERSON", "sources": list(s)}, mode) for t, v, s in zip(texts, values, sources)])
+
+    joined = entries.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id", "left")
+    doubtful = F.lit(mode == "contextual") & (F.col("category") == "PERSON") & F.col("original_text").isin(*AMBIGUOUS) & ~F.array_contains("sources", "manual") & ~F.array_contains("sources", "ner")
+    n = F.when(doubtful, contextual("__text", "original_text", "sources")).otherwise(occurrences(F.coalesce("__text", F.lit("")), F.col("normalized_text")))
+    return joined.withColumn("maskable_count", F.when(is_active(), n).otherwise(0)).drop("__text")
+
+
 # Ranges ---------------------------------------------------------------------------------
 
 

@@ -31,13 +31,21 @@ def mask(text: Column, pairs: Column) -> Column:
     """
     ordered = _longest_first(pairs)
     pattern = F.array_join(F.transform(ordered, lambda e: F.concat(F.lit("\\Q"), F.replace(e["text"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|")
-    safe = F.translate(text, OPEN + CLOSE, chr(0xFFFD) * 2)
-    pieces = F.split(F.regexp_replace(safe, pattern, F.lit(f"{OPEN}$0{CLOSE}")), F.lit(f"[{OPEN}{CLOSE}]"), F.lit(-1))
     table = F.map_from_entries(F.transform(ordered, lambda e: F.struct(e["text"], e["token"])))
+
+    # The marks are two characters that the text does not have; nearly always the first two.
+    marks = F.lit(_MARKS[-1])
+    for two in reversed(_MARKS[:-1]):
+        marks = F.when(~text.rlike(f"[{two}]"), two).otherwise(marks)
+    replaced = F.regexp_replace(text, pattern, F.concat(F.left(marks, F.lit(1)), F.lit("$0"), F.right(marks, F.lit(1))))
+    pieces = F.split(replaced, F.concat(F.lit("["), marks, F.lit("]")), F.lit(-1))
     masked = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.element_at(table, p)).otherwise(p)), "")
     return F.when(F.size(pairs) > 0, masked).otherwise(text)
 
 
+_MARKS = (OPEN + CLOSE, "\ufdd0\ufdd1", "\uf8fe\uf8ff")  # private characters, two that are none, the last of the private ones
+
+
 def restore(response: Column, pairs: Column) -> Column:
     """Tokens replaced by (token, text) of ``pairs``, the longest token first; a restored text may hold a later token."""
     ordered = F.array_sort(pairs, lambda a, b: F.when(F.length(a["token"]) != F.length(b["token"]), F.length(b["token"]) - F.length(a["token"])).when(a["token"] < b["token"], -1).otherwise(1))
@@ -64,6 +72,7 @@ def inspect(response: Column, tokens: Column, values: Column, reference: Column)
 
 # The context rule, over one text ---------------------------------------------------------
 
+# What shows before or behind a surname that it is one.
 _LABEL_BEFORE = re.compile(f"(?:{_LABELS})[{WS}]*(?:[:：=]|は|が)?[{WS}]*\\Z")
 _TITLE_AFTER = re.compile("(?:さん|様|殿|氏|先生|君|くん|ちゃん|相談役|顧問|会長|社長|副社長|専務|常務|監査役|執行役員|理事長?|本部長|事業部長|部長(?:代理)?|次長|室長|課長|参事|主幹|係長|主任|チーフ|リーダー|マネージャー)")
 _GIVEN_AFTER = re.compile(f"[ 　\\r\\n]+[{KANJI}]{{1,4}}(?=\\Z|[{WS}、。，,.！？!?「」『』（）()【】])")

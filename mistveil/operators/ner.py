@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import threading
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,26 +22,32 @@ from .normalize import back, normalize
 from .pipeline import ENTRY_DDL, detect, enrich, extend_titles, merge, once, refine
 
 CHUNK, OVERLAP = 320, 64
-LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORGANIZATION", "ORG-P": "ORGANIZATION", "ORG-O": "ORGANIZATION", "ORGANIZATION": "ORGANIZATION", "LOC": "ADDRESS", "LOCATION": "ADDRESS", "INS": "ADDRESS"}
+# The labels of models and the categories that they stand for.
+LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORGANIZATION", "ORG-P": "ORGANIZATION", "ORG-O": "ORGANIZATION", "ORGANIZATION": "ORGANIZATION", "LOC": "ADDRESS", "LOCATION": "ADDRESS", "INS": "ADDRESS", "人名": "PERSON", "法人名": "ORGANIZATION", "政治的組織名": "ORGANIZATION", "その他の組織名": "ORGANIZATION", "その他の組織": "ORGANIZATION", "地名": "ADDRESS", "施設名": "ADDRESS"}
 Classifier = Callable[[str], list[dict]]
 
 
 def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """Windows that cover the text; each ends behind the last line or sentence end in its final 40 %, if there is one."""
-    if size <= 0 or not 0 <= overlap < size:
-        raise ValueError("size must be positive and overlap smaller")
-    out, start = [], 0
+    """Windows that cover the text; each ends behind the last line or sentence end in its final 40 %, if there is one.
+
+    Sizes are UTF-16 units and offsets code points; no window begins or ends inside a character.
+    """
+    if not isinstance(size, int) or size < 2 or not isinstance(overlap, int) or not 0 <= overlap < size:
+        raise ValueError("size is a whole number from 2, overlap one from 0 that is smaller")
+    units = None if text.isascii() or max(text) < "\U00010000" else [0, *accumulate(1 + (c > "\uffff") for c in text)]
+    unit = (lambda i: i) if units is None else units.__getitem__
+    char = (lambda u: u) if units is None else (lambda u: bisect_right(units, u) - 1)  # down to a whole character
+    out, start, last = [], 0, unit(len(text))
     while start < len(text):
-        end = min(len(text), start + size)
+        end = char(min(last, unit(start) + size))
         if end < len(text):
-            least = start + int(size * 0.6)
-            cut = max(text.rfind(c, least, end) for c in "\n。！？!?")
-            if cut >= least:
-                end = cut + 1
+            least = unit(start) + ceil(size * 0.6)
+            cut = max(text.rfind(c, start, end) for c in "\n。！？!?") + 1
+            end = cut if cut and unit(cut) >= least else end
         out.append((start, end, text[start:end]))
         if end >= len(text):
             break
-        start = max(start + 1, end - overlap)
+        start = max(start + 1, char(unit(end) - overlap))
     return out
 
 
@@ -124,17 +134,44 @@ def run_normalized(text: str, classify: Classifier, known: list[Candidate] = ())
     return _best(out)
 
 
+class ClassifierTimeout(TimeoutError):
+    pass
+
+
+def limited(classify: Classifier, seconds: float) -> Classifier:
+    """The classifier, each call of which has to end within some seconds."""
+
+    def run(text: str) -> list[dict]:
+        done: list = []
+
+        def call() -> None:
+            try:
+                done.append((classify(text), None))
+            except BaseException as e:  # handed on to the caller
+                done.append((None, e))
+
+        thread = threading.Thread(target=call, daemon=True)
+        thread.start()
+        thread.join(seconds)
+        if not done:
+            raise ClassifierTimeout(f"no answer within {seconds} s")
+        if done[0][1] is not None:
+            raise done[0][1]
+        return done[0][0]
+
+    return run
+
 
-def with_entries(docs: DataFrame, load: Callable[[], Classifier]) -> DataFrame:
+def with_entries(docs: DataFrame, load: Callable[[], Classifier], seconds: float = 300) -> DataFrame:
     """``docs`` with entries from the detectors and a model.
 
-    ``load`` is called once a task, on the executor; if it fails, the task is tried again. Chunks of a document are
-    classified one after the other, and documents in parallel.
+    ``load`` is called once a task, on the executor; if it fails, or an answer takes longer than ``seconds``, the task is tried again.
+    Chunks of a document are classified one after the other, and documents in parallel.
     """
 
     @F.pandas_udf(ENTRY_DDL)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        classify = load()
+        classify = limited(load(), seconds)
 
         def entries(text: str | None) -> list[dict]:
             text = text or ""

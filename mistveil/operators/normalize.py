@@ -19,17 +19,18 @@ from .candidates import Candidate, replace, unique
 from .names import _TOWN, addresses, person_names
 
 BREAK = "[ 　]*\\r?\\n[ 　]*"
-_BREAK = re.compile(BREAK)
+_BREAK = re.compile("(?<![ 　])[ 　]*+\\r?\\n[ 　]*+")  # a run of spaces is looked at from its start only
 _OPT = f"(?:{BREAK})?"
 _HYPHEN = "−ー―‐–—‑‒"
 _LOCAL = "A-Za-z0-9.!#$%&'*+/=?^_`{|}~\\-"
-_ATOM = "[A-Za-z0-9!#$%&'*+/=?^_`{|}~]+"
+# An address has 254 characters at most; as no part of it is longer, each start costs a bounded time.
+_ATOM = "[A-Za-z0-9!#$%&'*+/=?^_`{|}~]{1,254}"
 _BEFORE, _AFTER = "(^|[^A-Za-z0-9._%+\\-])", "(?=\\Z|[^A-Za-z0-9._%+\\-])"
-_SPACED_EMAIL = re.compile(f"{_BEFORE}([{_LOCAL}]+)([ 　]*)@([ 　]*)([A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+){_AFTER}")
-_LABEL = f"[A-Za-z0-9]+(?:-{_OPT}[A-Za-z0-9]+)*"
+_SPACED_EMAIL = re.compile(f"{_BEFORE}([{_LOCAL}]{{1,254}})([ 　]*)@([ 　]*)([A-Za-z0-9-]{{1,254}}(?:\\.[A-Za-z0-9-]{{1,254}}){{1,127}}){_AFTER}")
+_LABEL = f"[A-Za-z0-9]{{1,254}}(?:-{_OPT}[A-Za-z0-9]{{1,254}}){{0,127}}"
 _BROKEN_EMAILS = (
-    re.compile(f"{_BEFORE}([{_LOCAL}]+){_OPT}@{_OPT}({_LABEL}(?:{_OPT}\\.{_OPT}{_LABEL})+){_AFTER}"),
-    re.compile(f"{_BEFORE}({_ATOM}(?:{_OPT}[.-]{_OPT}{_ATOM})+){_OPT}@{_OPT}([A-Za-z0-9-]+(?:{_OPT}\\.{_OPT}[A-Za-z0-9-]+)+){_AFTER}"),
+    re.compile(f"{_BEFORE}([{_LOCAL}]{{1,254}}){_OPT}@{_OPT}({_LABEL}(?:{_OPT}\\.{_OPT}{_LABEL}){{1,127}}){_AFTER}"),
+    re.compile(f"{_BEFORE}({_ATOM}(?:{_OPT}[.-]{_OPT}{_ATOM}){{1,127}}){_OPT}@{_OPT}([A-Za-z0-9-]{{1,254}}(?:{_OPT}\\.{_OPT}[A-Za-z0-9-]{{1,254}}){{1,127}}){_AFTER}"),
 )
 _PH = "\\-‐‑‒–—―－ーｰ"
 _PSEP = f"[ 　]*{_OPT}[{_PH}][ 　]*{_OPT}"

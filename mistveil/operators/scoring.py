@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,17 +43,51 @@ def evaluate(corpus: DataFrame, candidates: DataFrame, mode: str = "occurrence")
 
 
 def placed(texts: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Outputs (doc_id, category, text, start, end) with a place for those that have none: the only occurrence in the text, or the first."""
-    joined = outputs.join(texts.select("doc_id", F.col("text").alias("__source")), "doc_id")
-    at = F.instr("__source", F.col("text")) - 1
-    start = F.coalesce("start", F.when(at >= 0, at))
-    return joined.withColumn("start", start).withColumn("end", F.coalesce("end", F.col("start") + F.length("text"))).where("start is not null").drop("__source")
+    """Outputs (doc_id, ord, category, text, start, end) with a place for those that have none, in the order of ``ord`` in their document.
+
+    Each is looked for behind the one placed before it, then from the start of the text; what does not occur is left out.
+    """
+    row = F.struct("ord", "category", "text", "start", "end")
+    each = outputs.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows")).join(texts.select("doc_id", F.col("text").alias("source")), "doc_id")
+    first = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<category:string,text:string,start:int,end:int>>").alias("out"))
+
+    def step(acc, o):
+        given = o["start"].isNotNull() & o["end"].isNotNull() & (o["end"] > o["start"])
+        behind, any_ = F.position(o["text"], F.col("source"), acc["at"]), F.position(o["text"], F.col("source"))
+        found = F.when(behind > 0, behind).otherwise(any_)
+        start = F.when(given, o["start"]).otherwise(found - 1)
+        end = F.when(given, o["end"]).otherwise(start + F.length(o["text"]))
+        keep = (given | (found > 0)) & (F.length(o["text"]) > 0) & (start >= 0) & (end <= F.length("source"))
+        new = F.array_append(acc["out"], F.struct(o["category"].alias("category"), o["text"].alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end")))
+        return F.struct(F.when(given | (found == 0), acc["at"]).otherwise(end + 1).cast("int").alias("at"), F.when(keep, new).otherwise(acc["out"]).alias("out"))
+
+    return each.select("doc_id", F.explode(F.aggregate("rows", first, step)["out"]).alias("x")).select("doc_id", "x.*")
+
+
+def distinct_counts(entities: DataFrame) -> DataFrame:
+    """Distinct targets (document, category, text) and occurrences (document, category, start, end), by category."""
+    return entities.groupBy("category").agg(F.count_distinct("doc_id", "category", "text").alias("targets"), F.count_distinct("doc_id", "category", "start", "end").alias("occurrences"))
+
+
+def median_times(timings: DataFrame) -> DataFrame:
+    """The median of ``ms`` by ``operation``, the mean of the middle two of an even number."""
+    return timings.groupBy("operation").agg(F.median("ms").alias("median_ms"), F.count("*").alias("runs"))
+
+
+def corpus_digest(corpus: DataFrame) -> str:
+    """A hash of all documents in any order: sums of parts of their hashes, so that no task sees more than a number of each."""
+    h = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).alias(f"p{i}") for i in range(8)]
+    row = corpus.agg(F.count("*").alias("n"), *parts).first()
+    return hashlib.sha256(":".join(str(x) for x in row).encode()).hexdigest()
 
 
-def write_result(scores: DataFrame, corpus: DataFrame, path: str, **about) -> None:
-    """One JSON document a category, with the hash of the corpus and what else is to be told."""
-    digest = corpus.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("doc_id"), F.sha2("text", 256).alias("h"))))), 256).alias("corpus_sha256"))
-    out = scores.join(digest, F.lit(True))
+def write_result(scores: DataFrame, corpus: DataFrame, path: str, timings: DataFrame | None = None, **about) -> None:
+    """One JSON document a category, with the hash of the corpus, median times by operation, and what else is to be told."""
+    out = scores.withColumn("corpus_sha256", F.lit(corpus_digest(corpus)))
+    if timings is not None:
+        medians = {r["operation"]: r["median_ms"] for r in median_times(timings).collect()}  # one row an operation
+        out = out.withColumn("median_ms", F.create_map(*[F.lit(x) for pair in sorted(medians.items()) for x in pair]))
     for k, v in about.items():
         out = out.withColumn(k, F.lit(v))
     out.coalesce(1).write.mode("errorifexists").json(path)

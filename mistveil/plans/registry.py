@@ -6,8 +6,6 @@ boundary on both sides. Japanese texts are generated from columns of ``customer`
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from ..functions.chars import fold_fullwidth_col
 from ..operators import docnorm, entries as E, masking as M, ner, pipeline as P, scoring, structured as S
 from ..operators.names import addresses, birth_dates, credentials, person_names, titled_names
 from ..operators.spans import occurrences, outside
-from ..sources.texts import spread
+from ..sources.texts import nfc
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +22,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, sf_dir):
-    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _each(df: DataFrame, spans) -> DataFrame:
@@ -184,11 +182,7 @@ def score_target(spark, sf_dir):
 
 
 def nfc_text(spark, sf_dir):
-    @F.pandas_udf("string")
-    def nfc(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-    return _generated("marks")(spark, sf_dir).select("doc_id", nfc("text").alias("value"))
+    return _generated("marks")(spark, sf_dir).select("doc_id", nfc(F.col("text")).alias("value"))
 
 
 def fullwidth_fold(spark, sf_dir):

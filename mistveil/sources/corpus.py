@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chars import blank
+
 CATEGORIES = ("PERSON", "ORGANIZATION", "ADDRESS")
 _MARK = r"\[\[([A-Z_]+)\|([^\]]*)\]\]"
 
@@ -12,7 +14,7 @@ _MARK = r"\[\[([A-Z_]+)\|([^\]]*)\]\]"
 def parse(annotated: Column) -> Column:
     """struct<text, entities: array<struct<category, start, end, text>>> by built-in expressions; bad marks raise."""
     kinds, values = F.regexp_extract_all(annotated, F.lit(_MARK), F.lit(1)), F.regexp_extract_all(annotated, F.lit(_MARK), F.lit(2))
-    plain = F.split(F.regexp_replace(annotated, _MARK, chr(0xE000)), chr(0xE000), -1)
+    plain = F.split(annotated, _MARK, -1)
     empty = F.array().cast("array<struct<category:string,start:int,end:int,text:string>>")
     start = F.struct(F.length(F.element_at(plain, 1)).alias("at"), empty.alias("out"))
 
@@ -22,7 +24,7 @@ def parse(annotated: Column) -> Column:
 
     found = F.aggregate(F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values))).otherwise(F.array().cast("array<int>")), start, step)["out"]
     text = F.regexp_replace(annotated, _MARK, "$2")
-    wrong = F.exists(kinds, lambda k: ~k.isin(*CATEGORIES)) | F.exists(values, lambda v: F.trim(v) == "") | text.contains("[[") | text.contains("]]")
+    wrong = F.exists(kinds, lambda k: ~k.isin(*CATEGORIES)) | F.exists(values, lambda v: blank(v)) | text.contains("[[") | text.contains("]]")
     return F.when(wrong, F.raise_error(F.concat(F.lit("bad annotation: "), annotated)).cast("struct<text:string,entities:array<struct<category:string,start:int,end:int,text:string>>>")).otherwise(F.struct(text.alias("text"), found.alias("entities")))
 
 

@@ -35,12 +35,6 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", text: str = "tex
     return out.withColumn("is_long", F.octet_length(F.encode("text", "UTF-16BE")) / 2 > LONG)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Deals the rows of a few files to all cores; a file may be one row group, which one task reads. More files stay as they are."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(2 * cores) if len(docs.inputFiles()) < cores else docs
-
-
 def write_masked(masked: DataFrame, path: str, kind: str = "parquet") -> DataFrame:
     """Writes doc_id and masked text; returns doc_id and a flag of the documents in which nothing was masked."""
     masked.select("doc_id", "masked").write.mode("errorifexists").format(kind).save(path)

@@ -32,6 +32,21 @@ def _session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     yield pd.DataFrame(out, columns=["session_id", "revision", "masked", "n_entries"])
 
 
-def session_dictionary(messages: DataFrame) -> DataFrame:
-    """``messages`` (session_id string, revision long, text string) masked with a dictionary that grows with its session."""
-    return messages.groupBy("session_id").applyInPandasWithState(_session, "session_id string, revision long, masked string, n_entries int", "entries string, revision long", "append", GroupStateTimeout.NoTimeout)
+def session_dictionary(messages: DataFrame, at: str | None = None, idle_minutes: int = 24 * 60) -> DataFrame:
+    """``messages`` (session_id string, revision long, text string) masked with a dictionary that grows with its session.
+
+    With ``at``, a column of event times, a session that is silent for ``idle_minutes`` of them is forgotten, so state does
+    not grow for ever. Without it, state is kept as long as the query's checkpoint.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        yield from _session(key, batches, state)
+        if at is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_minutes * 60_000)
+
+    own = messages if at is None else messages.withWatermark(at, f"{idle_minutes} minutes")
+    timeout = GroupStateTimeout.NoTimeout if at is None else GroupStateTimeout.EventTimeTimeout
+    return own.groupBy("session_id").applyInPandasWithState(run, "session_id string, revision long, masked string, n_entries int", "entries string, revision long", "append", timeout)

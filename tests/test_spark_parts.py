@@ -143,16 +143,17 @@ def test_store(spark, tmp_path):
     assert s.list() == []
 
 
-def test_streams(spark, tmp_path):
-    rows = [("s", 1, "佐藤様です"), ("s", 2, "佐藤様と a@b.com")]
-    spark.createDataFrame(rows, "session_id string, revision long, text string").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session_id string, revision long, text string").parquet(str(tmp_path / "in"))
-    q = detection.session_dictionary(stream).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+@pytest.mark.parametrize("at", [None, "at"])
+def test_streams(spark, tmp_path, at):
+    rows = [("s", 1, "佐藤様です", "2026-01-01 10:00:00"), ("s", 2, "佐藤様と a@b.com", "2026-01-01 10:05:00")]
+    spark.createDataFrame(rows, "session_id string, revision long, text string, at string").selectExpr("session_id", "revision", "text", "to_timestamp(at) as at").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session_id string, revision long, text string, at timestamp").parquet(str(tmp_path / "in"))
+    q = detection.session_dictionary(stream, at).writeStream.format("memory").queryName(f"sessions_{at}").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     try:
-        q.processAllAvailable()
+        assert q.awaitTermination(60)
     finally:
         q.stop()
-    assert [(r["revision"], r["masked"]) for r in spark.table("sessions").orderBy("revision").collect()] == [(1, "[人名_1]です"), (2, "[人名_1]と [メール_1]")]
+    assert [(r["revision"], r["masked"]) for r in spark.table(f"sessions_{at}").orderBy("revision").collect()] == [(1, "[人名_1]です"), (2, "[人名_1]と [メール_1]")]
     assert detection.detect_stream(stream).isStreaming
 
 
@@ -184,11 +185,65 @@ def test_mappings_on_documents_and_results(spark, tmp_path, table):
     assert [r["occurrence_count"] for r in got] == [2, 1, 0, 0]
     assert [r["number"] for r in E.next_group_number(E.relate(table, ["e1", "e0"], "related-4-a")).collect()] == [5]
     c = spark.createDataFrame([("a", "佐藤と東京", [("PERSON", 0, 2, "佐藤")])], "doc_id string, text string, entities array<struct<category:string,start:int,end:int,text:string>>")
-    p = scoring.placed(c, spark.createDataFrame([("a", "PERSON", "佐藤", None, None), ("a", "EMAIL", "x", 0, 1)], "doc_id string, category string, text string, start int, end int"))
+    p = scoring.placed(c, spark.createDataFrame([("a", 0, "PERSON", "佐藤", None, None), ("a", 1, "EMAIL", "x", 0, 1)], "doc_id string, ord int, category string, text string, start int, end int"))
     s = scoring.evaluate(c, p)
     assert {r["category"]: r["f1"] for r in s.collect()} == {"PERSON": 1.0, None: 1.0}
-    scoring.write_result(s, c, str(tmp_path / "r"), run="test")
-    assert spark.read.json(str(tmp_path / "r")).where("length(corpus_sha256) = 64 and run = 'test'").count() == 2
+    times = spark.createDataFrame([("detect", 1.0), ("detect", 4.0), ("detect", 2.0), ("mask", 1.0), ("mask", 2.0)], "operation string, ms double")
+    scoring.write_result(s, c, str(tmp_path / "r"), times, run="test")
+    assert spark.read.json(str(tmp_path / "r")).where("length(corpus_sha256) = 64 and run = 'test' and median_ms.detect = 2.0 and median_ms.mask = 1.5").count() == 2
+    assert scoring.corpus_digest(c) != scoring.corpus_digest(c.limit(0))
+
+
+def test_places_are_looked_for_one_behind_the_other(spark):
+    texts = spark.createDataFrame([(1, "佐藤と佐藤と東京")], "doc_id long, text string")
+    rows = [(1, 0, "PERSON", "佐藤", None, None), (1, 1, "PERSON", "佐藤", None, None), (1, 2, "PERSON", "佐藤", None, None), (1, 3, "ADDRESS", "大阪", None, None), (1, 4, "ADDRESS", "東京", 6, 8)]
+    got = scoring.placed(texts, spark.createDataFrame(rows, "doc_id long, ord int, category string, text string, start int, end int"))
+    assert [(r["text"], r["start"], r["end"]) for r in got.collect()] == [("佐藤", 0, 2), ("佐藤", 3, 5), ("佐藤", 0, 2), ("東京", 6, 8)]
+    assert [tuple(r) for r in scoring.distinct_counts(got).orderBy("category").collect()] == [("ADDRESS", 1, 1), ("PERSON", 1, 2)]
+
+
+def test_documents_of_a_session(spark, table):
+    schema = "doc_id long, text string, revision int, lock_reason string, response string, mapping string"
+    docs = spark.createDataFrame([(i, "old", 3, "candidate_registered" if i == 4 else None, "", None) for i in range(1, 7)], schema)
+    new = spark.createDataFrame([(1, "new", 3), (2, "new", 3), (3, "new", 2), (4, "new", 3), (5, "old", 3)], "doc_id long, text string, expected_revision int")
+    got = {r["doc_id"]: (r["text"], r["revision"]) for r in E.apply_normalized(docs, new, table.withColumn("doc_id", F.lit(1).cast("long"))).collect()}
+    assert got == {i: ("new", 4) if i == 2 else ("old", 3) for i in range(1, 7)}
+    found = spark.createDataFrame([(1, "success", 0), (2, "failure", 2), (3, "failure", 0), (4, "success", 1), (5, None, 1)], "doc_id long, outcome string, candidates int")
+    assert [r["lock_reason"] for r in E.complete_detection(docs, found).orderBy("doc_id").collect()] == ["detection_completed", "candidate_registered", None, "candidate_registered", "candidate_registered", None]
+    answered = E.set_response(docs, spark.createDataFrame([(1, "か\u3099 x"), (2, " \u3000")], "doc_id long, response string"))
+    assert [r["response"] for r in answered.orderBy("doc_id").collect()][:3] == ["\u304c x", " \u3000", ""]
+    two = table.unionByName(table.withColumn("doc_id", F.lit(2).cast("long")))
+    assert {r["doc_id"] for r in E.relate(two, ["e0", "e1"], "related-1-a", responses=answered).where("group_id is not null").select("doc_id").collect()} == {2}
+    loaded = E.load_mapping(docs.drop("mapping"), saved()).first()
+    assert loaded["lock_reason"] == "candidate_registered" and len(loaded["entries"]) == 2 and len(loaded["mapping"]["fingerprint"]) == 64
+    assert tuple(E.clear(answered).first()) == (1, "", 0, None, "", None)
+
+
+def test_maskable_counts(spark, table):
+    docs = spark.createDataFrame([(1, "森さんは森林へ。佐藤と佐藤")], "doc_id long, text string")
+    rows = table.limit(1).withColumn("original_text", F.lit("森")).withColumn("normalized_text", F.lit("森")).unionByName(table.limit(1))
+    assert sorted((r["original_text"], r["maskable_count"]) for r in E.maskable(rows, docs).collect()) == [("佐藤", 2), ("森", 1)]
+    assert {r["maskable_count"] for r in E.maskable(rows, docs, "all").collect()} == {2} and {r["maskable_count"] for r in E.maskable(rows.withColumn("enabled", F.lit(False)), docs).collect()} == {0}
+
+
+def test_masking_keeps_private_characters(spark):
+    from mistveil.operators.masking import mask
+
+    df = spark.createDataFrame([("a\ue000b ab \ue001 ab",), ("\ue000\ue001\ufdd0\ufdd1 ab",)], "text string")
+    pairs = F.array(F.struct(F.lit("ab").alias("text"), F.lit("[x_1]").alias("token")))
+    assert [r[0] for r in df.select(mask(F.col("text"), pairs)).collect()] == ["a\ue000b [x_1] \ue001 [x_1]", "\ue000\ue001\ufdd0\ufdd1 [x_1]"]
+
+
+def test_long_texts_survive_the_patterns(spark):
+    """One domain of thousands of labels, and long runs of one character, pass through all detectors."""
+    from mistveil.operators import pipeline, structured
+
+    texts = ["a@b" + ".c" * 20_000 + ".jp x", "x" * 200_000, "a-" * 50_000, " " * 100_000, "1-" * 20_000, "!" * 50_000 + "a@b.jp"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [x["text"] for x in r["x"]] for r in df.select("doc_id", structured.structured(F.col("text")).alias("x")).collect()}
+    assert got[0] == [texts[0][:-2]] and got[1] == got[2] == got[3] == [] and len(got[5]) == 1 and got[5][0].endswith("a@b.jp")
+    rows = {r["doc_id"]: [c["text"] for c in r["candidates"]] for r in pipeline.with_candidates(df).collect()}
+    assert rows[0] == got[0]
 
 
 def test_a_model_in_the_pipeline(spark):
@@ -204,11 +259,9 @@ def test_a_model_in_the_pipeline(spark):
 
 def test_entries_in_the_row(spark):
     from mistveil.operators import structured
-    from mistveil.sources.texts import spread
 
     text = "[メール_1] a@b.jp 10.0.0.1 a@b.jp c@d.jp 10.0.0.1 x"
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: [tuple(e) for e in r["e"]] for r in df.select("doc_id", E.in_row(F.col("text"), structured.structured(F.col("text"))).alias("e")).collect()}
     assert got[1] == [(0, "EMAIL", "a@b.jp", "[メール_2]", 2, 9), (2, "EMAIL", "c@d.jp", "[メール_3]", 1, 32), (3, "OTHER", "10.0.0.1", "[その他_1]", 2, 16)]
     assert got[2] == got[3] == []
-    assert spread(df).count() == 3
