@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import fold_fullwidth_col
 from ..operators import docnorm, entries as E, masking as M, ner, pipeline as P, scoring, structured as S
-from ..operators.names import addresses, birth_dates, credentials, person_names, titled_names
+from ..operators.names import addresses, birth_dates, credentials, titled_names
 from ..operators.spans import occurrences, outside
 from ..sources.texts import nfc
+from . import cases
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,7 +128,7 @@ def masked_documents(spark, sf_dir):
 
 
 def restore_roundtrip(spark, sf_dir):
-    return _with_pairs(spark, sf_dir).select("doc_id", (M.restore(F.col("masked"), F.col("pairs")) == F.col("text")).alias("restored"))
+    return _with_pairs(spark, sf_dir).select("doc_id", M.restore(F.col("masked"), F.col("pairs")).alias("restored"))
 
 
 def token_inspection(spark, sf_dir):
@@ -264,7 +265,8 @@ def queries() -> dict:
         document_normalization, chunk_text,
     ]
     out = {f.__name__: f for f in own}
-    out |= {"detect_birth_dates": _by("birth", birth_dates), "detect_addresses": _by("address", addresses), "detect_honorific_names": _by("titled", titled_names), "detect_secrets_derived": _by("secret", credentials), "detect_phones": _by("contact", P.phones), "detect_person_names": _by("titled", person_names)}
+    out |= cases.queries()
+    out |= {"detect_birth_dates": _by("birth", birth_dates), "detect_addresses": _by("address", addresses), "detect_honorific_names": _by("titled", titled_names), "detect_secrets_derived": _by("secret", credentials), "detect_phones": _by("contact", P.phones)}
     return out
 
 
@@ -296,7 +298,7 @@ states AS (SELECT *, (doc_id + length(v)) % 5 AS h FROM entries)
 
 def oracle_sql() -> dict:
     custom = {k: _gen_sql(k) for k in _GEN}
-    return {
+    return cases.oracle_sql() | {
         "detect_emails": _EACH.format(_EMAILS),
         "detect_ipv4": _EACH.format(_IPS),
         "detect_postal_codes": _EACH.format(_POSTALS),
@@ -315,7 +317,7 @@ def oracle_sql() -> dict:
         "detect_secrets_derived": f"SELECT doc_id, concat('pw-', doc_id) AS value FROM {custom['secret']} UNION ALL SELECT doc_id, concat('u', c_nationkey, 'xx') FROM {custom['secret']}",
         "token_assignment": f"WITH {_FIRST} SELECT doc_id, category, v AS value, token, occurrence_count FROM entries",
         "masked_documents": f"WITH {_FIRST} SELECT doc_id, CAST(n_entries AS INT) AS n_entries, masked FROM masked",
-        "restore_roundtrip": "SELECT doc_id, true AS restored FROM documents",
+        "restore_roundtrip": "SELECT doc_id, text AS restored FROM documents",
         "token_inspection": f"WITH {_FIRST} SELECT doc_id, CAST(n_entries - m AS INT) AS known_present, m AS absent, CAST(1 AS INT) AS unknown, CAST(0 AS INT) AS natural FROM (SELECT doc_id, n_entries, CAST(contains(masked, '[メール_1]') AS INT) AS m FROM masked)",
         "session_counts": f"WITH {_FIRST} SELECT doc_id, count(*) FILTER (WHERE h NOT IN (0, 1)) AS active, CAST(coalesce(sum(occurrence_count) FILTER (WHERE h NOT IN (0, 1)), 0) AS BIGINT) AS replacements, count(*) AS total, count(*) FILTER (WHERE h = 0) AS disabled, count(*) FILTER (WHERE occurrence_count = 0) AS zero_occurrence FROM states GROUP BY 1",
         "replacement_counts": f"WITH {_FIRST} SELECT category, CAST(sum(occurrence_count) AS BIGINT) AS replacements, count(*) AS entries FROM states WHERE h NOT IN (0, 1) GROUP BY 1",
@@ -328,6 +330,7 @@ def oracle_sql() -> dict:
             s AS (SELECT coalesce(c, 'all') AS category, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM x GROUP BY ROLLUP (c)),
             r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS recall FROM s)
             SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0::DOUBLE END AS f1 FROM r""",
+        "chunk_text": cases.CHUNKS.format(texts="SELECT doc_id, text FROM documents WHERE length(text) > 0"),
         "nfc_text": f"SELECT doc_id, nfc_normalize(text) AS value FROM {custom['marks']}",
         "fullwidth_fold": f"SELECT doc_id, translate(text, '０１２３４５６７８９ＡＢＣｚ！－', '0123456789ABCz!-') AS value FROM {custom['width']}",
         "excess_whitespace": f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '\\n{{3,}}', concat(chr(10), chr(10)), 'g') AS value FROM {custom['width']}",
