@@ -129,6 +129,19 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tup
         yield held
 
 
+def _together(rows: Iterator[tuple], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, chunk, place, data) as batches of about ``limit`` bytes; a batch of one small row would cost the JVM more than the row."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if size >= limit:
+            yield emit(_ROW, list(zip(*held)))
+            held, size = [], 0
+    if held:
+        yield emit(_ROW, list(zip(*held)))
+
+
 def _gathered(rows: DataFrame, by: str, parts: int) -> DataFrame:
     """Rows with those of one chunk or place together, in a number of partitions that follows the text."""
     return rows.select("kind", "chunk", "place", "data").repartition(parts, by).sortWithinPartitions(by, "kind", "place", "chunk")
@@ -182,14 +195,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _words_out(places: int):
     """Chunks -> their words with endings and training counts, by place: the high bits of the hash, so that places are in the order of words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for chunk, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 words, ending, n = unpack(data, *_CHUNK_TYPES)[5:]
                 for place, lo, hi in _split(_high(words, places)):
-                    yield emit(_ROW, [[_CHUNK], [chunk], [place], [pack(words[lo:hi], ending[lo:hi], n[lo:hi])]])
+                    yield _CHUNK, chunk, place, pack(words[lo:hi], ending[lo:hi], n[lo:hi])
 
-    return run
+    return lambda batches: _together(rows(batches))
 
 
 def _high(h: np.ndarray, places: int) -> np.ndarray:
@@ -199,6 +212,10 @@ def _high(h: np.ndarray, places: int) -> np.ndarray:
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _together(_total_rows(batches))
+
+
+def _total_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Words of all chunks, by place -> their totals, for each chunk; and the HEAD most frequent ones of the place with sums by ending."""
     for rows in _groups(batches, 2):
         parts = [unpack(r[3], "<u8", "u1", "<u4") for r in rows]
@@ -207,12 +224,12 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.bincount(own, np.concatenate([p[2] for p in parts])).astype(np.int64)
         lo = 0
         for row, p in zip(rows, parts):
-            yield emit(_ROW, [[_TOTAL], [row[1]], [row[2]], [pack(total[own[lo : lo + len(p[0])]].astype("<u8"))]])
+            yield _TOTAL, row[1], row[2], pack(total[own[lo : lo + len(p[0])]].astype("<u8"))
             lo += len(p[0])
         seen = np.flatnonzero(total)
         top = seen[np.lexsort((words[seen].view(np.int64), -total[seen]))[:HEAD]]
         sums = [np.bincount(ending[seen], x, ENDINGS).astype("<i8") for x in (total[seen], np.ones(len(seen)))]
-        yield emit(_ROW, [[_TOP], [0], [rows[0][2]], [pack(words[top], ending[top], total[top].astype("<u8"), *sums)]])
+        yield _TOP, 0, rows[0][2], pack(words[top], ending[top], total[top].astype("<u8"), *sums)
 
 
 def _tops(sums: bool):
@@ -493,7 +510,7 @@ class Pairs:
 def _pairs_out(cls: np.ndarray, vocabulary: Vocabulary, hot: Hot, places: int):
     """Chunks -> their pairs by place: contexts, how many pairs each has, and of the pairs the word, class, training count, and the word's total."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for chunk, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 p = Pairs(data, cls, vocabulary, hot, places)
@@ -501,9 +518,9 @@ def _pairs_out(cls: np.ndarray, vocabulary: Vocabulary, hot: Hot, places: int):
                 for to, lo, hi in _split(p.place):
                     edge = np.append(np.flatnonzero(np.append(True, p.context[lo + 1 : hi] != p.context[lo : hi - 1])), hi - lo)
                     own = pack(p.context[lo:hi][edge[:-1]], np.diff(edge).astype("<u4"), p.low[lo:hi], kind[lo:hi], count[lo:hi], total[lo:hi])
-                    yield emit(_ROW, [[_PAIRS], [chunk], [to], [own]])
+                    yield _PAIRS, chunk, to, own
 
-    return run
+    return lambda batches: _together(rows(batches))
 
 
 _DOC_TYPES = ("<i8", "u1", "u1", "<i8", "<i8", "<f8", "<f8", "<u4")
@@ -535,7 +552,7 @@ def _learn(hot: Hot, sizes: np.ndarray):
     """Pairs of all chunks, by place -> for each chunk what every pair adds to the score. Of pairs that are dealt to several places
     that part is 0 here; they are returned as rows (context, class) with counts, totals, and where they came from."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for rows in _groups(batches, 2):
             parts = [unpack(r[3], *_PAIR_TYPES) for r in rows]
             lengths = [len(p[2]) for p in parts]
@@ -563,7 +580,7 @@ def _learn(hot: Hot, sizes: np.ndarray):
             out = grains(value)[pair]
             lo = 0
             for row, m in zip(rows, lengths):
-                yield emit(_ROW, [[_PART], [row[1]], [row[2]], [pack(out[lo : lo + m])]])
+                yield _PART, row[1], row[2], pack(out[lo : lo + m])
                 lo += m
             if split.any():
                 chunk = np.repeat(np.array([r[1] for r in rows], "<i8"), lengths)
@@ -572,9 +589,9 @@ def _learn(hot: Hot, sizes: np.ndarray):
                     own = np.flatnonzero(group == g)
                     held = np.flatnonzero((pair >= own[0]) & (pair <= own[-1]))
                     data = pack(count[own], q[own], chunk[held], np.full(len(held), rows[0][2], "<i8"), where[held], (pair[held] - own[0]).astype("<u4"))
-                    yield emit(_ROW, [[_HOT], [int(c[at[own[0]]].view(np.int64))], [int(k[at[own[0]]])], [data]])
+                    yield _HOT, int(c[at[own[0]]].view(np.int64)), int(k[at[own[0]]]), data
 
-    return run
+    return lambda batches: _together(solved(batches))
 
 
 def grains(value: np.ndarray) -> np.ndarray:
