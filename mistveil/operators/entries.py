@@ -103,6 +103,12 @@ def counts(entries: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_order(entries: DataFrame) -> DataFrame:
+    """Active entries with their rank in a saved mapping: by target and token in Japanese collation, then by id."""
+    order = [F.collate("normalized_text", "ja"), F.collate("token", "ja"), F.col("id")]
+    return active(entries).withColumn("snapshot_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+
+
 # Transitions ----------------------------------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import unicodedata
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.chars import nfc, trim
@@ -33,8 +33,11 @@ class MappingError(ValueError):
     pass
 
 
-def snapshot(entries: list[dict]) -> list[dict]:
-    """The active entries in saved form, by target, token and id; targets, tokens and ids must be unique, groups are refused."""
+def snapshot(entries: list[dict], spark: SparkSession | None = None) -> list[dict]:
+    """The active entries in saved form, by target, token and id; targets, tokens and ids must be unique, groups are refused.
+
+    With a session, targets and tokens are in Japanese collation, otherwise in the order of code points.
+    """
     own = [e for e in entries if e["enabled"] and e["review_status"] == "approved"]
     if any(e.get("group_id") for e in own):
         raise MappingError("grouped entries cannot be saved")
@@ -42,8 +45,12 @@ def snapshot(entries: list[dict]) -> list[dict]:
         {"id": e["id"], "targetText": e["original_text"], "normalizedTargetText": nfc(e["normalized_text"]), "token": e["token"], "restorationText": e["restoration_text"], "category": e["category"], "sources": list(e["sources"]), "manual": "manual" in e["sources"]}
         for e in own
     ]
-    out.sort(key=lambda e: (e["normalizedTargetText"], e["token"], e["id"]))
     check_unique(out)
+    out.sort(key=lambda e: (e["normalizedTargetText"], e["token"], e["id"]))
+    if spark is not None and out:  # at most MAX_ENTRIES rows
+        rows = spark.createDataFrame([(i, e["normalizedTargetText"], e["token"], e["id"]) for i, e in enumerate(out)], "i int, target string, token string, id string")
+        order = rows.orderBy(F.collate("target", "ja"), F.collate("token", "ja"), "id").select("i").collect()
+        out = [out[r["i"]] for r in order]
     return out
 
 
@@ -191,6 +198,11 @@ class Store:
         rows = [r | {"status": "available" if (self.root / r["fileName"]).exists() else "missing"} for r in self._index()[0]]
         return sorted(rows, key=lambda r: (-r["updatedAt"], r["mappingId"]))
 
+    def table(self) -> DataFrame:
+        """The same as rows of a DataFrame, with their place in the list."""
+        rows = [(i, r["mappingId"], r["name"], r["fileName"], r["createdAt"], r["updatedAt"], r["revision"], r["status"]) for i, r in enumerate(self.list())]
+        return self.spark.createDataFrame(rows, "place int, mapping_id string, name string, file_name string, created_at long, updated_at long, revision long, status string")
+
     def inventory(self) -> dict:
         files = {p.name for p in self.root.glob("*.mapping")}
         try:

@@ -194,6 +194,15 @@ def test_mappings_on_documents_and_results(spark, tmp_path, table):
     assert scoring.corpus_digest(c) != scoring.corpus_digest(c.limit(0))
 
 
+def test_snapshots_are_in_japanese_order(spark, table):
+    values = ["森", "あ", "ア", "a", "佐藤", "安藤", "か"]
+    own = [entry(v, f"[人名_{i}]", id=f"i{i}") for i, v in enumerate(values)]
+    want = ["a", "あ", "ア", "か", "安藤", "佐藤", "森"]
+    assert [e["targetText"] for e in mappings.snapshot(own, spark)] == want and [e["targetText"] for e in mappings.snapshot(own)] != want
+    rows = spark.createDataFrame([(1, f"i{i}", v, f"[人名_{i}]", v != "か", "approved") for i, v in enumerate(values)], "doc_id long, id string, normalized_text string, token string, enabled boolean, review_status string")
+    assert [r["normalized_text"] for r in E.snapshot_order(rows).orderBy("snapshot_rank").collect()] == [v for v in want if v != "か"]
+
+
 def test_places_are_looked_for_one_behind_the_other(spark):
     texts = spark.createDataFrame([(1, "佐藤と佐藤と東京")], "doc_id long, text string")
     rows = [(1, 0, "PERSON", "佐藤", None, None), (1, 1, "PERSON", "佐藤", None, None), (1, 2, "PERSON", "佐藤", None, None), (1, 3, "ADDRESS", "大阪", None, None), (1, 4, "ADDRESS", "東京", 6, 8)]
