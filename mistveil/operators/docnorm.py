@@ -9,6 +9,7 @@ from ..functions.chars import fold_fullwidth
 from ..functions.chars import FULLWIDTH
 from ..functions.patterns import EMAIL_LOCAL
 
+# Hyphens, list items, labels and the numbers that are joined.
 _HYPHENS = "‐‑‒–—―−﹣－"
 _ITEM = re.compile("(?:\\s{0,3}(?:[・●○■□※＊*-]|\\d+[.)]|[（(]\\d+[）)]|[①-⑳]|[ア-ン][.)]|第\\d+))\\s*")
 _HEADING, _RULE = re.compile("\\s{0,3}#{1,6}(?:\\s|\\Z)"), re.compile("\\s{0,3}(?:[-*_]\\s*){3,}\\Z")

@@ -12,6 +12,7 @@ from .addresses import ADDRESS_LABEL, scanner
 from .candidates import Candidate, at, unique
 
 S = f"[{WS}]"
+# Words and marks that may stand beside a name, what is no person, labels of people.
 _PARTICLE = "の|へ|が|は|を|に|と|も|や|で|より|から|まで|です|である|として|について"
 _STOP = f"[{WS}、。，,.！？!?「」『』（）()【】\\[\\]\"'：:;；・/]"
 AFTER_TITLE = f"(?=\\Z|{_STOP}|(?:{_PARTICLE}))"
@@ -23,6 +24,7 @@ _LABELS = "氏名|名前|名義人|担当者?|責任者|患者氏名|申請者|
 
 # Dates of birth -------------------------------------------------------------------------
 
+# Labels, forms of dates, quotes.
 _BIRTH = re.compile("(?:生年月日|誕生日|生まれた日|DOB)", re.I)
 _D = f"[{DIGITS}]"
 _DATES = (
@@ -112,6 +114,7 @@ def _compiled(name: str, names: str, other: str = "") -> re.Pattern:
     full = f"(?:{names})[ 　]*[{KANJI}]{{1,4}}"
     return re.compile(
         {
+            # Where a name stands in each of the patterns.
             "titled": f"(?:^|[^{KANJI}])((?:{names})[ 　]*(?:[{KANJI}]{{1,4}})?[ 　]*(?:{TITLES})){AFTER_TITLE}",
             "any titled": f"(?:^|[^{KANJI} 　]|[はがをにへともやでのりら])[ 　]*([{KANJI}]{{1,20}}[ 　]*(?:{TITLES})){AFTER_TITLE}",
             "alone": f"(?:^|[^{_NAMED}])((?:{names})[{KANJI}]{{1,4}})(?=\\Z|[^{_NAMED}])",
@@ -180,6 +183,7 @@ def person_names(text: str) -> list[Candidate]:
 
 # Names in key-value lines, tables and fenced data ----------------------------------------
 
+# Fields, fences and full names in data.
 _FENCE = re.compile("```([A-Za-z0-9_-]*)[^\\r\\n]*\\r?\\n(.*?)\\r?\\n```", re.S)
 _FIELD = re.compile(f"{S}*([一-龥々ぁ-んァ-ヶーA-Za-z][^:：=|]{{0,31}}){S}*[:：=]{S}*(.+?){S}*\\Z")
 _JSON_FIELD = re.compile('"((?:[^"\\\\]|\\\\.)*)"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"')

@@ -18,6 +18,7 @@ from .addresses import scanner
 from .candidates import Candidate, replace, unique
 from .names import _TOWN, addresses, person_names
 
+# What may be broken over lines or spaced out, and how.
 BREAK = "[ 　]*\\r?\\n[ 　]*"
 _BREAK = re.compile("(?<![ 　])[ 　]*+\\r?\\n[ 　]*+")  # a run of spaces is looked at from its start only
 _OPT = f"(?:{BREAK})?"

@@ -75,6 +75,7 @@ def detect(text: str) -> list[Candidate]:
 
 # Behind the detectors -------------------------------------------------------------------
 
+# What stands beside a surname that stands alone.
 _ALONE_BEFORE = re.compile(f"(?:^|[{WS}、。，,.「」『』\"'（）()はがをにへともので])\\Z")
 _ALONE_AFTER = re.compile(f"(?:\\Z|[{WS}、。，,.「」『』\"'（）()]+|さん|様|氏|部長|課長|社長|主任|先生|から|として|である|です|が|は|を|に|へ|と|も)")
 _SPACED_ON = re.compile(f"[ 　]+[{KANJI}]")
