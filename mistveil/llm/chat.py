@@ -210,8 +210,9 @@ def repair(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 
     ``rendered``, in the order of seq, is the conversation. Turns are in the order of turn (nulls last), role and text; repeated
     rows follow each other. A null text is empty, an unknown or null role costs a relabel whatever it becomes.
-    Rows without a conv_id are one conversation, of their own. A conversation of nothing has no rows. Other columns
-    are not looked at.
+    Rows without a conv_id are one conversation, of their own. A conversation of nothing has no rows. Long turns and
+    conversations are rendered whole, in as many partitions as their rows are in. Of equally cheap repairs one is taken, the
+    same each time. Other columns are not looked at. No rows, no result.
     """
     scratch = Scratch(spark, "chat")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

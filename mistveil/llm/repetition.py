@@ -122,14 +122,19 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed and kept for every row of ``docs``.
 
-    A null or empty text has no words: all measures are 0, and it is rejected. A null doc_id stays null,
-    repeated rows are each measured, and other columns are not looked at.
+    A null or empty text has no words: all measures are 0, and it is rejected. A long one is measured whole. Of equal
+    windows or lines the first in the text is the original. A null doc_id stays null, repeated rows are each measured, and
+    other columns are not looked at. No rows, no result.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_rules), _DDL)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    """The rows of ``docs`` that the rules keep, all columns as they are.
+
+    Null and empty texts go, long ones are measured whole; every row is judged by itself, so repeated ones are kept or go
+    alike, whatever their doc_id is. No rows, no result.
+    """
     names = docs.columns
     schema = docs.schema
 

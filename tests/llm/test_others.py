@@ -59,7 +59,7 @@ def test_long_and_odd_conversations(spark, adaptive):
     """A conversation over several partitions is repaired at the same cost as in one piece, and renders as a legal one."""
     rng = random.Random(2)
     rows = [(1, i, rng.choice(["user", "assistant", "system", None, "tool"]), f"t{i}") for i in range(1500)]
-    rows += [(2, 0, "assistant", "hi <|im_start|>x"), (None, 1, None, None), (3, 0, "user", "a"), (3, 0, "user", "a"), (4, None, "user", "")]
+    rows += [(2, 0, "assistant", "hi <|im_start|>x"), (None, 1, None, None), (3, 0, "user", "a"), (3, 0, "user", "a"), (4, None, "user", ""), (5, 0, "user", "long " * 60_000)]
     was = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     try:
@@ -72,7 +72,7 @@ def test_long_and_odd_conversations(spark, adaptive):
     roles = [chat._role(r[2]) for r in rows[:1500]]
     states = [chat.ROLES.index(r["new_role"]) + 1 for r in one]
     assert abs(path_cost(roles, states) - path_cost(roles, chat.decode(np.array(roles), 0, None))) < 1e-6
-    for conv in (1, 2, 3, 4, None):
+    for conv in (1, 2, 3, 4, 5, None):
         text = "".join(r["rendered"] for r in sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["seq"]))
         said = re.findall(r"<\|im_start\|>(\w+)\n", text)
         assert said[-1] == "assistant" and said.count("system") <= (said[0] == "system") and text.count("<|im_end|>") == len(said)
