@@ -585,11 +585,14 @@ def _learn(hot: Hot, sizes: np.ndarray):
             if split.any():
                 chunk = np.repeat(np.array([r[1] for r in rows], "<i8"), lengths)
                 where = np.concatenate([np.arange(m) for m in lengths]).astype("<u4")
-                for g in np.unique(group[split]):
-                    own = np.flatnonzero(group == g)
-                    held = np.flatnonzero((pair >= own[0]) & (pair <= own[-1]))
-                    data = pack(count[own], q[own], chunk[held], np.full(len(held), rows[0][2], "<i8"), where[held], (pair[held] - own[0]).astype("<u4"))
-                    yield _HOT, int(c[at[own[0]]].view(np.int64)), int(k[at[own[0]]]), data
+                entries = np.argsort(pair, kind="stable")  # in the order of pairs, and so of groups
+                ends = np.searchsorted(pair[entries], np.arange(len(at) + 1))
+                for _, lo, hi in _split(np.where(split, group, -1)):
+                    if not split[lo]:
+                        continue
+                    held = entries[ends[lo] : ends[hi]]
+                    data = pack(count[lo:hi], q[lo:hi], chunk[held], np.full(len(held), rows[0][2], "<i8"), where[held], (pair[held] - lo).astype("<u4"))
+                    yield _HOT, int(c[at[lo]].view(np.int64)), int(k[at[lo]]), data
 
     return lambda batches: _together(solved(batches))
 
@@ -628,6 +631,10 @@ def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _together(_hot_value_rows(batches))
+
+
+def _hot_value_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The same -> what each pair adds to the score, for the chunks that it came from."""
     for batch in batches:
         for _, _, data, total, sums in zip(*(c.to_pylist() for c in batch.columns)):
@@ -635,9 +642,11 @@ def _hot_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, _, chunk, place, where, pair = unpack(data, *_HOT_TYPES)
             value = np.full(len(n), -np.log(sums[-1]))
             value[own] += f
-            for to in np.unique(chunk):
-                of = np.flatnonzero(chunk == to)
-                yield emit(_ROW, [[_HOT_PART], [int(to)], [int(place[of[0]])], [pack(where[of], grains(value)[pair[of]])]])
+            own_grains = grains(value)
+            order = np.argsort(chunk, kind="stable")
+            for to, lo, hi in _split(chunk[order]):
+                of = order[lo:hi]
+                yield _HOT_PART, to, int(place[of[0]]), pack(where[of], own_grains[pair[of]])
 
 
 def learn_hot(solved: DataFrame, scratch: Scratch) -> DataFrame | None:
