@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 from ..functions.chars import trim, trim_edges
 
@@ -66,4 +68,17 @@ def ranges_of(text: str, value: str) -> list[tuple[int, int]]:
     return out
 
 
-__all__ = ["Candidate", "at", "inside", "ranges_of", "replace", "strictly_inside", "unique"]
+class Cover:
+    """Ranges, of which ``in`` tells whether one of them holds a range, by binary search."""
+
+    def __init__(self, ranges):
+        own = sorted(ranges)
+        self.starts = [a for a, _ in own]
+        self.ends = list(accumulate((b for _, b in own), max))  # the largest end so far
+
+    def __contains__(self, r: tuple[int, int]) -> bool:
+        i = bisect_right(self.starts, r[0])
+        return i > 0 and self.ends[i - 1] >= r[1]
+
+
+__all__ = ["Candidate", "Cover", "at", "inside", "ranges_of", "replace", "strictly_inside", "unique"]

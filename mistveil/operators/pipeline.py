@@ -14,7 +14,7 @@ from ..functions.chars import DIGITS, KANJI, WS, digits_of, nfc, trim
 from ..functions.lexicon import CATEGORY_LABELS, TITLES, split_name, surname_pattern
 from ..functions.patterns import PHONE_DIGITS, SHAPES, valid_email
 from ..functions.patterns import emails as email_spans
-from .candidates import Candidate, at, inside, ranges_of, replace, strictly_inside, unique
+from .candidates import Candidate, Cover, at, inside, ranges_of, replace, strictly_inside, unique
 from .names import AFTER_TITLE, addresses, birth_dates, credentials, pattern, person_names, titled_names
 from .normalize import broken_organizations, normalized, normalized_addresses, normalized_names
 
@@ -94,9 +94,8 @@ def _surnames(candidates: list[Candidate]) -> list[str]:
 def enrich(text: str, candidates: list[Candidate]) -> list[Candidate]:
     """Adds names in fences, spaced spellings of a model's names, names before a reading, and surnames that stand alone."""
     people = [c for c in candidates if c.category == "PERSON"]
-    known = [r for c in people for r in ranges_of(text, c.text)]
-    covered = lambda r, spans: any(a <= r[0] and r[1] <= b for a, b in spans)
-    used_alone = {s for s in _surnames(people) if any(not covered(r, known) and _alone(text, *r) for r in ranges_of(text, s))}
+    known = Cover(r for value in {c.text for c in people} for r in ranges_of(text, value))
+    used_alone = {s for s in _surnames(people) if any(r not in known and _alone(text, *r) for r in ranges_of(text, s))}
     compact = {re.sub("[ 　]+", "", c.text) for c in people}
     fenced = []
     for m in _FENCED_NAME.finditer(text):
@@ -112,9 +111,9 @@ def enrich(text: str, candidates: list[Candidate]) -> list[Candidate]:
                 spaced.append(c)
     ruby = [Candidate(m[1], "PERSON", start=m.start(1), end=m.end(1)) for m in pattern("ruby").finditer(text) if split_name(m[1])] if surname_pattern() else []
     every = people + unique(fenced) + unique(spaced) + unique(ruby)
-    full = [r for c in every for r in ranges_of(text, c.text)]
     texts = {c.text for c in every}
-    alone = [Candidate(s, "PERSON", start=a, end=b) for s in _surnames(every) if len(s) >= 2 and s not in texts for a, b in ranges_of(text, s) if not covered((a, b), full) and _alone(text, a, b)]
+    full = Cover(r for value in texts for r in ranges_of(text, value))
+    alone = [Candidate(s, "PERSON", start=a, end=b) for s in _surnames(every) if len(s) >= 2 and s not in texts for a, b in ranges_of(text, s) if (a, b) not in full and _alone(text, a, b)]
     return candidates + unique(fenced + spaced + ruby + alone)
 
 
@@ -129,15 +128,22 @@ def refine(text: str, candidates: list[Candidate]) -> list[Candidate]:
     is_structured = lambda c: c.source == "regex" and (c.category in ("ADDRESS", "EMAIL", "PHONE", "POSTAL_CODE") or c.category == "OTHER" and re.match("https?://", c.text, re.I))
     structured = [c for c in candidates if is_structured(c)]
     phone = [c for c in structured if c.category == "PHONE"]
-    mail = [c.span for c in structured if c.category == "EMAIL" and c.span]
+    mail = Cover(c.span for c in structured if c.category == "EMAIL" and c.span)
+    places_of: dict[str, list] = {}
+
+    def occurrences(value: str) -> list[tuple[int, int]]:
+        if value not in places_of:
+            places_of[value] = ranges_of(text, value)
+        return places_of[value]
+
     readings = [m.span(1) for c in candidates if c.category == "PERSON" and c.span and (m := _READING.match(text, c.end))]
 
     def drop(c: Candidate) -> bool:
         if c.category == "POSTAL_CODE" and any(strictly_inside(c, p) for p in phone):
             return True
         if c.category == "PERSON" and "@" not in c.text:
-            places = ranges_of(text, c.text)
-            if places and all(any(a <= s and e <= b for a, b in mail) for s, e in places):
+            places = occurrences(c.text) if mail.starts else []
+            if places and all(r in mail for r in places):
                 return True
         if c.source != "ner":
             return False
@@ -148,9 +154,9 @@ def refine(text: str, candidates: list[Candidate]) -> list[Candidate]:
                 return True
             if c.span and _HIRAGANA.match(c.text) and (_HIRAGANA.match(text[c.start - 1 : c.start] if c.start else "") or _HIRAGANA.match(text[c.end : c.end + 1])):
                 return True
-            longer = [r for o in candidates if o is not c and o.category == c.category and len(o.text) > len(c.text) for r in ranges_of(text, o.text)]
-            places = ranges_of(text, c.text)
-            if places and longer and all(any(a <= s and e <= b for a, b in longer) for s, e in places):
+            longer = Cover(r for value in {o.text for o in candidates if o.category == c.category and len(o.text) > len(c.text)} for r in occurrences(value))
+            places = occurrences(c.text)
+            if places and longer.starts and all(r in longer for r in places):
                 return True
         return c.category != "PERSON" and any(o.text != c.text and strictly_inside(c, o) for o in structured)
 
