@@ -123,13 +123,16 @@ def _line(text: str, i: int) -> str:
     return text[text.rfind("\n", 0, i) + 1 : end if end >= 0 else len(text)]
 
 
-def _fold(m: Mapped, rule: str, table: dict[int, str]) -> None:
-    folded = m.text.translate(table)
-    if folded != m.text:
-        for i, (c, f) in enumerate(zip(m.text, folded)):
-            if c != f:
-                m.event(rule, i, i + 1)
-        m.text = folded
+_FOLDS = {rule: (re.compile("[" + re.escape("".join(map(chr, table))) + "]"), table) for rule, table in {"fullwidth_ascii": {ord(c): fold_fullwidth(c) for c in FULLWIDTH}, "hyphen_variants": {ord(c): "-" for c in _HYPHEN}}.items()}
+
+
+def _fold(m: Mapped, rule: str) -> None:
+    folds, table = _FOLDS[rule]
+    found = [x.start() for x in folds.finditer(m.text)]
+    for i in found:
+        m.event(rule, i, i + 1)
+    if found:
+        m.text = m.text.translate(table)
 
 
 def _cut_breaks(m: Mapped, found: list[tuple[int, int]], rule: str) -> None:
@@ -249,8 +252,8 @@ def _spread_names(m: Mapped) -> None:
 
 
 RULES = {
-    "fullwidth_ascii": lambda m: _fold(m, "fullwidth_ascii", {ord(c): fold_fullwidth(c) for c in FULLWIDTH}),
-    "hyphen_variants": lambda m: _fold(m, "hyphen_variants", {ord(c): "-" for c in _HYPHEN}),
+    "fullwidth_ascii": lambda m: _fold(m, "fullwidth_ascii"),
+    "hyphen_variants": lambda m: _fold(m, "hyphen_variants"),
     "email_at_spacing": _at_spacing,
     "email_line_break": _email_breaks,
     "url_line_break": _url_breaks,

@@ -172,8 +172,9 @@ def extend_titles(text: str, candidates: list[Candidate]) -> list[Candidate]:
     for c in candidates:
         if c.category in ("PERSON", "ORGANIZATION"):
             span = c.span if c.span and text[slice(*c.span)] == c.text else None
-            places = ranges_of(text, c.text)
-            span = span or (places[0] if len(places) == 1 else None)
+            if not span:
+                places = ranges_of(text, c.text)
+                span = places[0] if len(places) == 1 else None
             m = _TITLE.match(text, span[1]) if span else None
             if m:
                 rest = None if c.restoration is None else c.restoration + m[0]
