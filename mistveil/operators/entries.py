@@ -279,8 +279,12 @@ def maskable(entries: DataFrame, docs: DataFrame, mode: str = "contextual") -> D
 
 
 def coalesce_ranges(ranges: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, end) with touching and overlapping ranges of a key as one: gaps and islands."""
-    order = Window.partitionBy(key).orderBy("start", "end")
+    """(key, start, end) with touching and overlapping ranges of a key as one: gaps and islands.
+
+    Null ranges come last, and go with a key's last range; a key that has no other keeps each. Equal ranges are one, as both
+    windows see them in the same order.
+    """
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
     grouped = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))

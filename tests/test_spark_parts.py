@@ -274,3 +274,13 @@ def test_entries_in_the_row(spark):
     got = {r["doc_id"]: [tuple(e) for e in r["e"]] for r in df.select("doc_id", E.in_row(F.col("text"), structured.structured(F.col("text"))).alias("e")).collect()}
     assert got[1] == [(0, "EMAIL", "a@b.jp", "[メール_2]", 2, 9), (2, "EMAIL", "c@d.jp", "[メール_3]", 1, 32), (3, "OTHER", "10.0.0.1", "[その他_1]", 2, 16)]
     assert got[2] == got[3] == []
+
+
+def test_ranges_with_nulls_and_repeated_ones(spark, tmp_path):
+    """As the SQL on one thread; on several it leaves the order of equal ranges open."""
+    rows = [(i % 17000 if i % 3 else i % 17000 + 17000, i % 7) for i in range(300)] + [(i, i % 7) for i in range(120)] + [(None, 3), (None, 8), (None, 8), (5, None), (None, None)]
+    spark.createDataFrame(rows, "event_id long, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in registry.queries()["range_coalesce"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(con.sql(registry.oracle_sql()["range_coalesce"]).fetchall(), key=str)
