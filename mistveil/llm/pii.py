@@ -5,9 +5,10 @@ around possible entities: candidate segments (of a bounded number of words, or o
 checksums and the words beside them, and dynamic programming chooses boundaries and types together, against leaving the
 tokens outside. A field's segments that meet no base span are added: its types are those four and ``secret``.
 
-The text beyond the candidates is outside for certain, so the search runs over the tokens near them
-only; the score of outside tokens is zero, and the result is that over the whole text. The weights are trained here, on
-sentences made from a seed, by the gradient of the conditional likelihood over all segmentations.
+Every place of the text is looked at. A candidate holds a digit, an at sign or a written-out one and reaches over few separators, so
+the search runs over the stretches that may hold one, found by those characters alone; the score of outside tokens is zero, and the
+result is that over the whole text. The weights are trained here, on sentences made from a seed, by the gradient of the
+conditional likelihood over all segmentations.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +31,8 @@ from .common import emit, lean, table
 
 BASE = ("email", "ip", "card", "phone")
 TYPES = (*BASE, "secret")
-#: Longest entity of several words in tokens and characters, and the characters on each side of a candidate that are looked at.
-MAX_TOKENS, MAX_CHARS, BESIDE = 24, 128, 48
+#: Longest entity of several words in tokens and characters.
+MAX_TOKENS, MAX_CHARS = 24, 128
 
 # Base spans -----------------------------------------------------------------------------
 
@@ -89,12 +92,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
 # Solid strings, without a name and an equals sign before them; these may be longer than other segments.
 _LONG = re.compile(r"(?:-*[A-Za-z_][A-Za-z0-9_-]*=+)?((?:[A-Za-z0-9_-]{10,}\.){2}[A-Za-z0-9_-]{10,}|[A-Za-z0-9_/+=-]{25,})")
-# Hints, each found in time linear in the text: short numeric shapes, written-out addresses, and solid runs that hold
-# three digits with nine characters behind them.
-_HINT = re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{2,4}[ .-][0-9]{3,4}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9][0-9 -]{11,22}[0-9]|\+[0-9]")
-_AT_HINT = re.compile(r"(?<=[A-Za-z0-9._ -])(?:\(at\)|\[at\])\ ?[A-Za-z0-9-]+")
-_RUN = re.compile(r"[A-Za-z0-9_/+=-]{12,}+")
-_THREE_DIGITS = re.compile(r"(?:[^0-9]*+[0-9]){3}")
 _NEAR = {"secret": "token key secret password passwd pwd apikey bearer auth clave", "phone": "phone tel call fax mobile telefon teléfono téléphone", "email": "mail email e-mail contact write correo courriel", "card": "card visa credit karte tarjeta carte payment", "ip": "ip host server address addr from"}
 _WORDS = {w: t for t, ws in _NEAR.items() for w in ws.split()}
 _OPEN = re.compile(r"""([A-Za-zäéöüè-]+)["']?\s*(?:[:=]|is|at)?\s*["']?$""")
@@ -144,22 +141,53 @@ _SOLID = re.compile(r"[0-9@]")
 _AT = re.compile(r"[(\[](at)[)\]]")
 
 
-def _hints(text: str) -> list[tuple[int, int]]:
-    out = [m.span() for m in _HINT.finditer(text)]
-    if "(at)" in text or "[at]" in text:
-        out += [(max(0, m.start() - MAX_CHARS), m.end()) for m in _AT_HINT.finditer(text)]
-    for m in _RUN.finditer(text):
-        third = _THREE_DIGITS.match(text, m.start(), m.end())
-        if third and third.end() + 9 <= m.end():
-            out.append(m.span())
-    return sorted(out)
+# What no candidate holds or, but for numbers and written-out addresses, crosses: a blank, marks, a line break before a word.
+_STOPS = frozenset(" |<>*#$%&!")
+_STOP = re.compile(r"[ |<>*#$%&!]|\n(?!\s)")
+_NUMBERS = re.compile(r"[+0-9 ().-]{7,}+")
+
+
+def _left(text: str, at: int) -> int:
+    while at and text[at - 1] not in _STOPS and (text[at - 1] != "\n" or text[at : at + 1].isspace()):
+        at -= 1
+    return at
+
+
+def _right(text: str, at: int) -> int:
+    m = _STOP.search(text, at)
+    return m.start() if m else len(text)
 
 
 def islands(text: str) -> list[tuple[int, int]]:
-    """Stretches around hints; those that touch are one, so that no candidate crosses their ends."""
+    """Stretches that hold all candidates of the text; none crosses their ends. In time linear in the text.
+
+    A candidate without a blank lies in a run between two stops, with a digit or an at sign (found by these), or with a
+    written-out one; one with blanks is made of the characters of numbers, or has a blank beside a written-out at sign.
+    """
+    spans = []
+    m = _SOLID.search(text)
+    while m:
+        hi = _right(text, m.end())
+        lo = _left(text, m.start())
+        if hi - lo >= 7:
+            spans.append((lo, hi))
+        m = _SOLID.search(text, hi)
+    if spans or _DIGIT.search(text):
+        for m in _NUMBERS.finditer(text):
+            numbers = m[0].strip(" ")
+            if len(numbers) >= 7 and " " in numbers and _DIGIT.search(numbers):
+                at = m.start() + len(m[0]) - len(m[0].lstrip(" "))
+                spans.append((_left(text, at), _right(text, at + len(numbers))))
+    if "at)" in text or "at]" in text:
+        lo = hi = 0
+        for m in _AT.finditer(text):
+            if m.start() >= hi:
+                lo, hi = _left(text, m.start()), _right(text, m.end())
+            a = _left(text, lo - 1) if lo == m.start() and text[lo - 1 : lo] == " " else lo
+            b = _right(text, hi + 1) if hi == m.end() and text[hi : hi + 1] == " " else hi
+            spans.append((a, b))
     out: list[list[int]] = []
-    for start, end in _hints(text):
-        lo, hi = max(0, start - BESIDE), min(len(text), end + BESIDE)
+    for lo, hi in sorted(spans):
         if out and lo <= out[-1][1]:
             out[-1][1] = max(hi, out[-1][1])
         else:
@@ -167,8 +195,11 @@ def islands(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def candidates(text: str, lo: int, hi: int) -> tuple[list[int], dict[int, list[tuple[int, list[str]]]]]:
-    """Token bounds of an island, and by end token the segments (start token, features) that may be entities."""
+def candidates(text: str, lo: int, hi: int, of=segment_features) -> tuple[list[int], dict[int, list[tuple[int, list]]]]:
+    """Token bounds of an island, and by end token the segments (start token, features) that may be entities.
+
+    ``of`` makes something else of a segment than its features; segments that it makes nothing of are left out.
+    """
     bounds = [lo] + [m.end() for m in _TOKEN.finditer(text, lo, hi)]
     found: dict[int, list] = defaultdict(list)
     n = len(bounds) - 1
@@ -195,7 +226,8 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], dict[int, list[t
                 continue
             if " " in text[bounds[i] : bounds[j]] and not re.fullmatch(r"[+0-9 ().-]+|\S+ ?[(\[]at[)\]] ?\S+", text[bounds[i] : bounds[j]]):
                 continue
-            found[j].append((i, segment_features(text, bounds[i], bounds[j])))
+            if held := of(text, bounds[i], bounds[j]):
+                found[j].append((i, held))
     place = {b: i for i, b in enumerate(bounds)}
     for m in _LONG.finditer(text, lo, hi):
         end = m.end() - (len(m[0]) - len(m[0].rstrip("-")))
@@ -204,7 +236,8 @@ def candidates(text: str, lo: int, hi: int) -> tuple[list[int], dict[int, list[t
             if i is None or j is None or j <= i + 1 or (j - i <= MAX_TOKENS and end - start <= MAX_CHARS) or reach[j] == reach[i]:
                 continue
             if not ((start and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum())):
-                found[j].append((i, segment_features(text, start, end)))
+                if held := of(text, start, end):
+                    found[j].append((i, held))
     return bounds, found
 
 
@@ -217,13 +250,32 @@ def _score(weights: dict, t: str, features: list[str]) -> float:
 
 def decode(weights: dict, bounds: list[int], found: dict) -> list[tuple[int, int, str]]:
     """The best segmentation: entities (start, end, type); of equal ones that with fewer, earlier types."""
+    return best_path(bounds, {j: [(i, [(t, _score(weights, t, features)) for t in TYPES]) for i, features in segments] for j, segments in found.items()})
+
+
+def typed_scores(weights: dict):
+    """For ``candidates``: the types of a segment that beat leaving it outside, with their scores; no other can be chosen."""
+    table: dict = defaultdict(lambda: [0.0] * len(TYPES))
+    for (t, f), x in weights.items():
+        table[f][TYPES.index(t)] = x
+    get, none = dict(table).get, [0.0] * len(TYPES)
+
+    def of(text: str, start: int, end: int) -> list[tuple[str, float]]:
+        scores = map(sum, zip(*[get(f, none) for f in segment_features(text, start, end)]))
+        return [(t, s) for t, s in zip(TYPES, scores) if s > 0]
+
+    return of
+
+
+def best_path(bounds: list[int], scored: dict) -> list[tuple[int, int, str]]:
+    """``decode`` of segments (start token, [(type, score)]) by end token."""
     n = len(bounds) - 1
     best, back = [0.0] * (n + 1), [None] * (n + 1)
     for j in range(1, n + 1):
         best[j] = best[j - 1]
-        for i, features in found.get(j, ()):
-            for t in TYPES:
-                s = best[i] + _score(weights, t, features)
+        for i, scores in scored.get(j, ()):
+            for t, x in scores:
+                s = best[i] + x
                 if s > best[j] + 1e-12:
                     best[j], back[j] = s, (i, t)
     out, j = [], n
@@ -361,14 +413,17 @@ def train(sentences: int = 700, rounds: int = 4, seed: int = 29) -> dict:
     return dict(weights)
 
 
-def all_spans(text: str, weights: dict) -> tuple[list, list]:
-    """Base spans, and all spans (start, end, kind) by start and kind."""
+def all_spans(text: str, weights: dict, of=None) -> tuple[list, list]:
+    """Base spans, and all spans (start, end, kind) by start and kind. ``of`` is ``typed_scores(weights)``, if it is made already."""
     base = base_spans(text)
     out = list(base)
+    of = of or typed_scores(weights)
+    starts, reached = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
     for lo, hi in islands(text):
-        bounds, found = candidates(text, lo, hi)
-        for a, b, t in decode(weights, bounds, found):
-            if not any(a < e and s < b for s, e, _ in base):
+        bounds, scored = candidates(text, lo, hi, of)
+        for a, b, t in best_path(bounds, scored) if scored else ():
+            before = bisect_left(starts, b)  # base spans that start before the end
+            if not before or reached[before - 1] <= a:
                 out.append((a, b, TYPES.index(t)))
     return base, sorted(out, key=lambda x: (x[0], x[2]))
 
@@ -392,10 +447,11 @@ def find(docs: DataFrame) -> DataFrame:
     weights = train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = typed_scores(weights)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                base, every = all_spans(text or "", weights)
+                base, every = all_spans(text or "", weights, of)
                 counts = [sum(k == i for _, _, k in base) for i in range(len(BASE))]
                 rows.append((*counts, hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(every), len(every) - len(base)))
             yield emit(_SCHEMA, [batch.column(0), *zip(*rows)] if rows else [[]] * len(_SCHEMA))
@@ -403,10 +459,10 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), _DDL)
 
 
-def redact_text(text: str, weights: dict) -> str:
+def redact_text(text: str, weights: dict, of=None) -> str:
     """Each span, or stretch of overlapping ones, replaced by the kind of the first, as in ``[EMAIL]``."""
     out, at = [], 0
-    for s, e, k in all_spans(text, weights)[1]:
+    for s, e, k in all_spans(text, weights, of)[1]:
         if s >= at:
             out += [text[at:s], f"[{TYPES[k].upper()}]"]
         at = max(at, e)
@@ -423,8 +479,9 @@ def redact(docs: DataFrame) -> DataFrame:
     weights, names, schema = train(), docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = typed_scores(weights)
         for batch in batches:
-            texts = [t and redact_text(t, weights) for t in batch.column(names.index("text")).to_pylist()]
+            texts = [t and redact_text(t, weights, of) for t in batch.column(names.index("text")).to_pylist()]
             columns = list(batch.columns)
             columns[names.index("text")] = pa.array(texts, pa.string())
             if "n_chars" in names:
