@@ -2,7 +2,7 @@
 
 Vectors are cut into halves, each half quantised by its own k-means codebook; a cell is a pair of centroids.
 A query walks the pairs in the order of summed distance (the negated inner product with the centroid, per
-half) with a heap, in strips of eight second centroids, until the cells hold a share of the vectors, and all
+half), in strips of eight second centroids, until the cells hold a share of the vectors, and all
 of these are reranked exactly. The distance at which the walk ends says which cells a query visits.
 
 The codebooks are fitted on a bounded sample; every vector is indexed. The share is learned too: on a part of the sample that the
@@ -17,7 +17,6 @@ TOP + 1 with the smallest ids can be among anyone's nearest, so no others are sc
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,35 +57,39 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, int)
 
 
-def walk(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, probe: int) -> float:
+def walk(d1: np.ndarray, d2: np.ndarray, columns: np.ndarray, probe: int) -> float:
     """The summed distance up to which cells are visited so that they hold ``probe`` vectors (all: infinity).
 
-    ``counts`` has a row for each first centroid and a column for each second one. A heap holds the next strip
-    of each row of the index that has begun.
+    ``columns`` has the counts: a row for each second centroid and a column for each first one. Strips are visited in the
+    order of their distance, so where a walk ends is a weighted quantile: it is looked for in the one of 4096 steps of
+    distance in which it lies.
     """
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    s1, s2 = d1[o1], d2[o2]
-    strips = np.add.reduceat(counts[o1][:, o2], np.arange(0, len(d2), STRIP), axis=1).tolist()
-    ahead = s2[::STRIP]
-    heap, held = [(s1[0] + ahead[0], 0, 0)], 0
-    while heap:
-        key, i, j = heapq.heappop(heap)
-        held += strips[i][j]
-        if held >= probe:
-            return float(key)
-        if j + 1 < len(ahead):
-            heapq.heappush(heap, (s1[i] + ahead[j + 1], i, j + 1))
-        if j == 0 and i + 1 < len(s1):
-            heapq.heappush(heap, (s1[i + 1] + ahead[0], i + 1, 0))
-    return float("inf")
+    o2 = np.argsort(d2, kind="stable")
+    strips = np.add.reduceat(columns[o2], np.arange(0, len(d2), STRIP), axis=0, dtype=np.int64).ravel()
+    keys = (d2[o2[::STRIP], None] + d1).ravel()
+    if strips.sum() < probe:
+        return float("inf")
+    least, most = keys.min(), keys.max()
+    if most <= least:
+        return float(least)
+    step = ((keys - least) * (4095 / (most - least))).astype(np.int64)
+    held = np.cumsum(np.bincount(step, strips))
+    last = int(np.searchsorted(held, probe))
+    at = np.flatnonzero(step == last)
+    at = at[np.argsort(keys[at], kind="stable")]
+    before = held[last - 1] if last else 0
+    return float(keys[at[np.searchsorted(np.cumsum(strips[at]) + before, probe)]])
 
 
 def strip_start(d2: np.ndarray) -> np.ndarray:
     """For each query (row), by second centroid: the distance at which its strip begins."""
-    order = np.argsort(d2, axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(d2.shape[1]), d2.shape), axis=1)
-    return np.take_along_axis(np.take_along_axis(d2, order, axis=1), place // STRIP * STRIP, axis=1)
+    order = np.argsort(d2, axis=1)
+    ordered = np.take_along_axis(d2, order, axis=1)
+    if (ordered[:, 1:] == ordered[:, :-1]).any():
+        order = np.argsort(d2, axis=1, kind="stable")
+    out = np.empty_like(d2)
+    np.put_along_axis(out, order, np.repeat(ordered[:, ::STRIP], STRIP, axis=1)[:, : d2.shape[1]], axis=1)
+    return out
 
 
 def blocks(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +180,16 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
 
     index = scratch.save(first_ones.mapInArrow(lean(assign), "i int, j int, vec_id long, vec binary"), "index")
     counts = np.zeros((len(c1), len(c2)), np.int64)
-    for r in index.groupBy("i", "j").count().toLocalIterator():  # at most one row a cell
-        counts[r["i"], r["j"]] = r["count"]
+    cells = index.groupBy("i", "j").count().toArrow()  # at most one row a cell
+    counts[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["count"].to_numpy()
+    columns = np.ascontiguousarray(counts.T, np.int32 if counts.sum() < 2**31 else np.int64)
     first, parts = blocks(counts, min(BLOCK_V, max(LEAST_V, n // BLOCKS)))
     n_blocks = int((first + parts).max())
 
     asked = scratch.save(rows.where(F.pmod("vec_id", F.lit(query_every)) == 0), "asked")
     queries = scratch.save(asked.groupBy("vec").agg(F.min("vec_id").alias("q")), "queries")
-    blocks_q = -(-queries.count() // BLOCK_Q)
+    n_queries = queries.count()
+    blocks_q = -(-n_queries // BLOCK_Q)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to its block, once for each block of queries."""
@@ -203,7 +208,7 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
             d1, d2 = -x[:, :cut] @ c1.T, -x[:, cut:] @ c2.T
             q = batch.column(0).to_numpy(zero_copy_only=False)
             turn = (q.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(np.int64) % max(1, blocks_q)
-            ends = np.array([walk(a, b, counts, probe) for a, b in zip(d1, d2)])
+            ends = np.array([walk(a, b, columns, probe) for a, b in zip(d1, d2)])
             seen = [(x_, b) for x_ in range(len(q)) for b in _visited(d1[x_] + d2[x_].min() <= ends[x_], first, parts, n_blocks)]
             at = np.array([s[0] for s in seen], np.int64)
             block = np.array([s[1] for s in seen], np.int32)
@@ -234,24 +239,26 @@ def search(spark: SparkSession, vectors: DataFrame, query_every: int = 20, top:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(o[c], t.to_pandas_dtype()) for o in out]), t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["q", "vec_id", "score"])
 
     def _best(x: np.ndarray, q: np.ndarray, ends: np.ndarray, v: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple:
-        near = (-x[:, :cut] @ c1.T)[:, i] + strip_start(-x[:, cut:] @ c2.T)[:, j] <= ends[:, None]
-        rough = np.where(near, x @ v.T, -np.inf)
-        out = ([], [], [])
-        for r in range(len(x)):
-            at = np.flatnonzero(near[r])
-            if len(at) > top + 1:  # all that may be among the best, whatever the order of summation
-                least = np.partition(rough[r, at], len(at) - top - 1)[len(at) - top - 1]
-                at = at[rough[r, at] >= least - 1e-9 * max(1.0, abs(least))]
-            s = (v[at] * x[r]).sum(axis=1)
-            best = np.lexsort((ids[at], -s))[: top + 1]
-            out[0].append(np.full(len(best), q[r]))
-            out[1].append(ids[at][best])
-            out[2].append(s[best])
-        return tuple(np.concatenate(o) for o in out)
+        rough = x @ v.T
+        rough[np.take(-x[:, :cut] @ c1.T, i, axis=1) + np.take(strip_start(-x[:, cut:] @ c2.T), j, axis=1) > ends[:, None]] = -np.inf
+        # The best of many groups of vectors: of these the (top + 1)-th is no larger than that of all vectors.
+        groups = 4 * (top + 1)
+        width = len(v) // groups
+        if width > 1:
+            most = rough[:, : groups * width].reshape(len(x), groups, width).max(axis=2)
+            least = np.partition(most, groups - top - 1, axis=1)[:, groups - top - 1]
+            least = np.where(np.isfinite(least), least - 1e-9 * np.maximum(1.0, np.abs(least)), -np.finfo(float).max)  # whatever the order of summation
+        else:
+            least = np.full(len(x), -np.finfo(float).max)
+        r, at = np.nonzero(rough >= least[:, None])
+        s = np.concatenate([(v[at[a : a + 8192]] * x[r[a : a + 8192]]).sum(axis=1) for a in range(0, len(r), 8192)]) if len(r) else np.zeros(0)
+        best = np.lexsort((ids[at], -s, r))
+        best = best[np.arange(len(r)) - np.searchsorted(r, r) <= top]  # r is in order already
+        return q[r[best]], ids[at[best]], s[best]
 
     schema = "block int, turn int, kind byte, i int, j int, id long, vec binary, ends double"
-    both = index.mapInArrow(lean(place), schema).unionByName(queries.select("q", "vec").mapInArrow(lean(route), schema))
-    found = both.repartition("block", "turn").sortWithinPartitions("block", "turn", "kind").mapInArrow(lean(score), "q long, vec_id long, score double")
+    both = index.mapInArrow(lean(place), schema).unionByName(queries.select("q", "vec").repartition(min(1024, max(1, -(-n_queries // 256)))).mapInArrow(lean(route), schema))
+    found = both.repartition(min(2048, 2 * n_blocks * max(1, blocks_q)), "block", "turn").sortWithinPartitions("block", "turn", "kind").mapInArrow(lean(score), "q long, vec_id long, score double")
     nearest_first = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = scratch.save(found.withColumn("k", F.row_number().over(nearest_first)).where(F.col("k") <= top + 1), "best")
     ids = scratch.save(asked.select(F.col("vec_id").alias("query_id"), "vec").join(queries, "vec").select("query_id", "q"), "ids")

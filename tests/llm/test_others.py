@@ -142,6 +142,25 @@ def test_search_repeated_rows_and_doubles(spark):
     assert np.allclose([r["score"] for r in got], [w[1] for q in sorted(want) for w in want[q]], rtol=1e-14, atol=0)
 
 
+def test_walk_ends_where_strips_in_order_hold_enough():
+    rng = np.random.default_rng(0)
+    for t in range(200):
+        k1, k2 = rng.integers(1, 40, 2)
+        counts, d1, d2 = rng.integers(0, 4, (k2, k1)), rng.normal(size=k1), rng.normal(size=k2)
+        if t % 2:
+            d1, d2 = np.round(d1, 1), np.round(d2, 1)  # ties
+        order = np.argsort(d2, kind="stable")
+        strips = sorted((d2[order[j]] + d1[i], counts[order[j : j + ann.STRIP], i].sum()) for i in range(k1) for j in range(0, k2, ann.STRIP))
+        for probe in (1, int(counts.sum()) // 3 + 1, int(counts.sum()), int(counts.sum()) + 1):
+            held, end = 0, float("inf")
+            for key, n in strips:
+                held += n
+                if held >= probe:
+                    end = key
+                    break
+            assert ann.walk(d1, d2, counts, probe) == end
+
+
 def test_search_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.search(spark, few).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
